@@ -48,7 +48,9 @@ def without_nan(df: DataFrame) -> DataFrame:
 def atomic(column: Column, data_type: T.DataType) -> Column:
     """A comparable form: nested values become JSON text, binary becomes hex."""
     if isinstance(data_type, T.MapType):
-        return F.to_json(F.array_sort(F.map_entries(column)))
+        entries = F.map_entries(column)
+        sortable = "map<" not in data_type.valueType.simpleString()
+        return F.to_json(F.sort_array(entries) if sortable else entries)
     if isinstance(data_type, NESTED):
         return F.to_json(column)
     if isinstance(data_type, T.BinaryType):

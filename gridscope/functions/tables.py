@@ -18,7 +18,7 @@ def local_table(spark: SparkSession, rows: list[tuple], schema: str | T.StructTy
     arrow_schema = to_arrow_schema(schema)
     columns = list(zip(*rows)) if rows else [[] for _ in schema]
     arrays = [
-        pa.array(list(values), type=field.type)
+        pa.array([list(v.items()) if isinstance(v, dict) else v for v in values], type=field.type)
         for values, field in zip(columns, arrow_schema)
     ]
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow_schema), schema=schema)

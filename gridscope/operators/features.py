@@ -270,16 +270,18 @@ def fit_preprocessing(
         for i, name in enumerate(discrete):
             common = facts[name]["value"] if name in facts else ""
             literal = common.replace("\\", "\\\\").replace("'", "\\'")
-            expressions.append(f"coalesce(cast({quoted(name)} as string), '{literal}') as __cat_{i}")
-        count = range(len(discrete))
-        stages.append(
-            StringIndexerModel.from_arrays_of_labels(
-                labels,
-                inputCols=[f"__cat_{i}" for i in count],
-                outputCols=[f"__idx_{i}" for i in count],
-                handleInvalid="keep",
+            # The encoder names its slots after the values and takes no empty name.
+            filled = f"coalesce(cast({quoted(name)} as string), '{literal}')"
+            expressions.append(f"concat('=', {filled}) as __cat_{i}")
+            stages.append(
+                StringIndexerModel.from_labels(
+                    ["=" + value for value in labels[i]],
+                    inputCol=f"__cat_{i}",
+                    outputCol=f"__idx_{i}",
+                    handleInvalid="keep",
+                )
             )
-        )
+        count = range(len(discrete))
         inputs += [f"{'__hot' if one_hot else '__idx'}_{i}" for i in count]
 
     statement = "SELECT *, " + ", ".join(expressions) + " FROM __THIS__"

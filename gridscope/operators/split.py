@@ -77,9 +77,10 @@ def class_quotas(groups: DataFrame, plan: SplitPlan) -> DataFrame:
         (product % total).alias("rest"),
     )
     left_over = plan.test_count - shares.agg(F.sum("whole")).first()[0]
-    extra = shares.orderBy(F.desc("rest"), "label").limit(left_over).select("label", F.lit(1).alias("one"))
-    return shares.join(extra, shares["label"].eqNullSafe(extra["label"]), "left").select(
-        shares["label"],
+    extra = shares.orderBy(F.desc("rest"), "label").limit(left_over)
+    extra = extra.select(F.col("label").alias("e_label"), F.lit(1).alias("one"))
+    return shares.join(extra, F.col("label").eqNullSafe(F.col("e_label")), "left").select(
+        "label",
         "n",
         (F.col("whole") + F.coalesce(F.col("one"), F.lit(0))).alias("quota"),
     )

@@ -6,6 +6,7 @@ import os
 import re
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,7 +73,7 @@ def read_table(
         if error.getCondition() == "PATH_NOT_FOUND":
             raise TableNotFound(f"no such table: {path}") from error
         raise LoadError(f"cannot read {path}: {error}") from error
-    except PySparkException as error:
+    except (PySparkException, Py4JJavaError) as error:
         raise LoadError(f"cannot read {path}: {error}") from error
 
 
