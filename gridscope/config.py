@@ -16,6 +16,8 @@ class AnalysisConfig:
     max_classes: int = 20
     preview_rows: int = 5
     sample_values: int = 3
+    # Relative error allowed in distinct counts; None counts exactly.
+    distinct_error: float | None = None
     high_cardinality_min_unique: int = 50
     high_cardinality_ratio: float = 0.8
     text_min_length: float = 40

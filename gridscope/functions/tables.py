@@ -49,4 +49,8 @@ def keep(df: DataFrame) -> DataFrame:
         if folder is None:
             return df.persist(StorageLevel.MEMORY_AND_DISK)
         context.setCheckpointDir(folder)
-    return df.checkpoint()
+    stored = df.checkpoint()
+    if stored.rdd.getNumPartitions() < context.defaultParallelism:
+        # A few large pieces would leave most cores idle in every later job.
+        stored = stored.repartition(context.defaultParallelism).checkpoint()
+    return stored

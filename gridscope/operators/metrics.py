@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MOST_BUCKETS = 256
+ROWS_PER_RANGE = 1_000_000
+MOST_RANGES = 10_000
 
 
 def classification_metrics(
@@ -62,46 +65,41 @@ def regression_metrics(
     )
 
 
-def bucket_of(column: Column, bounds: list[float]) -> Column:
-    """Number of bounds below a value, as a balanced tree of comparisons."""
-
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(column > bounds[middle], search(middle + 1, high)).otherwise(search(low, middle))
-
-    return search(0, len(bounds))
-
-
 def roc_auc(
     df: DataFrame,
     score: str,
     is_positive: str,
     groups: Sequence[str] = (),
-    buckets: int = MOST_BUCKETS,
+    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Area under the ROC curve per group; tied scores count half.
 
     The area is a rank statistic, and ranking by score is a running sum over all
-    rows. Rows are first merged per distinct score. Score ranges that hold about
-    equally many rows then get their totals summed up, and only inside a range are
-    scores put in order, so no task sees more than its range of a group.
+    rows. Rows are first merged per distinct score. Score ranges of about
+    `rows_per_range` rows then get their totals summed up, and only inside a range
+    are scores put in order, so no task sees more than its range of a group.
     """
-    merged = df.groupBy(*groups, score).agg(
+    scored = df.where(F.col(score).isNotNull())
+    ranges = min(MOST_RANGES, math.ceil(scored.count() / rows_per_range))
+    merged = scored.groupBy(*groups, score).agg(
         F.count_if(F.col(is_positive)).alias("pos"), F.count_if(~F.col(is_positive)).alias("neg")
     )
-    cuts = [i / buckets for i in range(1, buckets)]
-    found = df.agg(F.percentile_approx(score, cuts, 10_000)).first()[0]
-    bounds = sorted(set(found or []))
-    placed = merged.withColumn("range", bucket_of(F.col(score), bounds))
+    if ranges <= 1:
+        placed = merged.withColumn("range", F.lit(0.0))
+    else:
+        cuts = [i / ranges for i in range(1, ranges)]
+        accuracy = max(1000, 4 * ranges)
+        found = scored.agg(F.percentile_approx(score, cuts, accuracy)).first()[0]
+        bounds = [-math.inf, *sorted(set(found)), math.inf]
+        placed = Bucketizer(splits=bounds, inputCol=score, outputCol="range").transform(merged)
 
     totals = placed.groupBy(*groups, "range").agg(F.sum("neg").alias("range_neg"))
+    # One row per range, and their number is limited.
     earlier = W.partitionBy(*groups, F.lit(0)).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
         *groups, "range", F.coalesce(F.sum("range_neg").over(earlier), F.lit(0)).alias("offset")
     )
-    joined = placed.join(offsets, [*groups, "range"])
+    joined = placed.join(offsets, [*groups, "range"]) if ranges > 1 else placed.withColumn("offset", F.lit(0))
     inside = W.partitionBy(*groups, "range").orderBy(score).rowsBetween(W.unboundedPreceding, -1)
     lower = F.col("offset") + F.coalesce(F.sum("neg").over(inside), F.lit(0))
     ranked = joined.withColumn("wins", F.col("pos") * (lower + F.col("neg") / 2.0))

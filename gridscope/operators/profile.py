@@ -64,6 +64,32 @@ def value_counts(df: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, branches).withColumn("position", F.col("position").cast("int"))
 
 
+def estimated_value_counts(df: DataFrame, error: float) -> DataFrame:
+    """The same counts with an estimated distinct count: one aggregate, no value shuffled.
+
+    Flags that compare the distinct share with a limit can then be off by `error`.
+    """
+    frame = positional(df)
+    if not df.columns:
+        return local_table(df.sparkSession, [], EMPTY_STATS)
+    stats = []
+    for position, field in enumerate(frame.schema):
+        column = F.col(field.name)
+        is_text = isinstance(field.dataType, T.StringType)
+        length = F.length(column) if is_text else F.lit(None)
+        estimate = F.approx_count_distinct(grouping_key(column, field.dataType), error)
+        stats.append(
+            F.struct(
+                F.lit(position).alias("position"),
+                F.count(F.lit(1)).alias("row_count"),
+                F.count(column).alias("non_null_count"),
+                F.least(estimate, F.count(column)).alias("unique_count"),
+                F.sum(length.cast("bigint")).alias("length_sum"),
+            )
+        )
+    return frame.agg(F.array(*stats).alias("stats")).select(F.inline("stats"))
+
+
 def storage_kind(data_type: T.DataType) -> str:
     """What the declared type alone says about the logical type."""
     if isinstance(data_type, T.BooleanType):
@@ -104,8 +130,12 @@ def profile_columns(
         ],
         "position int, column_name string, dtype string, kind string",
     )
+    if config.distinct_error is None:
+        counts = value_counts(df)
+    else:
+        counts = estimated_value_counts(df, config.distinct_error)
     # One row per column of the table: the broadcast is bounded by the schema.
-    counted = names.join(F.broadcast(value_counts(df)), "position", "left").na.fill(
+    counted = names.join(F.broadcast(counts), "position", "left").na.fill(
         0, ["row_count", "non_null_count", "unique_count"]
     )
     non_null, unique, rows = F.col("non_null_count"), F.col("unique_count"), F.col("row_count")

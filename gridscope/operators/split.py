@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -136,6 +137,7 @@ def split_train_test(
     buckets = hashed.groupBy(F.col("__class").alias("label"), F.col("__bucket").alias("part")).agg(
         F.count(F.lit(1)).alias("rows")
     )
+    buckets = buckets.persist(StorageLevel.MEMORY_AND_DISK)
     classes = buckets.groupBy("label").agg(F.sum("rows").alias("n"))
     if plan.stratified:
         quotas = class_quotas(classes, plan)
@@ -157,6 +159,7 @@ def split_train_test(
     )
     if plan.class_count <= PINNED_CLASSES or not plan.stratified:
         cuts = pin(cuts)
+        buckets.unpersist()
     placed = hashed.join(cuts, F.col("__class").eqNullSafe(F.col("__label")), "left")
     columns = [F.col(quoted(name)) for name in df.columns]
     # A class with a quota of 0 has no cut: all its rows are for training.

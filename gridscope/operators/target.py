@@ -32,43 +32,68 @@ def target_values(df: DataFrame, target: str) -> tuple[DataFrame, T.DataType]:
     return df.select(atomic(column, data_type).alias("value")), data_type
 
 
-def _grouped(df: DataFrame, target: str) -> tuple[DataFrame, T.DataType]:
-    values, _ = target_values(df, target)
-    return (
-        values.groupBy("value").agg(F.count(F.lit(1)).alias("n")),
-        values.schema["value"].dataType,
-    )
-
-
 def class_distribution(df: DataFrame, target: str) -> DataFrame:
     """Label, count and share of the non-missing rows, most frequent first."""
-    groups, data_type = _grouped(df, target)
-    present = groups.where(F.col("value").isNotNull())
-    total = present.agg(F.sum("n")).scalar()
-    return present.orderBy(F.desc("n"), "value").select(
+    values, _ = target_values(df, target)
+    data_type = values.schema["value"].dataType
+    groups = (
+        values.where(F.col("value").isNotNull())
+        .groupBy("value")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    total = values.agg(F.count("value")).scalar()
+    return groups.orderBy(F.desc("n"), "value").select(
         json_text(F.col("value"), data_type).alias("label"),
         F.col("n").alias("count"),
         ratio(F.col("n"), total).alias("proportion"),
     )
 
 
-def target_summary(df: DataFrame, target: str, task_type: str) -> DataFrame:
-    """One row: counts, and either the class balance or the numeric validity."""
-    groups, data_type = _grouped(df, target)
+def _class_counts(values: DataFrame) -> DataFrame:
+    """One row over the classes: counts, the most and the least frequent class."""
     value, n = F.col("value"), F.col("n")
     present = F.when(value.isNotNull(), n)
-    number = to_number(value, data_type)
     frequency = F.when(value.isNotNull(), F.struct((-n).alias("order"), value.alias("value")))
-    counted = groups.agg(
+    groups = values.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    return groups.agg(
         F.coalesce(F.sum(n), F.lit(0)).alias("row_count"),
         F.coalesce(F.sum(present), F.lit(0)).alias("non_null_count"),
         F.count(value).alias("unique_count"),
         F.min(frequency).alias("most"),
         F.max(frequency).alias("least"),
-        F.coalesce(F.sum(F.when(number.isNull(), present)), F.lit(0)).alias("invalid"),
-        F.min(number).alias("lowest"),
-        F.max(number).alias("highest"),
+        F.lit(0).cast("bigint").alias("numbers"),
+        F.lit(False).alias("same"),
     )
+
+
+def _number_counts(values: DataFrame, unique_count: int | None) -> DataFrame:
+    """One row over the numbers; without a distinct count to make, nothing is shuffled."""
+    data_type = values.schema["value"].dataType
+    value, number = F.col("value"), to_number(F.col("value"), data_type)
+    none = F.struct(F.lit(0).alias("order"), F.lit(None).cast(data_type).alias("value"))
+    distinct = F.count_distinct(value) if unique_count is None else F.max(F.lit(unique_count))
+    return values.agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.count(value).alias("non_null_count"),
+        distinct.cast("bigint").alias("unique_count"),
+        F.count(number).alias("numbers"),
+        F.coalesce(F.min(number) == F.max(number), F.lit(False)).alias("same"),
+    ).withColumns({"most": none, "least": none})
+
+
+def target_summary(
+    df: DataFrame, target: str, task_type: str, unique_count: int | None = None
+) -> DataFrame:
+    """One row: counts, and either the class balance or the numeric validity.
+
+    A distinct count known from a profile spares counting numbers again.
+    """
+    values, _ = target_values(df, target)
+    data_type = values.schema["value"].dataType
+    if task_type == "classification":
+        counted = _class_counts(values)
+    else:
+        counted = _number_counts(values, unique_count)
     rows, non_null = F.col("row_count"), F.col("non_null_count")
     for_classes = F.lit(task_type == "classification") & (non_null > 0)
     for_numbers = F.lit(task_type == "regression") & (non_null > 0)
@@ -95,11 +120,9 @@ def target_summary(df: DataFrame, target: str, task_type: str) -> DataFrame:
             for_classes & (F.col("unique_count") > 1),
             F.round(F.try_divide(F.col("most.order"), F.col("least.order")), 6),
         ).alias("class_imbalance_ratio"),
-        F.when(for_numbers, F.col("invalid")).alias("invalid_numeric_count"),
-        F.when(for_numbers, non_null - F.col("invalid")).alias("numeric_count"),
-        F.when(for_numbers, F.coalesce(F.col("lowest") == F.col("highest"), F.lit(False))).alias(
-            "is_constant_number"
-        ),
+        F.when(for_numbers, non_null - F.col("numbers")).alias("invalid_numeric_count"),
+        F.when(for_numbers, F.col("numbers")).alias("numeric_count"),
+        F.when(for_numbers, F.col("same")).alias("is_constant_number"),
     )
 
 
