@@ -19,7 +19,7 @@ from gridscope.functions.columns import (
     positional,
     ratio,
 )
-from gridscope.functions.tables import local_table, pin
+from gridscope.functions.tables import local_table
 
 EMPTY_STATS = "position int, row_count bigint, non_null_count bigint, unique_count bigint, length_sum bigint"
 
@@ -172,59 +172,63 @@ def sample_values(df: DataFrame, count: int = 3) -> DataFrame:
     """The `count` smallest distinct values of each column, as text.
 
     Each round is a plain aggregate: the smallest value above the previous one.
-    Nothing is sorted or shuffled but one row per task, whatever the skew.
+    Nothing is sorted or shuffled but one row per task, whatever the skew, and one
+    value per column reaches the driver.
     """
     schema = "position int, column_name string, sample_values array<string>"
     if count <= 0 or not df.columns:
         return local_table(df.sparkSession, [], schema)
     types = [field.dataType for field in df.schema]
     frame = positional(df)
-    frame = frame.select(*[atomic(F.col(c), t).alias(c) for c, t in zip(frame.columns, types)])
-
-    rounds, floor = [], None
-    for _ in range(count):
-        smallest = [
-            F.min(F.col(c) if floor is None else F.when(F.col(c) > floor[c], F.col(c))).alias(c)
-            for c in frame.columns
+    frame = frame.select(*[_literal_form(F.col(c), t).alias(c) for c, t in zip(frame.columns, types)])
+    shown = [_shown(F.col(c), t) for c, t in zip(frame.columns, types)]
+
+    found: list[list[str]] = [[] for _ in types]
+    floors = [None] * len(types)
+    for number in range(count):
+        open_columns = [
+            i for i in range(len(types)) if number == 0 or floors[i] is not None
         ]
-        found = pin(frame.agg(F.struct(*smallest).alias("floor")))
-        rounds.append(found)
-        floor = found.scalar()
-
-    def text(c: str, data_type: T.DataType) -> Column:
-        value = F.col(f"floor.{c}")
-        is_text = isinstance(data_type, (*NESTED, T.BinaryType))
-        return value.cast("string") if is_text else json_text(value, data_type)
-
-    listed = [
-        found.select(
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(i).alias("position"),
-                            F.lit(df.columns[i]).alias("column_name"),
-                            F.lit(number).alias("round"),
-                            text(f"c{i}", data_type).alias("value"),
-                        )
-                        for i, data_type in enumerate(types)
-                    ]
-                )
-            )
+        if not open_columns:
+            break
+        smallest = frame.agg(
+            *[_smallest_above(f"c{i}", floors[i], types[i]).alias(f"c{i}") for i in open_columns]
         )
-        for number, found in enumerate(rounds)
-    ]
-    # At most `count` short rows per column.
-    return (
-        reduce(DataFrame.unionByName, listed)
-        .groupBy("position", "column_name")
-        .agg(
-            F.array_sort(
-                F.collect_list(F.when(F.col("value").isNotNull(), F.struct("round", "value")))
-            ).alias("found")
-        )
-        .select("position", "column_name", F.col("found.value").alias("sample_values"))
-    )
+        row = smallest.select("*", *[shown[i].alias(f"text{i}") for i in open_columns]).first()
+        for i in open_columns:
+            floors[i] = row[f"c{i}"]
+            if floors[i] is not None:
+                found[i].append(row[f"text{i}"])
+    rows = [(i, name, values) for i, (name, values) in enumerate(zip(df.columns, found))]
+    return local_table(df.sparkSession, rows, schema)
+
+
+def _literal_form(column: Column, data_type: T.DataType) -> Column:
+    """A form with the same order whose values are exact as literals."""
+    if isinstance(data_type, T.TimestampType):
+        return F.unix_micros(column)
+    if isinstance(data_type, (*NESTED, T.BinaryType, T.NullType)):
+        return atomic(column, data_type)
+    known = (T.NumericType, T.BooleanType, T.StringType, T.DateType, T.TimestampNTZType)
+    return column if isinstance(data_type, known) else column.cast("string")
+
+
+def _shown(form: Column, data_type: T.DataType) -> Column:
+    if isinstance(data_type, T.TimestampType):
+        return json_text(F.timestamp_micros(form), data_type)
+    text_already = isinstance(data_type, (*NESTED, T.BinaryType, T.NullType))
+    return form if text_already else json_text(form, data_type)
+
+
+def _smallest_above(name: str, floor: object, data_type: T.DataType) -> Column:
+    if floor is None:
+        return F.min(name)
+    bound = F.lit(floor)
+    if isinstance(data_type, T.TimestampNTZType):
+        bound = F.lit(floor.isoformat()).cast("timestamp_ntz")
+    elif isinstance(data_type, T.FloatType):
+        bound = bound.cast("float")
+    return F.min(F.when(F.col(name) > bound, F.col(name)))
 
 
 def column_lists(profile: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,14 +18,14 @@ def table_counts(df: DataFrame) -> DataFrame:
     """
     frame = positional(df)
     names = df.columns
-    missing = [F.col(c).isNull() for c in frame.columns]
-    some = reduce(lambda a, b: a | b, missing, F.lit(False))
-    every = reduce(lambda a, b: a & b, missing, F.lit(bool(names)))
+    some = " OR ".join(f"{c} IS NULL" for c in frame.columns) or "false"
+    every = " AND ".join(f"{c} IS NULL" for c in frame.columns) or "false"
+    present = ", ".join(f"count({c})" for c in frame.columns)
     counted = frame.agg(
         F.count(F.lit(1)).alias("row_count"),
-        F.count_if(some).alias("rows_with_missing_count"),
-        F.count_if(every).alias("fully_missing_row_count"),
-        F.array(*[F.count(c) for c in frame.columns]).cast("array<bigint>").alias("non_null"),
+        F.count_if(F.expr(some)).alias("rows_with_missing_count"),
+        F.count_if(F.expr(every)).alias("fully_missing_row_count"),
+        F.expr(f"array({present})").cast("array<bigint>").alias("non_null"),
     )
     labels = F.array(*[F.lit(name) for name in names]).cast(NO_NAMES)
     paired = F.arrays_zip(labels.alias("name"), F.col("non_null"))
