@@ -115,19 +115,11 @@ def split_train_test(
     its quota, and only hashes with that prefix are counted one by one. That gives
     the last test hash per class, and the table itself is then read once, unshuffled.
 
-    Without a key all columns are hashed. Rows that share the cut hash are ranked by
-    their content; rows equal in every column are interchangeable.
+    Without a key all columns are hashed. Rows that share the cut hash are told apart
+    by their content; rows equal in every column are interchangeable.
     """
     plan = plan or plan_split(df, label, test_size, stratify)
-    names = list(key) if key else df.columns
-    types = {name: field.dataType for name, field in zip(df.columns, df.schema)}
-    if key:
-        parts = [F.col(quoted(name)) for name in names]
-    else:
-        parts = [
-            F.coalesce(grouping_key(F.col(quoted(name)), types[name]).cast("string"), F.lit("\u0000"))
-            for name in names
-        ]
+    parts = [F.col(quoted(name)) for name in key] if key else _texts(df, df.columns)
     group = F.col(quoted(label)) if plan.stratified else F.lit(0)
     hashed = df.withColumns({"__class": group, "__hash": row_hash(parts, seed)}).withColumn(
         "__bucket", F.substring("__hash", 1, bucket_digits(plan.row_count))
@@ -144,6 +136,11 @@ def split_train_test(
     else:
         quotas = classes.withColumn("quota", F.lit(plan.test_count).cast("bigint"))
     edges = _crossing(buckets, quotas)
+    few_classes = plan.class_count <= PINNED_CLASSES or not plan.stratified
+    if few_classes:
+        # Known to be small, they are broadcast instead of shuffling all hashes to them.
+        edges = pin(edges)
+        buckets.unpersist()
 
     # Inside that prefix, the hash where the quota is filled: again one row per class.
     at_edge = (F.col("__bucket") == F.col("part")) & F.col("__class").eqNullSafe(F.col("label"))
@@ -157,9 +154,8 @@ def split_train_test(
     cuts = cuts.select(
         F.col("label").alias("__label"), F.col("part").alias("__cut"), "missing", "rows"
     )
-    if plan.class_count <= PINNED_CLASSES or not plan.stratified:
+    if few_classes:
         cuts = pin(cuts)
-        buckets.unpersist()
     placed = hashed.join(cuts, F.col("__class").eqNullSafe(F.col("__label")), "left")
     columns = [F.col(quoted(name)) for name in df.columns]
     # A class with a quota of 0 has no cut: all its rows are for training.
@@ -167,23 +163,75 @@ def split_train_test(
     if not cuts.where(F.col("missing") < F.col("rows")).take(1):
         return placed.select(*columns, split)
 
-    # Several rows share a cut hash and only some of them are for testing.
-    tied = F.coalesce(F.col("__hash") == F.col("__cut"), F.lit(False))
-    content = F.xxhash64(*[grouping_key(F.col(quoted(n)), types[n]) for n in df.columns])
-    rank = F.row_number().over(W.partitionBy("__class").orderBy(content))
-    ranked = placed.where(tied).withColumn("__rank", rank)
+    # Several rows share a cut hash and only some of them are for testing: their
+    # content decides, by the same search for the part where the quota is filled.
+    content = F.sha2(F.concat_ws("|", *_texts(df, df.columns)), 256)
+    at_cut = F.coalesce(F.col("__hash") == F.col("__cut"), F.lit(False))
+    tied = placed.where(at_cut).withColumn("__content", content)
+    contents = tied.groupBy(F.col("__label").alias("label"), F.col("__content").alias("part")).agg(
+        F.count(F.lit(1)).alias("rows")
+    )
+    last = _crossing(
+        contents, cuts.select(F.col("__label").alias("label"), F.col("missing").alias("quota"))
+    ).select("label", F.col("part").alias("__last"), F.col("missing").alias("__wanted"))
+    if few_classes:
+        last = pin(last)
+    decided = tied.join(last, F.col("__label").eqNullSafe(F.col("label")))
+    before = F.when(F.col("__content") < F.col("__last"), "test").otherwise("train").alias(column)
     return (
-        placed.where(~tied)
+        placed.where(~at_cut)
         .select(*columns, split)
+        .unionByName(decided.where(F.col("__content") != F.col("__last")).select(*columns, before))
         .unionByName(
-            ranked.select(
-                *columns,
-                F.when(F.col("__rank") <= F.col("missing"), "test").otherwise("train").alias(column),
-            )
+            _divided_copies(decided.where(F.col("__content") == F.col("__last")), columns, column)
         )
     )
 
 
+def _texts(df: DataFrame, names: Sequence[str]) -> list[Column]:
+    """Short texts that tell rows apart, null included."""
+    types = {name: field.dataType for name, field in zip(df.columns, df.schema)}
+    return [
+        F.coalesce(grouping_key(F.col(quoted(name)), types[name]).cast("string"), F.lit("\u0000"))
+        for name in names
+    ]
+
+
+COPIES_PER_PIECE = 100_000
+
+
+def _divided_copies(copies: DataFrame, columns: list[Column], column: str) -> DataFrame:
+    """Equal rows, `__wanted` of them for testing.
+
+    Copies are counted and made again, so a row that fills a third of the table
+    never meets itself in one task: counts merge before the shuffle, and pieces of
+    limited size are spread before they are unfolded.
+    """
+    names = [f"c{i}" for i in range(len(columns))]
+    counted = copies.groupBy(
+        "__label", "__wanted", *[c.alias(n) for c, n in zip(columns, names)]
+    ).agg(F.count(F.lit(1)).alias("n"))
+    sides = counted.select(
+        *names,
+        F.inline(
+            F.array(
+                F.struct(F.lit("test").alias("side"), F.col("__wanted").alias("n")),
+                F.struct(F.lit("train").alias("side"), (F.col("n") - F.col("__wanted")).alias("n")),
+            )
+        ),
+    ).where("n > 0")
+    pieces = sides.withColumn(
+        "piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES_PER_PIECE)))
+    ).repartition(int(copies.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = F.least(F.lit(COPIES_PER_PIECE), F.col("n") - F.col("piece") * COPIES_PER_PIECE)
+    rows = pieces.select(*names, "side", F.explode(F.sequence(F.lit(1), size.cast("int"))).alias("copy"))
+    originals = copies.select(*columns).columns
+    return rows.select(
+        *[F.col(n).alias(original) for n, original in zip(names, originals)],
+        F.col("side").alias(column),
+    )
+
+
 # One short row per class up to this many classes is kept as a literal table.
 PINNED_CLASSES = 100_000
 

@@ -12,11 +12,11 @@ def write_results(
     folder: str,
     run_id: str,
     format: str = "parquet",
-    mode: str = "append",
+    mode: str = "overwrite",
 ) -> tuple[list[str], list[str]]:
     """Write one dataset per result table, partitioned by run; returns paths, warnings.
 
-    A failed write becomes a warning, so results stay usable without their files.
+    Writing a run again replaces it and leaves other runs alone. A failed write becomes a warning, so results stay usable without their files.
     """
     paths, warnings = [], []
     for name, table in tables.items():
@@ -25,6 +25,7 @@ def write_results(
             (
                 table.withColumn("run_id", F.lit(run_id))
                 .write.mode(mode)
+                .option("partitionOverwriteMode", "dynamic")
                 .partitionBy("run_id")
                 .format(format)
                 .save(path)

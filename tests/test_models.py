@@ -35,9 +35,10 @@ from gridscope.operators.recommend import (
     forest_candidate,
     linear_candidate,
 )
+from gridscope.operators import split as split_module
 from gridscope.operators.split import SplitError, plan_split, split_train_test
 
-SMALL = {"numTrees": 5, "maxDepth": 4, "maxIter": 5}
+SMALL = {"numTrees": 3, "maxDepth": 3, "maxIter": 3}
 
 
 def plan_of(df, target, **options):
@@ -154,6 +155,20 @@ def test_split_with_equal_rows(frame):
     assert counts == {("a", "test"): 9, ("a", "train"): 21, ("b", "test"): 3, ("b", "train"): 7}
 
 
+def test_split_with_one_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(split_module, "COPIES_PER_PIECE", 7)
+    # A key that 60 rows share, 40 of them equal and with a missing cell.
+    rows = [(i, f"u{i}", 1.0) for i in range(40)]
+    rows += [(777, "same", None)] * 40 + [(777, f"v{i}", float(i)) for i in range(20)]
+    df = spark.createDataFrame(rows, "k int, `a.b` string, x double").repartition(3)
+    for seed in (0, 1):
+        out = split_train_test(df, None, ["k"], 0.5, seed)
+        assert split_sizes(out) == {"test": 50, "train": 50}
+        assert out.drop("split").exceptAll(df).count() == 0
+        again = split_train_test(df.repartition(5), None, ["k"], 0.5, seed)
+        assert out.exceptAll(again).count() == 0
+
+
 def test_split_quota_of_zero(frame):
     df = frame("k int, t string", *[(i, "big") for i in range(97)], (97, "s"), (98, "s"), (99, "s"))
     rows = split_train_test(df, "t", ["k"], 0.1)

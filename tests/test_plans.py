@@ -7,7 +7,7 @@ from gridscope.plans.analyze import analyze_table, save_analysis
 from gridscope.plans.report import report_lines
 from gridscope.plans.train import save_training, train_table
 
-SMALL = {"numTrees": 5, "maxDepth": 4, "maxIter": 5}
+SMALL = {"numTrees": 3, "maxDepth": 3, "maxIter": 3}
 
 
 def test_ready(spark, frame):
