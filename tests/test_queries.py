@@ -46,6 +46,18 @@ def test_query_equals_sql(spark, connection, name):
     assert differences(spark, connection, DATA, name) == []
 
 
+def test_the_check_finds_differences(spark, connection, monkeypatch):
+    right = contract.oracle_sql()["class_weights"]
+    for wrong in (
+        right.replace("AS weight", "+ 1 AS weight"),
+        right.replace("AS label", "AS name"),
+        right + " LIMIT 1",
+        right.replace("count(*) AS count", "CAST(count(*) AS DOUBLE) AS count"),
+    ):
+        monkeypatch.setattr(contract, "oracle_sql", lambda: {"class_weights": wrong})
+        assert differences(spark, connection, DATA, "class_weights")
+
+
 def plan_of(df):
     out = io.StringIO()
     with contextlib.redirect_stdout(out):
