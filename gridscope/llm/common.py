@@ -88,6 +88,7 @@ def range_of(column: Column, cuts: list, ascending: bool = True) -> Column:
     """The range a value falls in: 0 for the first; nulls in the first (ascending) or last."""
     if not cuts:
         return F.lit(0)
+    # Descending, a range begins with its cut, as ascending.
     passed = F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut <= column if ascending else column <= cut)
     return F.when(column.isNull(), F.lit(0 if ascending else len(cuts))).otherwise(F.size(passed))
 

@@ -5,10 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridscope.llm import oracle
+from gridscope.llm.chat import conversation_digest, prefix_target_examples
 from gridscope.llm.common import load
 from gridscope.llm.direct_codes import token_file_digest
+from gridscope.llm.mixing import mix
 from gridscope.llm.packing import packed
 from gridscope.llm.simhash import near_duplicates
+from gridscope.llm.syncmers import edited_fingerprints
+
+
+def op2_prefix_targets(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, and one full of control strings, as prefix-target examples."""
+    talks = load(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("\\### Assistant: </turn> ok").alias("text")
+    more = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said
+    )
+    return conversation_digest(prefix_target_examples(talks.unionByName(more)))
+
+
+def op3_syncmers(spark: SparkSession, folder: str) -> DataFrame:
+    """Syncmer fingerprints of all documents and of their edited texts."""
+    return edited_fingerprints(load(spark, folder, "documents"))
 
 
 def op5_direct_codes(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,13 +42,21 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op9_sainte_lague(spark: SparkSession, folder: str) -> DataFrame:
+    """What the mix takes of every document."""
+    return mix(load(spark, folder, "documents")).drop("segments")
+
+
 def op10_vector_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     return packed(load(spark, folder, "documents"))
 
 
 REGISTRY = {
+    "op2_prefix_targets": (op2_prefix_targets, oracle.PREFIX_TARGETS),
+    "op3_syncmers": (op3_syncmers, None),
     "op5_direct_codes": (op5_direct_codes, None),
     "op7_simhash": (op7_simhash, None),
+    "op9_sainte_lague": (op9_sainte_lague, None),
     "op10_vector_packing": (op10_vector_packing, None),
 }
