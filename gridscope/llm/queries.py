@@ -10,11 +10,17 @@ from gridscope.llm.chat import conversation_digest, prefix_target_examples
 from gridscope.llm.common import load
 from gridscope.llm.direct_codes import token_file_digest
 from gridscope.llm.mixing import mix
+from gridscope.llm.outliers import outlier_verdicts
 from gridscope.llm.packing import packed
 from gridscope.llm.simhash import near_duplicates
 from gridscope.llm.syncmers import edited_fingerprints
 
 
+def op1_robust_outliers(spark: SparkSession, folder: str) -> DataFrame:
+    """Base statistics and verdict of every document."""
+    return outlier_verdicts(load(spark, folder, "documents")).drop("row_key", "n_lines")
+
+
 def op2_prefix_targets(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations, and one full of control strings, as prefix-target examples."""
     talks = load(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
@@ -53,6 +59,7 @@ def op10_vector_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op1_robust_outliers": (op1_robust_outliers, None),
     "op2_prefix_targets": (op2_prefix_targets, oracle.PREFIX_TARGETS),
     "op3_syncmers": (op3_syncmers, None),
     "op5_direct_codes": (op5_direct_codes, None),
