@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
 from array import array
+from itertools import chain, repeat
 
 import numpy as np
 
 #: Words that a Python worker remembers with their ids, about 200 bytes each.
-REMEMBERED = 700_000
+REMEMBERED = 1_500_000
+#: A space that a part may or may not begin with.
+_UNSURE = re.compile(r" (?![!-~\w])")
 _WORKER: dict = {}
 
 
@@ -27,66 +31,64 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.keep_space = keep_space
+        self.lead = " " if keep_space else ""
         self.known: dict[str, int] = {}
         self.ids, self.starts = array("I"), array("Q", [0])
 
     def parts(self, text: str) -> list[str]:
-        """The parts of a text, whose ids follow one another."""
-        out: list[str] = []
-        lead = " " if self.keep_space else ""
-        waiting = None
-        for k, part in enumerate(text.split(" ")):
-            first = part[:1]
-            if first and ("!" <= first <= "~" or first.isalnum()):
-                if waiting is not None:
-                    out.append(waiting)
-                waiting = lead + part if k else part
-            else:
-                waiting = part if waiting is None else f"{waiting} {part}"
-        if waiting:
-            out.append(waiting)
-        return out
+        """The parts of a text, whose ids follow one another.
+
+        They are named without the space before them; the first part of a text, which has
+        none, is named with one.
+        """
+        split = text.split(" ")
+        if _UNSURE.search(text):
+            joined = split[:1]
+            for part in split[1:]:
+                if part and not _UNSURE.match(" " + part[0]):
+                    joined.append(part)
+                else:
+                    joined[-1] += " " + part
+            split = joined
+        if not split[0]:
+            return split[1:]
+        split[0] = " " + split[0]
+        return split
+
+    def _ids(self, parts: list[str]):
+        some = [p[1:] if p[0] == " " else self.lead + p for p in parts]
+        return (e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         split = [self.parts(t) for t in texts]
-        known = self.known
-        new = list({p for parts in split for p in parts if p not in known})
+        flat = list(chain.from_iterable(split))
+        codes = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(codes < 0).tolist()
+        new = list(dict.fromkeys([flat[i] for i in missing]))
         kept = len(self.starts) - 1
-        base = kept
+        # What the memory has no room for is known for these texts only.
         room = max(0, REMEMBERED - kept)
-        more: dict[str, int] = {}
         ids, starts = self.ids, self.starts
-        if len(new) > room:
-            # The memory is full: what doesn't fit is known for these texts only.
-            ids, starts = array("I", ids), array("Q", starts)
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for part, encoding in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                ids.extend(encoding.ids)
+        more = dict(zip(new, range(kept, kept + len(new))))
+        for at in [*range(0, room, 4096), *range(room, len(new), 4096)]:
+            if at >= len(new):
+                break
+            if at == room:
+                ids, starts = array("I", ids), array("Q", starts)
+            for own in self._ids(new[at : min(at + 4096, room if at < room else len(new))]):
+                ids.extend(own)
                 starts.append(len(ids))
-                more[part] = base
-                base += 1
-        if len(new) <= room:
-            known.update(more)
-            more = known
-            look = known.__getitem__
-        else:
-            look = lambda p: known[p] if p in known else more[p]
-        all_ids, all_starts = np.frombuffer(ids, np.uint32) if ids else np.empty(0, np.uint32), np.frombuffer(starts, np.uint64).astype(np.int64)
-        out = []
-        for parts in split:
-            at = np.fromiter(map(look, parts), np.int64, len(parts))
-            first, last = all_starts[at], all_starts[at + 1]
-            sizes = last - first
-            ends = np.cumsum(sizes)
-            total = int(ends[-1]) if len(ends) else 0
-            where = np.arange(total, dtype=np.int64) + np.repeat(first - (ends - sizes), sizes)
-            out.append(all_ids[where])
-        # Views of an array forbid that it grows; they end here.
-        del all_ids, all_starts
-        return out
+        self.known.update(zip(new[:room], range(kept, kept + room)))
+        codes[missing] = [more[flat[i]] for i in missing]
+        bounds = np.array(starts, np.int64)
+        sizes = (bounds[1:] - bounds[:-1])[codes]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        where = np.arange(total, dtype=np.int64) + np.repeat(bounds[codes] - (ends - sizes), sizes)
+        found = np.array(ids, np.uint32)[where]
+        cuts = np.concatenate([[0], ends])[np.cumsum([len(p) for p in split])].tolist()
+        return [found[a:b] for a, b in zip([0, *cuts], cuts)]
 
 
 def worker_encoder(path: str, keep_space: bool) -> TextEncoder:
