@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from gridscope.llm import oracle
 from gridscope.llm.chat import conversation_digest, prefix_target_examples
-from gridscope.llm.common import load
+from gridscope.llm.common import fold_of, load
 from gridscope.llm.direct_codes import token_file_digest
 from gridscope.llm.mixing import mix
 from gridscope.llm.outliers import outlier_verdicts
 from gridscope.llm.packing import packed
 from gridscope.llm.simhash import near_duplicates
 from gridscope.llm.syncmers import edited_fingerprints
+from gridscope.llm.toxicity import HELD_OUT_FOLD, toxic_documents
 
 
 def op1_robust_outliers(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,6 +42,19 @@ def op5_direct_codes(spark: SparkSession, folder: str) -> DataFrame:
     return token_file_digest(load(spark, folder, "documents"))
 
 
+def op6_nearest_toxic(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, with the five nearest labelled ones."""
+    scored = toxic_documents(load(spark, folder, "documents"), load(spark, folder, "labels"))
+    score = F.col("toxicity.score")
+    return scored.select(
+        "doc_id",
+        (fold_of(F.col("doc_id")) == HELD_OUT_FOLD).alias("held_out"),
+        score.alias("score"),
+        (score >= 0.5).cast("int").alias("predicted"),
+        F.slice("toxicity.evidence.doc_id", 1, 5).alias("nearest"),
+    )
+
+
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = near_duplicates(load(spark, folder, "documents"))
@@ -63,6 +77,7 @@ REGISTRY = {
     "op2_prefix_targets": (op2_prefix_targets, oracle.PREFIX_TARGETS),
     "op3_syncmers": (op3_syncmers, None),
     "op5_direct_codes": (op5_direct_codes, None),
+    "op6_nearest_toxic": (op6_nearest_toxic, None),
     "op7_simhash": (op7_simhash, None),
     "op9_sainte_lague": (op9_sainte_lague, None),
     "op10_vector_packing": (op10_vector_packing, None),
