@@ -12,6 +12,7 @@ from gridscope.llm.direct_codes import token_file_digest
 from gridscope.llm.mixing import mix
 from gridscope.llm.outliers import outlier_verdicts
 from gridscope.llm.packing import packed
+from gridscope.llm.ppm import language_scores
 from gridscope.llm.simhash import near_duplicates
 from gridscope.llm.syncmers import edited_fingerprints
 from gridscope.llm.toxicity import HELD_OUT_FOLD, toxic_documents
@@ -62,6 +63,11 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op8_ppm(spark: SparkSession, folder: str) -> DataFrame:
+    """PPM and unigram scores of every document."""
+    return language_scores(load(spark, folder, "documents"))
+
+
 def op9_sainte_lague(spark: SparkSession, folder: str) -> DataFrame:
     """What the mix takes of every document."""
     return mix(load(spark, folder, "documents")).drop("segments")
@@ -79,6 +85,7 @@ REGISTRY = {
     "op5_direct_codes": (op5_direct_codes, None),
     "op6_nearest_toxic": (op6_nearest_toxic, None),
     "op7_simhash": (op7_simhash, None),
+    "op8_ppm": (op8_ppm, None),
     "op9_sainte_lague": (op9_sainte_lague, None),
     "op10_vector_packing": (op10_vector_packing, None),
 }
