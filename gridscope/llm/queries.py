@@ -16,6 +16,7 @@ from gridscope.llm.ppm import language_scores
 from gridscope.llm.simhash import near_duplicates
 from gridscope.llm.syncmers import edited_fingerprints
 from gridscope.llm.toxicity import HELD_OUT_FOLD, toxic_documents
+from gridscope.llm.trie_counts import unigram_token_counts
 
 
 def op1_robust_outliers(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,6 +39,11 @@ def op3_syncmers(spark: SparkSession, folder: str) -> DataFrame:
     return edited_fingerprints(load(spark, folder, "documents"))
 
 
+def op4_trie_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Unigram token counts of every document."""
+    return unigram_token_counts(load(spark, folder, "documents"))
+
+
 def op5_direct_codes(spark: SparkSession, folder: str) -> DataFrame:
     """Token files of all documents, read back."""
     return token_file_digest(load(spark, folder, "documents"))
@@ -82,6 +88,7 @@ REGISTRY = {
     "op1_robust_outliers": (op1_robust_outliers, None),
     "op2_prefix_targets": (op2_prefix_targets, oracle.PREFIX_TARGETS),
     "op3_syncmers": (op3_syncmers, None),
+    "op4_trie_counts": (op4_trie_counts, None),
     "op5_direct_codes": (op5_direct_codes, None),
     "op6_nearest_toxic": (op6_nearest_toxic, None),
     "op7_simhash": (op7_simhash, None),

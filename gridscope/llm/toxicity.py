@@ -130,9 +130,9 @@ class ToxicityModel:
         self.ids, self.toxic = [e[0] for e in with_terms], [e[1] for e in with_terms]
         self.index = BlockMaxIndex([weights(e[2], idf) for e in with_terms], len(terms))
         without = [e[1] for e in examples if not e[2]]
-        # The shares of toxic examples with and without terms, counting one half each way.
-        self.base_with = (sum(self.toxic) + 0.5) / (len(with_terms) + 1)
-        self.base_without = (sum(without) + 0.5) / (len(without) + 1) if without else min(0.5, self.base_with)
+        # The shares of toxic examples with and without terms, and one half among two more.
+        self.base_with = (sum(self.toxic) + 0.5) / (len(with_terms) + 2)
+        self.base_without = (sum(without) + 0.5) / (len(without) + 2)
 
     def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
         """The score and the nearest examples (cosine, number)."""
