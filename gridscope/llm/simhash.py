@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridscope.llm.common import WORD, lower_ascii, pieces, records, stored, texts_of
@@ -48,23 +48,28 @@ def fingerprint(words: list[str], width: int = 3) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def row_key() -> Column:
+    """A hash of a row's id and text, equal for equal rows."""
+    return F.xxhash64("doc_id", "text")
+
+
 def fingerprints(docs: DataFrame, width: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id and fingerprint (long, the same 64 bits) of each row; null texts have no words.
+    """doc_id, row_key and fingerprint (long, the same 64 bits) of each row.
 
-    The text is read whole; A-Z count as a-z.
+    The text is read whole; null texts have no words; A-Z count as a-z.
     """
-    kinds = {"doc_id": pa.int64(), "fingerprint": pa.int64()}
+    kinds = {"doc_id": pa.int64(), "row_key": pa.int64(), "fingerprint": pa.int64()}
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
 
         find = re.compile(WORD).findall
         for some in pieces(batches):
-            found = np.array([fingerprint(find(text), width) for _, text in some], np.uint64)
-            yield records(kinds, [[d for d, _ in some], found.view(np.int64)])
+            found = np.array([fingerprint(find(text), width) for *_, text in some], np.uint64)
+            yield records(kinds, [[r[0] for r in some], [r[1] for r in some], found.view(np.int64)])
 
-    rows = texts_of(docs, id_column, text_column).select("doc_id", lower_ascii(F.col("text")).alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, fingerprint long")
+    rows = texts_of(docs, id_column, text_column).select("doc_id", row_key().alias("row_key"), lower_ascii(F.col("text")).alias("text"))
+    return rows.mapInArrow(sign, "doc_id long, row_key long, fingerprint long")
 
 
 def pivots(count: int = PIVOTS) -> list[int]:
@@ -139,7 +144,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, most_bits: int = MOST_BITS) -> DataFrame:
-    """doc_id, fingerprint (long) and component_id of each row.
+    """doc_id, row_key, fingerprint (long) and component_id of each row.
 
     Rows with equal fingerprints are one class, whose smallest doc_id stands for it; only
     classes are linked, so copies are never paired. component_id is the smallest doc_id
@@ -155,4 +160,21 @@ def near_duplicates(docs: DataFrame, width: int = 3, most_bits: int = MOST_BITS)
     best = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     far = named.join(best, "root").select("fingerprint", "component_id")
     final = classes.join(far, "fingerprint", "left").select("fingerprint", F.coalesce("component_id", "first_id").alias("component_id"))
-    return rows.join(final, "fingerprint", "left").select("doc_id", "fingerprint", "component_id")
+    return rows.join(final, "fingerprint", "left").select("doc_id", "row_key", "fingerprint", "component_id")
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """One document of each component, unchanged: the one whose doc_id names it.
+
+    Of several rows with that id one stays. Rows with null ids are components by fingerprint
+    where they have no other.
+    """
+    found = near_duplicates(docs)
+    # The name of a component without ids is its fingerprint.
+    name = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("of"))
+    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(name.alias("name")).agg(F.min("row_key").alias("_row"))
+    stays = stays.select(F.col("name.component_id").alias("_id"), "_row")
+    marked = docs.withColumn("_row", row_key())
+    same = (marked["_row"] == stays["_row"]) & marked["doc_id"].eqNullSafe(stays["_id"])
+    # Equal rows share their key; the text is dealt by it once for both steps.
+    return marked.join(stays, same, "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
