@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import oracle
-from catalog.tables import columns, load, scratch_folder
+from catalog.tables import columns, load
 from gridscope.config import AnalysisConfig
 from gridscope.functions.columns import quoted
-from gridscope.functions.tables import local_table
+from gridscope.functions.tables import local_table, scratch_folder
 from gridscope.operators.features import (
     FeatureColumns,
     class_weight_table,

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,15 +50,3 @@ def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
         joined = documents.join(labels, "doc_id", "left")
         return joined if table == "doclab" else joined.select("quality", "toxic")
     return spark.read.parquet(os.path.join(folder, f"{table}.parquet"))
-
-
-def scratch_folder(spark: SparkSession) -> str:
-    """A new folder every executor can reach: below the session's checkpoint folder.
-
-    A local session without one gets a temporary folder.
-    """
-    context = spark.sparkContext
-    base = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
-    if base is None:
-        base = tempfile.mkdtemp(prefix="gridscope-")
-    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-# The contract of the analysis, in the order the stages use them.
+# Fixed values, here and below: the contract of the analysis, in the order the stages use them.
 DEFAULT_TARGET_NAMES = ("target", "label", "y", "class", "outcome")
 
 
@@ -34,3 +34,11 @@ class AnalysisConfig:
     allow_optional_models: bool = False
     test_size: float | int = 0.2
     seed: int = 42
+    # A column with more categories is left out of models; None leaves none out. A fitted
+    # Spark ML model holds its categories on the driver.
+    max_categories: int | None = None
+    # At most about so many training rows reach the learners, chosen by hash; None takes all.
+    max_train_rows: int | None = None
+    # Boosting stops when a tenth of the training rows, chosen by hash, gains less than this
+    # per round; None always goes through all rounds.
+    early_stopping: float | None = None

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -34,23 +36,47 @@ def pin(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.toArrow(), schema=df.schema)
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Store a large table that several jobs will read.
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder that every executor reaches, below spark.checkpoint.dir.
 
-    The session's shared checkpoint folder is used when it names one, so a lost
-    executor costs no recomputation. A local session gets a folder of its own.
-    Without either, the lineage is kept and blocks are cached on disk.
+    Only a session in one process may do without the setting: it gets a temporary folder.
+    """
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if base is None:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="gridscope-")
+    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in whatever file system it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """A result that is too large for the driver, written once to the shared folder.
+
+    Spark removes the files with its last reference.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None and context.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="gridscope-")
-        if folder is None:
-            return df.persist(StorageLevel.MEMORY_AND_DISK)
-        context.setCheckpointDir(folder)
-    stored = df.checkpoint()
-    if stored.rdd.getNumPartitions() < context.defaultParallelism:
-        # A few large pieces would leave most cores idle in every later job.
-        stored = stored.repartition(context.defaultParallelism).checkpoint()
-    return stored
+        context.setCheckpointDir(scratch_folder(df.sparkSession))
+    return df.checkpoint()
+
+
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """A large table that several jobs read, as Parquet in a shared folder for as long as needed.
+
+    Column pruning still works on it, and a lost executor costs no recomputation.
+    """
+    spark = df.sparkSession
+    folder = scratch_folder(spark)
+    try:
+        df.write.parquet(folder)
+        yield spark.read.schema(df.schema).parquet(folder)
+    finally:
+        remove_folder(spark, folder)

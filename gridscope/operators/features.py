@@ -60,6 +60,9 @@ def plan_features(
         .when(F.lit(exclude_high_cardinality) & F.col("is_high_cardinality"), "high_cardinality")
         .when(~kind.isin(*BUCKETS), "unknown_type")
     )
+    if config.max_categories is not None:
+        many = (kind == "categorical") & (F.col("unique_count") > config.max_categories)
+        reason = F.coalesce(reason, F.when(many, "too_many_categories"))
     return (
         profile.where(F.col("column_name") != target)
         .withColumn("exclusion_reason", reason)
@@ -201,19 +204,12 @@ def scaling(df: DataFrame, columns: Sequence[str], fill: dict[str, float | None]
     )
 
 
-# Category indexes and one-hot slots live in a Spark ML model, hence on the driver.
-MOST_CATEGORIES = 1_000_000
+def category_labels(df: DataFrame, columns: Sequence[str]) -> list[list[str]]:
+    """Sorted categories per column.
 
-
-def category_labels(
-    df: DataFrame, columns: Sequence[str], sizes: dict[str, int]
-) -> list[list[str]]:
-    """Sorted categories per column; `sizes` tells that the model can hold them."""
-    if sum(sizes.values()) > MOST_CATEGORIES:
-        widest = sorted(sizes, key=sizes.get, reverse=True)[:3]
-        raise FeatureError(
-            f"more than {MOST_CATEGORIES} categories to encode; leave out: {', '.join(widest)}"
-        )
+    They live in a Spark ML model, hence on the driver; `max_categories` of the feature
+    plan bounds them.
+    """
     labels: list[list[str]] = [[] for _ in columns]
     for position, value in category_counts(df, columns).select("position", "value").collect():
         labels[position].append(value)
@@ -264,9 +260,9 @@ def fit_preprocessing(
     discrete, most = features.discrete, 0
     if discrete:
         facts = {r["column_name"]: r for r in modes(train, discrete).collect()}
-        sizes = {name: row["categories"] for name, row in facts.items()}
-        labels = category_labels(train, discrete, sizes)
-        most = max(len(values) for values in labels)
+        labels = category_labels(train, discrete)
+        # Only indexed categories are values of a feature; one-hot slots have two.
+        most = 0 if one_hot else max(len(values) for values in labels)
         for i, name in enumerate(discrete):
             common = facts[name]["value"] if name in facts else ""
             literal = common.replace("\\", "\\\\").replace("'", "\\'")

@@ -11,7 +11,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ROWS_PER_RANGE = 1_000_000
-MOST_RANGES = 10_000
 
 
 def classification_metrics(
@@ -77,10 +76,11 @@ def roc_auc(
     The area is a rank statistic, and ranking by score is a running sum over all
     rows. Rows are first merged per distinct score. Score ranges of about
     `rows_per_range` rows then get their totals summed up, and only inside a range
-    are scores put in order, so no task sees more than its range of a group.
+    are scores put in order, so no task sees more than its range of a group. The driver
+    holds one bound per range. Rows whose score is null or NaN are left out.
     """
-    scored = df.where(F.col(score).isNotNull())
-    ranges = min(MOST_RANGES, math.ceil(scored.count() / rows_per_range))
+    scored = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+    ranges = math.ceil(scored.count() / rows_per_range)
     merged = scored.groupBy(*groups, score).agg(
         F.count_if(F.col(is_positive)).alias("pos"), F.count_if(~F.col(is_positive)).alias("neg")
     )
@@ -94,7 +94,7 @@ def roc_auc(
         placed = Bucketizer(splits=bounds, inputCol=score, outputCol="range").transform(merged)
 
     totals = placed.groupBy(*groups, "range").agg(F.sum("neg").alias("range_neg"))
-    # One row per range, and their number is limited.
+    # One row per range.
     earlier = W.partitionBy(*groups, F.lit(0)).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
         *groups, "range", F.coalesce(F.sum("range_neg").over(earlier), F.lit(0)).alias("offset")

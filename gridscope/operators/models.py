@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridscope.functions.columns import distinct_messages, json_text, quoted
-from gridscope.functions.tables import keep, local_table
+from gridscope.functions.tables import kept, local_table
 from gridscope.operators.features import (
     FEATURES,
     FeatureColumns,
@@ -44,17 +44,14 @@ from gridscope.operators.recommend import Candidate, Recommendation, as_text
 from gridscope.operators.split import SplitError, SplitPlan, plan_split, split_train_test
 
 # The largest depth Spark's trees accept, the bins and leaf size of
-# the boosted trees, and the most features its exact least-squares solver takes.
+# the boosted trees, and the share of training rows that tells them when to stop.
 DEEPEST_TREE = 30
 BOOSTING_BINS = 255
 BOOSTING_LEAF = 20
-NORMAL_EQUATION_FEATURES = 4096
+STOPPING_SHARE = 10
 
 # Columns added for training; the table may well have a `weight` or `label` of its own.
-LABEL, WEIGHT, SPLIT = "__label", "__weight", "__split"
-
-# Per-class state of a model and of a confusion table is held on the driver.
-MOST_CLASSES = 10_000
+LABEL, WEIGHT, SPLIT, STOPPING = "__label", "__weight", "__split", "__stopping"
 
 
 class ModelError(ValueError):
@@ -68,20 +65,20 @@ class TrainingFacts:
     rows: int
     classes: int
     label_deviation: float
-    label_deviation_pop: float
-    feature_count: int
     max_categories: int
+    early_stopping: float | None = None
 
 
 def _ridge(params: dict, facts: TrainingFacts) -> Estimator:
-    # Spark penalises the mean loss of a label scaled to unit deviation.
-    exact = facts.feature_count <= NORMAL_EQUATION_FEATURES
-    deviation = facts.label_deviation_pop if exact else facts.label_deviation
+    # Spark penalises the mean loss of a label scaled to unit deviation. The iteration goes
+    # on until it meets the closed form, whatever the number of features.
     return LinearRegression(
-        regParam=float(params.get("alpha", 1.0)) * deviation / facts.rows,
+        regParam=float(params.get("alpha", 1.0)) * facts.label_deviation / facts.rows,
         elasticNetParam=0.0,
         standardization=False,
-        solver="normal" if exact else "l-bfgs",
+        solver="l-bfgs",
+        maxIter=1000,
+        tol=1e-14,
     )
 
 
@@ -157,6 +154,9 @@ def build_estimator(candidate: Candidate, facts: TrainingFacts) -> Estimator:
         estimator.set(estimator.getParam(name), value)
     if candidate.params.get("class_weight") == "balanced":
         estimator.setWeightCol(WEIGHT)
+    if facts.early_stopping is not None and estimator.hasParam("validationIndicatorCol"):
+        estimator.set(estimator.validationIndicatorCol, STOPPING)
+        estimator.set(estimator.validationTol, facts.early_stopping)
     estimator.setLabelCol(LABEL).setFeaturesCol(FEATURES)
     if isinstance(estimator, GBTClassifier) and facts.classes > 2:
         return OneVsRest(classifier=estimator, labelCol=LABEL, featuresCol=FEATURES)
@@ -173,11 +173,14 @@ class Training:
     best: dict | None = None
     split: SplitPlan | None = None
     feature_count: int = 0
+    features: FeatureColumns | None = None
+    test_size: float | int | None = None
+    seed: int | None = None
     warnings: list[str] = field(default_factory=list)
     errors: list[str] = field(default_factory=list)
 
-    def summary_table(self, spark: SparkSession) -> DataFrame:
-        split = self.split
+    def summary_table(self, spark: SparkSession, dropped_rows: int = 0) -> DataFrame:
+        split, used = self.split, self.features
         return local_table(
             spark,
             [
@@ -188,13 +191,20 @@ class Training:
                     split and split.train_count,
                     split and split.test_count,
                     self.feature_count,
+                    len(used.numeric) if used else 0,
+                    len(used.categorical) if used else 0,
+                    len(used.boolean) if used else 0,
+                    dropped_rows,
+                    None if self.test_size is None else float(self.test_size),
+                    self.seed,
                     split and split.stratified,
                     self.warnings,
                     self.errors,
                 )
             ],
             "status string, best_model string, best_value double, train_rows bigint, "
-            "test_rows bigint, feature_count int, stratified boolean, "
+            "test_rows bigint, feature_count int, numeric_features int, categorical_features int, "
+            "boolean_features int, dropped_rows bigint, test_size double, seed bigint, stratified boolean, "
             "warnings array<string>, errors array<string>",
         )
 
@@ -253,12 +263,17 @@ def train_candidates(
     seed: int = 42,
     max_candidates: int | None = None,
     overrides: dict[str, object] | None = None,
+    max_train_rows: int | None = None,
+    early_stopping: float | None = None,
 ) -> Training:
     """Split, fit every candidate, score both sides, pick the best.
 
     `df` holds the feature columns and a target without missing values. A candidate
     that is unavailable is skipped and one that raises is recorded as failed; the
-    others still run. `overrides` changes parameters of all candidates.
+    others still run. `overrides` changes parameters of all candidates. The learners see
+    about `max_train_rows` training rows if that is given, chosen by hash; scores are of
+    all rows. With `early_stopping` boosting ends when a hash-chosen tenth of the training
+    rows gains less than that by a further round.
     """
     spark, task_type = df.sparkSession, recommendation.task_type
     nothing = experiment_table(spark, [])
@@ -276,11 +291,11 @@ def train_candidates(
         return Training("failed", nothing, errors=[f"no split: {error}"])
 
     rows, labels = _with_label(rows, target, task_type)
-    rows = keep(rows)
-    try:
-        records, models = _run(rows, features, candidates, task_type, labels, overrides or {})
-    finally:
-        rows.unpersist()
+    with kept(rows) as rows:
+        records, models = _run(
+            rows, features, candidates, task_type, labels, overrides or {}, plan, seed,
+            max_train_rows, early_stopping,
+        )
 
     experiments = experiment_table(spark, records)
     status = run_status(experiments).first()["run_status"]
@@ -291,7 +306,7 @@ def train_candidates(
         errors = ["no candidate completed"]
     return Training(
         status, experiments, models, best.asDict() if best else None, plan, len(features.all),
-        warnings, errors,
+        features, test_size, seed, warnings, errors,
     )
 
 
@@ -302,37 +317,39 @@ def _with_label(
     if task_type == "regression":
         columns = {LABEL: F.col(quoted(target)).cast("double"), WEIGHT: F.lit(1.0)}
         return rows.withColumns(columns), []
+    kind = rows.schema[target].dataType
     value = F.col(quoted(target))
-    text = json_text(value, rows.schema[target].dataType)
     per_class = rows.groupBy(value.alias("value")).agg(
         F.count_if(F.col(SPLIT) == "train").alias("n")
     )
-    found = per_class.orderBy("value").limit(MOST_CLASSES + 1)
-    found = found.select(
-        json_text(F.col("value"), rows.schema[target].dataType).alias("text"), "n"
-    ).collect()
-    if len(found) > MOST_CLASSES:
-        raise ModelError(f"more than {MOST_CLASSES} classes")
-    labels = [row["text"] for row in found]
-    weights = class_weights({row["text"]: row["n"] for row in found})
-    # One row per class, and their number was just checked.
+    # One row per class; a classifier and its label names are on the driver anyway.
+    found = per_class.orderBy("value").select("value", json_text(F.col("value"), kind).alias("text"), "n").collect()
+    weights = class_weights({i: row["n"] for i, row in enumerate(found)})
     table = local_table(
         rows.sparkSession,
-        [(label, float(i), weights.get(label, 1.0)) for i, label in enumerate(labels)],
-        f"__text string, {LABEL} double, {WEIGHT} double",
-    )
-    joined = rows.withColumn("__class", text).join(
-        F.broadcast(table), F.col("__class") == F.col("__text")
+        [(row["value"], float(i), weights.get(i, 1.0)) for i, row in enumerate(found)],
+        T.StructType([T.StructField("__class", kind), T.StructField(LABEL, T.DoubleType()), T.StructField(WEIGHT, T.DoubleType())]),
     )
-    return joined.drop("__class", "__text"), labels
+    # Values are joined, not their texts: 0.0 and -0.0 are one class and two texts.
+    joined = rows.join(F.broadcast(table), value.eqNullSafe(F.col("__class")))
+    return joined.drop("__class"), [row["text"] for row in found]
 
 
-def _run(rows, features, candidates, task_type, labels, overrides):
+def _run(
+    rows, features, candidates, task_type, labels, overrides, plan, seed, max_train_rows,
+    early_stopping,
+):
     train = rows.where(F.col(SPLIT) == "train")
+    if train.count() != plan.train_count:
+        raise ModelError("the training rows are not those of the split")
+    pick = F.pmod(F.xxhash64(F.lit(seed), *[F.col(quoted(c)) for c in features.all]), F.lit(1_000_000_007))
+    learned = F.lit(True)
+    if max_train_rows is not None and max_train_rows < plan.train_count:
+        learned = pick < int(1_000_000_007 * max_train_rows / plan.train_count)
+    rows = rows.withColumn(STOPPING, pick % STOPPING_SHARE == 0).withColumn("__learned", learned)
+    train = rows.where((F.col(SPLIT) == "train") & F.col("__learned"))
     numbers = train.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.stddev_samp(LABEL).alias("deviation"),
-        F.stddev_pop(LABEL).alias("deviation_pop"),
+        F.count(F.lit(1)).alias("rows"), F.stddev_samp(LABEL).alias("deviation")
     ).first()
     prepared: dict[bool, Preprocessing] = {}
     metric, higher = primary_metric(task_type)
@@ -350,7 +367,7 @@ def _run(rows, features, candidates, task_type, labels, overrides):
                 if one_hot not in prepared:
                     prepared[one_hot] = fit_preprocessing(train, features, one_hot=one_hot)
                 model, estimator_name, metrics = _fit_one(
-                    candidate, rows, prepared[one_hot], numbers, task_type, labels
+                    candidate, rows, prepared[one_hot], numbers, task_type, labels, early_stopping
                 )
                 models[seq] = model
             except Exception as error:
@@ -367,18 +384,19 @@ def _run(rows, features, candidates, task_type, labels, overrides):
     return records, models
 
 
-def _fit_one(candidate, rows, preprocessing, numbers, task_type, labels):
-    vectors = preprocessing.model().transform(rows).select(FEATURES, LABEL, WEIGHT, SPLIT)
+def _fit_one(candidate, rows, preprocessing, numbers, task_type, labels, early_stopping):
+    vectors = preprocessing.model().transform(rows).select(
+        FEATURES, LABEL, WEIGHT, SPLIT, STOPPING, "__learned"
+    )
     facts = TrainingFacts(
         numbers["rows"],
         len(labels),
         numbers["deviation"] or 0.0,
-        numbers["deviation_pop"] or 0.0,
-        vectors.schema[FEATURES].metadata["ml_attr"]["num_attrs"],
         preprocessing.max_categories,
+        early_stopping,
     )
     estimator = build_estimator(candidate, facts)
-    fitted = estimator.fit(vectors.where(F.col(SPLIT) == "train"))
+    fitted = estimator.fit(vectors.where((F.col(SPLIT) == "train") & F.col("__learned")))
 
     predicted = fitted.transform(vectors)
     columns = [SPLIT, LABEL, "prediction"]

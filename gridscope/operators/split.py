@@ -6,13 +6,12 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridscope.functions.columns import grouping_key, quoted
-from gridscope.functions.tables import pin
+from gridscope.functions.tables import pin, stored
 
 
 class SplitError(ValueError):
@@ -129,34 +128,37 @@ def split_train_test(
     buckets = hashed.groupBy(F.col("__class").alias("label"), F.col("__bucket").alias("part")).agg(
         F.count(F.lit(1)).alias("rows")
     )
-    buckets = buckets.persist(StorageLevel.MEMORY_AND_DISK)
+    # A row per class is broadcast if there are few; else it is found by class and prefix,
+    # a key of which no value holds more than about the root of a class's rows.
+    few_classes = plan.class_count <= BROADCAST_CLASSES or not plan.stratified
+    settle = pin if few_classes else stored
+    buckets = stored(buckets)
     classes = buckets.groupBy("label").agg(F.sum("rows").alias("n"))
     if plan.stratified:
         quotas = class_quotas(classes, plan)
     else:
         quotas = classes.withColumn("quota", F.lit(plan.test_count).cast("bigint"))
-    edges = _crossing(buckets, quotas)
-    few_classes = plan.class_count <= PINNED_CLASSES or not plan.stratified
-    if few_classes:
-        # Known to be small, they are broadcast instead of shuffling all hashes to them.
-        edges = pin(edges)
-        buckets.unpersist()
+    edges = settle(_crossing(buckets, quotas))
 
     # Inside that prefix, the hash where the quota is filled: again one row per class.
     at_edge = (F.col("__bucket") == F.col("part")) & F.col("__class").eqNullSafe(F.col("label"))
     near = (
         hashed.select("__class", "__bucket", "__hash")
-        .join(edges, at_edge)
+        .join(F.broadcast(edges) if few_classes else edges, at_edge)
         .groupBy("label", F.col("__hash").alias("part"))
         .agg(F.count(F.lit(1)).alias("rows"))
     )
     cuts = _crossing(near, edges.select("label", F.col("missing").alias("quota")))
-    cuts = cuts.select(
-        F.col("label").alias("__label"), F.col("part").alias("__cut"), "missing", "rows"
+    cuts = settle(
+        cuts.select(F.col("label").alias("__label"), F.col("part").alias("__cut"), "missing", "rows")
     )
+    same = F.col("__class").eqNullSafe(F.col("__label"))
     if few_classes:
-        cuts = pin(cuts)
-    placed = hashed.join(cuts, F.col("__class").eqNullSafe(F.col("__label")), "left")
+        placed = hashed.join(F.broadcast(cuts), same, "left")
+    else:
+        cut_of = buckets.select("label", "part").join(cuts, F.col("label").eqNullSafe(F.col("__label")), "left")
+        at_bucket = F.col("__class").eqNullSafe(F.col("label")) & (F.col("__bucket") == F.col("part"))
+        placed = hashed.join(cut_of, at_bucket, "left").drop("label", "part")
     columns = [F.col(quoted(name)) for name in df.columns]
     # A class with a quota of 0 has no cut: all its rows are for training.
     split = F.when(F.col("__hash") <= F.col("__cut"), "test").otherwise("train").alias(column)
@@ -174,9 +176,8 @@ def split_train_test(
     last = _crossing(
         contents, cuts.select(F.col("__label").alias("label"), F.col("missing").alias("quota"))
     ).select("label", F.col("part").alias("__last"), F.col("missing").alias("__wanted"))
-    if few_classes:
-        last = pin(last)
-    decided = tied.join(last, F.col("__label").eqNullSafe(F.col("label")))
+    last = settle(last)
+    decided = tied.join(F.broadcast(last) if few_classes else last, F.col("__label").eqNullSafe(F.col("label")))
     before = F.when(F.col("__content") < F.col("__last"), "test").otherwise("train").alias(column)
     return (
         placed.where(~at_cut)
@@ -232,8 +233,8 @@ def _divided_copies(copies: DataFrame, columns: list[Column], column: str) -> Da
     )
 
 
-# One short row per class up to this many classes is kept as a literal table.
-PINNED_CLASSES = 100_000
+# Up to this many classes their edges and cuts, a short row each, are broadcast.
+BROADCAST_CLASSES = 100_000
 
 
 def _crossing(parts: DataFrame, quotas: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from gridscope.config import AnalysisConfig
 from gridscope.functions.columns import distinct_messages
@@ -38,7 +40,11 @@ class Analysis:
     recommendation: Recommendation | None = None
     warnings: list[str] = field(default_factory=list)
     errors: list[str] = field(default_factory=list)
+    # Seconds since the epoch.
+    started: float | None = None
+    ended: float | None = None
     _rows: dict[str, Row] = field(default_factory=dict, repr=False)
+    _state: tuple | None = field(default=None, repr=False)
 
     def row(self, name: str) -> Row | None:
         """The only row of a one-row result table."""
@@ -58,76 +64,105 @@ class Analysis:
         task = self.row("task")
         return task and task["task_type"]
 
+    def state(self) -> Row:
+        """The readiness flags and the verdict, one row."""
+        key = (self.status, *sorted(self.tables))
+        if self._state is None or self._state[0] != key:
+            spark = SparkSession.active()
+            self._state = key, readiness(self._facts(spark)).first()
+        return self._state[1]
+
+    def _facts(self, spark: SparkSession) -> DataFrame:
+        """What the flags follow from; null where a stage has not run."""
+        validation, quality, task = map(self.row, ("validation", "quality_summary", "task"))
+        critical = None
+        if "target_issues" in self.tables:
+            critical = self.tables["target_issues"].where("severity = 'critical'").count()
+        plan = self.recommendation
+        row = (
+            self.status,
+            validation and validation["is_valid"],
+            quality and quality["is_usable_for_analysis"],
+            task and task["status"],
+            critical,
+            len(plan.candidates) if plan is not None and plan.is_ready else 0,
+        )
+        return local_table(
+            spark,
+            [row],
+            "status string, valid boolean, usable boolean, task string, critical bigint, candidates int",
+        )
+
     @property
     def is_ready_for_downstream_analysis(self) -> bool:
-        valid = self.row("validation")
-        return self.status == "completed" and valid is not None and valid["is_valid"]
+        return self.state()["ready_for_downstream"]
 
     @property
     def is_ready_for_model_planning(self) -> bool:
-        quality, task = self.row("quality_summary"), self.row("task")
-        return (
-            self.is_ready_for_downstream_analysis
-            and (quality is None or quality["is_usable_for_analysis"])
-            and "target_summary" in self.tables
-            and not self._critical("target_issues")
-            and task is not None
-            and task["status"] == "ok"
-        )
+        return self.state()["ready_for_planning"]
 
     @property
     def requires_target(self) -> bool:
-        task = self.row("task")
-        return self.is_ready_for_downstream_analysis and task is not None and task["status"] != "ok"
+        return self.state()["requires_target"]
 
     @property
     def is_ready_for_training(self) -> bool:
-        return (
-            self.is_ready_for_model_planning
-            and self.recommendation is not None
-            and self.recommendation.is_ready
-        )
+        return self.state()["ready_for_training"]
 
     @property
     def verdict(self) -> str:
-        task = self.row("task")
-        if self.status != "completed":
-            return "failed"
-        if task is None or task["status"] != "ok":
-            return "requires_user_input"
-        if self.recommendation is not None:
-            if self.recommendation.is_ready:
-                return "ready_for_training_approval"
-            if self.recommendation.status == "blocked":
-                return "blocked"
-        return "ready_for_training_approval" if self.is_ready_for_training else "blocked"
-
-    def _critical(self, name: str) -> bool:
-        table = self.tables.get(name)
-        return table is not None and bool(table.where("severity = 'critical'").take(1))
+        return self.state()["verdict"]
 
     def summary_table(self, spark: SparkSession) -> DataFrame:
-        return local_table(
+        """One row: the run, when it ran, its readiness, warnings and errors."""
+        flags = readiness(self._facts(spark)).drop("valid", "usable", "task", "critical", "candidates")
+        run = (self.run_id, self.source, self.started, self.ended, self.warnings, self.errors)
+        about = local_table(
             spark,
-            [
-                (
-                    self.run_id,
-                    self.source,
-                    self.status,
-                    self.verdict,
-                    self.is_ready_for_downstream_analysis,
-                    self.is_ready_for_model_planning,
-                    self.requires_target,
-                    self.is_ready_for_training,
-                    self.warnings,
-                    self.errors,
-                )
-            ],
-            "run_id string, source string, status string, verdict string, "
-            "ready_for_downstream boolean, ready_for_planning boolean, "
-            "requires_target boolean, ready_for_training boolean, "
+            [run],
+            "run_id string, source string, started_at double, ended_at double, "
             "warnings array<string>, errors array<string>",
         )
+        # One row each.
+        return about.crossJoin(flags).select(
+            "run_id",
+            "source",
+            "status",
+            "verdict",
+            "ready_for_downstream",
+            "ready_for_planning",
+            "requires_target",
+            "ready_for_training",
+            F.timestamp_seconds("started_at").alias("started_at"),
+            F.timestamp_seconds("ended_at").alias("ended_at"),
+            F.round(F.col("ended_at") - F.col("started_at"), 3).alias("duration_seconds"),
+            "warnings",
+            "errors",
+        )
+
+
+def readiness(facts: DataFrame) -> DataFrame:
+    """The facts of runs with four flags and a verdict.
+
+    A task is needed once the table is valid; planning needs a task whose target has been
+    profiled without critical issues; training needs a candidate on top of that.
+    """
+    sure = lambda condition: F.coalesce(condition, F.lit(False))
+    done, known = F.col("status") == "completed", sure(F.col("task") == "ok")
+    downstream = done & sure(F.col("valid"))
+    planning = downstream & known & F.coalesce("usable", F.lit(True)) & sure(F.col("critical") == 0)
+    return facts.withColumns(
+        {
+            "ready_for_downstream": downstream,
+            "requires_target": downstream & sure(F.col("task") != "ok"),
+            "ready_for_planning": planning,
+            "ready_for_training": planning & (F.col("candidates") > 0),
+            "verdict": F.when(~done, "failed")
+            .when(~known, "requires_user_input")
+            .when(F.col("candidates") > 0, "ready_for_training_approval")
+            .otherwise("blocked"),
+        }
+    )
 
 
 def analyze_table(
@@ -146,17 +181,16 @@ def analyze_table(
     if target is not None:
         config = replace(config, target_candidates=(target,))
     source = table if isinstance(table, str) else "dataframe"
-    analysis = Analysis(run_id, source, "completed", config)
+    analysis = Analysis(run_id, source, "completed", config, started=time.time())
     try:
         analysis.data = read_table(spark, table) if isinstance(table, str) else table
+        _run_stages(analysis)
     except LoadError as error:
         analysis.status, analysis.errors = "load_failed", [str(error)]
-        return analysis
-    try:
-        _run_stages(analysis)
     except Exception as error:
         analysis.status, analysis.errors = "pipeline_error", [f"analysis failed: {error}"]
         analysis.tables, analysis.recommendation = {}, None
+    analysis.ended = time.time()
     return analysis
 
 

@@ -48,7 +48,7 @@ def train_table(
     `exclude` leaves further columns out; `overrides` changes model parameters.
     """
     run_id = analysis.run_id
-    if not analysis.is_ready_for_training and analysis.verdict != "ready_for_training_approval":
+    if analysis.verdict != "ready_for_training_approval":
         errors = [f"the analysis is not ready for training: {analysis.verdict}"]
         return TrainingRun(run_id, "not_ready", errors=errors)
     missing = [name for name in STAGES if name not in analysis.tables]
@@ -73,7 +73,7 @@ def train_table(
             chosen, features, target, analysis.recommendation, key,
             config.test_size if test_size is None else test_size,
             config.seed if seed is None else seed,
-            max_candidates, overrides,
+            max_candidates, overrides, config.max_train_rows, config.early_stopping,
         )
     except (FeatureError, ModelError) as error:
         run.errors = [f"no training data: {error}"]
@@ -93,7 +93,7 @@ def save_training(
     tables = {
         "feature_plan": run.feature_plan,
         "experiments": run.training.experiments,
-        "training": run.training.summary_table(spark),
+        "training": run.training.summary_table(spark, run.dropped_rows),
     }
     paths, warnings = write_results(tables, folder, run.run_id, format)
     models, model_warnings = save_models(run.training, f"{folder.rstrip('/')}/models/{run.run_id}")

@@ -94,11 +94,27 @@ def header_of(spark: SparkSession, path: str, separator: str) -> list[str]:
     ]
 
 
-def has_quoted_line_breaks(spark: SparkSession, path: str) -> bool:
-    """A field that goes on in the next line leaves a line with an odd number of quotes."""
-    lines = spark.read.text(path)
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    return bool(lines.where(quotes % 2 == 1).take(1))
+def text_facts(spark: SparkSession, path: str, separator: str) -> tuple[bool, list[str]]:
+    """Whether a record goes on in the next line, and two of the files' different first lines.
+
+    A record goes on where a quote opens a field and isn't closed in its line; a quote
+    inside a field, as in 5" pipe, doesn't. First lines are compared without quotes and
+    outer spaces. One pass over the text; a row per file is gathered.
+    """
+    field = re.escape(separator)
+    open_quote = F.col("value").rlike(rf'(?:^|{field})"(?:[^"]|"")*$')
+    lines = spark.read.text(path).select(
+        "value", "_metadata.file_path", "_metadata.file_block_start",
+        F.monotonically_increasing_id().alias("line"),
+    )
+    place = F.struct("file_block_start", "line")
+    files = lines.groupBy("file_path").agg(
+        F.min_by("value", place).alias("head"), F.max(open_quote).alias("open")
+    )
+    head = F.trim(F.regexp_replace(F.replace("head", F.lit('"'), F.lit("")), "^\ufeff", ""))
+    heads = files.groupBy(head.alias("head")).agg(F.max("open").alias("open"))
+    facts = heads.agg(F.max("open").alias("open"), F.min("head").alias("low"), F.max("head").alias("high")).first()
+    return bool(facts["open"]), [h for h in dict.fromkeys((facts["low"], facts["high"])) if h is not None]
 
 
 def _read_delimited(
@@ -122,9 +138,11 @@ def _read_delimited(
                 "column names differ only by case: " + ", ".join(clash)
                 + "; set spark.sql.caseSensitive=true"
             )
-    if multiline is None:
-        # Files whose records may span lines cannot be split, so ask first.
-        multiline = has_quoted_line_breaks(spark, path)
+    # Files whose records may span lines cannot be split, so ask first.
+    goes_on, heads = text_facts(spark, path, separator)
+    if len(heads) > 1:
+        raise LoadError(f"the files of {path} have different headers: {heads[0]} and {heads[1]}")
+    multiline = goes_on if multiline is None else multiline
     fields = [T.StructField(name, T.StringType()) for name in [*names, OVERFLOW]]
     text = spark.read.csv(
         path, schema=T.StructType(fields), sep=separator, header=True, quote='"', escape='"',
@@ -217,6 +235,7 @@ def preview_rows(df: DataFrame, count: int = 5) -> DataFrame:
         if not isinstance(f.dataType, (T.MapType, T.VariantType, T.CalendarIntervalType))
     ]
     first = df.orderBy(*sortable).limit(count) if sortable else df.limit(count)
+    order = F.struct(*sortable) if sortable else F.lit(0)
     values = []
     for f in first.schema:
         column = F.col(quoted(f.name))
@@ -226,7 +245,8 @@ def preview_rows(df: DataFrame, count: int = 5) -> DataFrame:
             column = F.when(~F.isnan(column), column)
         values.append(column.alias(f.name))
     found = first.select(
-        F.to_json(F.struct(*values), {"ignoreNullFields": "false"}).alias("row_json")
+        F.struct(order.alias("place"), F.to_json(F.struct(*values), {"ignoreNullFields": "false"}).alias("row_json")).alias("row")
     )
-    listed = found.agg(F.collect_list("row_json").alias("rows"))
-    return listed.select(F.posexplode("rows").alias("seq", "row_json"))
+    # A limited table may arrive in any order.
+    listed = found.agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    return listed.select(F.posexplode("rows.row_json").alias("seq", "row_json"))

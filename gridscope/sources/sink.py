@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def write_results(
@@ -14,22 +13,21 @@ def write_results(
     format: str = "parquet",
     mode: str = "overwrite",
 ) -> tuple[list[str], list[str]]:
-    """Write one dataset per result table, partitioned by run; returns paths, warnings.
+    """Write each result table to `name/run_id=...`; returns the tables' paths and warnings.
 
-    Writing a run again replaces it and leaves other runs alone. A failed write becomes a warning, so results stay usable without their files.
+    Writing a run again replaces all it wrote before, with an empty table too, and leaves
+    other runs alone. An empty table is one file with its schema, so it can be read.
+    A failed write becomes a warning, so results stay usable without their files.
     """
     paths, warnings = [], []
     for name, table in tables.items():
         path = f"{folder.rstrip('/')}/{name}"
         try:
-            (
-                table.withColumn("run_id", F.lit(run_id))
-                .write.mode(mode)
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("run_id")
-                .format(format)
-                .save(path)
-            )
+            # A range of no rows may have no partition, and then no file with a schema.
+            if table.isEmpty():
+                table = table.limit(0).repartition(1)
+            # The folder name carries the run id.
+            table.drop("run_id").write.mode(mode).format(format).save(f"{path}/run_id={run_id}")
             paths.append(path)
         except (PySparkException, OSError, ValueError) as error:
             warnings.append(f"{name} could not be written: {error}")
