@@ -410,3 +410,25 @@ tr AS (SELECT avg({x}) AS mx, stddev_pop({x}) AS sx, avg({y}) AS my FROM split W
 w AS (SELECT sum((({x} - mx) / sx) * ({y} - my)) / (count(*) + 1.0) AS w FROM split, tr WHERE split = 'train'),
 z AS (SELECT split, {y} AS y, my + w * ({x} - mx) / sx AS p FROM split, tr, w)
 {regression('SELECT * FROM z', 'split')}"""
+
+
+def group_majority(table: str, key: str, group: str, label: str) -> str:
+    """Accuracy and macro F1 per side of predicting each group's most frequent training class."""
+    return f"""WITH {split_sql(table, key, label)},
+c AS (SELECT {group} AS g, {label} AS p, count(*) AS n FROM split WHERE split.split = 'train' GROUP BY 1, 2),
+m AS (SELECT g, p, row_number() OVER (PARTITION BY g ORDER BY n DESC, p) AS rk FROM c),
+z AS (SELECT split, {label} AS y, p FROM split JOIN m ON {group} = g WHERE rk = 1),
+k AS (SELECT split, y AS cls FROM z UNION SELECT split, p FROM z),
+f AS (SELECT k.split, cls, count(*) FILTER (WHERE y = cls AND p = cls) AS tp,
+  count(*) FILTER (WHERE y = cls) + count(*) FILTER (WHERE p = cls) AS uses
+  FROM k JOIN z ON z.split = k.split GROUP BY k.split, cls)
+SELECT split, 'accuracy' AS metric, round(avg(CAST(y = p AS INT)), 6) AS value FROM z GROUP BY split
+UNION ALL SELECT split, 'f1_macro', round(avg(2 * tp / uses), 6) FROM f GROUP BY split"""
+
+
+def group_means(table: str, key: str, group: str, y: str) -> str:
+    """Scores per side of predicting each group's training mean."""
+    return f"""SELECT split, metric, value FROM (SELECT split, mae, rmse, r2 FROM (WITH {split_sql(table, key, None)},
+m AS (SELECT {group} AS g, avg({y}) AS p FROM split WHERE split = 'train' GROUP BY 1),
+z AS (SELECT split, {y} AS y, p FROM split JOIN m ON {group} = g)
+{regression('SELECT * FROM z', 'split')})) UNPIVOT (value FOR metric IN (mae, rmse, r2))"""

@@ -610,6 +610,60 @@ def train_categorical_boosting(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Trainings whose scores follow from counts and means of one category. A weak penalty, or
+# trees that take whole steps, leave the class shares and means of each band.
+LINE_KEY_SQL = " || '|' || ".join(f"CAST({name} AS VARCHAR)" for name in LINE_KEY)
+BAND = FeatureColumns([], ["band"], [])
+FEW = {"numTrees": 20, "maxDepth": 5, "maxIter": 5}
+
+
+def _majority(candidate: Candidate, overrides: dict) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        training = _train(spark, folder, "banded", "size", BAND, candidate, LINE_KEY, overrides)
+        return _scores(training).where("metric != 'roc_auc'")
+
+    return query
+
+
+MAJORITY = oracle.group_majority("banded", LINE_KEY_SQL, "band", "size")
+register("train_logistic_shares", MAJORITY)(
+    _majority(linear_candidate("classification", "baseline", False), {"regParam": 1e-9, "maxIter": 300})
+)
+register("train_forest_majority", MAJORITY)(
+    _majority(forest_candidate("classification", "recommended", False, ""), FEW)
+)
+register("train_gbt_majority", MAJORITY)(
+    _majority(boosting_candidate("classification", "recommended", ""), FEW)
+)
+register("train_categorical_majority", MAJORITY)(
+    _majority(categorical_candidate("classification", "recommended", 2), FEW)
+)
+
+
+@register("train_gbt_group_means", oracle.group_means("banded", LINE_KEY_SQL, "band", "l_extendedprice"))
+def train_gbt_group_means(spark: SparkSession, folder: str) -> DataFrame:
+    candidate = boosting_candidate("regression", "recommended", "")
+    overrides = {"stepSize": 1.0, "maxIter": 2, "maxDepth": 5}
+    return _scores(
+        _train(spark, folder, "banded", "l_extendedprice", BAND, candidate, LINE_KEY, overrides)
+    )
+
+
+@register(
+    "train_forest_beats_mean",
+    "SELECT count(*) - CAST(ceil(count(*) * 0.2) AS BIGINT) AS train_rows, "
+    "CAST(ceil(count(*) * 0.2) AS BIGINT) AS test_rows, true AS beats_mean FROM lineitem",
+)
+def train_forest_beats_mean(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the forest explains test rows better than their mean does, which has an R2 of 0."""
+    candidate = forest_candidate("regression", "recommended", False, "")
+    training = _train(spark, folder, "banded", "l_quantity", BAND, candidate, LINE_KEY, FEW)
+    sizes = training.summary_table(spark).select("train_rows", "test_rows")
+    r2 = training.experiments.select((F.col("test_metrics")["r2"] > 0.05).alias("beats_mean"))
+    # One row each.
+    return sizes.crossJoin(r2)
+
+
 @register("model_sink", "SELECT count(*) AS predicted_rows FROM part")
 def model_sink(spark: SparkSession, folder: str) -> DataFrame:
     """Train, save, load, predict the whole table."""
@@ -781,3 +835,28 @@ def training_run(spark: SparkSession, folder: str) -> DataFrame:
         "seq", "model_name", "role", "status", "primary_metric_name", "primary_metric_value",
         "generalization_gap", "overfitting_risk",
     )
+
+
+@register(
+    "training_run_outcome",
+    f"""WITH b AS ({oracle.feature_plan('part', 'p_retailprice')}), n AS (SELECT count(*) AS c FROM part)
+SELECT seq, model_name, role, 'success' AS status, c - CAST(ceil(c * 0.2) AS BIGINT) AS train_rows,
+  CAST(ceil(c * 0.2) AS BIGINT) AS test_rows, CAST(0 AS BIGINT) AS dropped_rows, CAST(42 AS BIGINT) AS seed,
+  CAST(0.2 AS DOUBLE) AS test_size,
+  (SELECT CAST(count(*) AS INT) FROM b WHERE bucket = 'numeric') AS numeric_features,
+  (SELECT CAST(count(*) AS INT) FROM b WHERE bucket = 'categorical') AS categorical_features
+FROM n, (VALUES (0, 'RandomForestRegressor', 'recommended'), (1, 'Ridge', 'baseline'),
+  (2, 'HistGradientBoostingRegressor', 'challenger')) m(seq, model_name, role)""",
+)
+def training_run_outcome(spark: SparkSession, folder: str) -> DataFrame:
+    """Analyse, train all recommended candidates, save; experiments and run facts read back."""
+    run = analyze_table(spark, load(spark, folder, "part"), target="p_retailprice", run_id="one")
+    trained = train_table(run, key=["p_partkey"], overrides=SMALL)
+    base = scratch_folder(spark)
+    save_training(spark, trained, base)
+    facts = spark.read.parquet(f"{base}/training").select(
+        "train_rows", "test_rows", "dropped_rows", "seed", "test_size", "numeric_features", "categorical_features"
+    )
+    # The facts are one row.
+    found = spark.read.parquet(f"{base}/experiments").select("seq", "model_name", "role", "status")
+    return found.crossJoin(facts)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Column names and Spark types of the given tables.
 COLUMNS = {
@@ -29,9 +30,17 @@ COLUMNS = {
 COLUMNS["doclab"] = COLUMNS["documents"] + ", quality int, toxic int"
 # Only the two label columns: most rows are missing altogether.
 COLUMNS["doclab_labels"] = "quality int, toxic int"
+# Lines with a band of their quantity and a size that mostly follows from it.
+COLUMNS["banded"] = (
+    "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, band string, size string"
+)
 
 SOURCES = {
     "doclab": "SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)",
+    "banded": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, "
+    "'b' || CAST(CAST(floor(l_quantity / 10) AS INT) AS VARCHAR) AS band, "
+    "CASE WHEN l_quantity + 20 * l_discount > 30 THEN 'high' ELSE 'low' END AS size FROM lineitem",
     "doclab_labels": "SELECT l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)",
 }
 
@@ -45,6 +54,11 @@ def source_sql(table: str) -> str:
 
 
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    if table == "banded":
+        band = F.concat(F.lit("b"), F.floor(F.col("l_quantity") / 10).cast("int").cast("string"))
+        size = F.when(F.col("l_quantity") + 20 * F.col("l_discount") > 30, "high").otherwise("low")
+        lines = load(spark, folder, "lineitem").withColumns({"band": band, "size": size})
+        return lines.select(*[name for name, _ in columns(table)])
     if table in SOURCES:
         documents, labels = (load(spark, folder, name) for name in ("documents", "labels"))
         joined = documents.join(labels, "doc_id", "left")
