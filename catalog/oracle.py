@@ -12,6 +12,8 @@ def kind_of(dtype: str) -> str:
         return "string"
     if dtype.startswith(("array", "map", "struct")):
         return "unknown"
+    if dtype == "boolean":
+        return dtype
     return "datetime" if dtype.startswith(("timestamp", "date")) else "numeric"
 
 
@@ -432,3 +434,11 @@ def group_means(table: str, key: str, group: str, y: str) -> str:
 m AS (SELECT {group} AS g, avg({y}) AS p FROM split WHERE split = 'train' GROUP BY 1),
 z AS (SELECT split, {y} AS y, p FROM split JOIN m ON {group} = g)
 {regression('SELECT * FROM z', 'split')})) UNPIVOT (value FOR metric IN (mae, rmse, r2))"""
+
+
+def ridge_predictions(table: str, key: str, x: str, y: str) -> str:
+    """What the same ridge predicts for every row."""
+    return f"""WITH {split_sql(table, key, None)},
+tr AS (SELECT avg({x}) AS mx, stddev_pop({x}) AS sx, avg({y}) AS my FROM split WHERE split = 'train'),
+w AS (SELECT sum((({x} - mx) / sx) * ({y} - my)) / (count(*) + 1.0) AS w FROM split, tr WHERE split = 'train')
+SELECT {key}, round(my + w * ({x} - mx) / sx, 4) AS predicted FROM split, tr, w"""

@@ -96,7 +96,7 @@ def union(tables: list[DataFrame]) -> DataFrame:
 
 # --- column profile -------------------------------------------------------------------
 
-PROFILED = ["customer", "orders", "lineitem", "events", "documents", "pages", "conversations",
+PROFILED = ["flagged", "customer", "orders", "lineitem", "events", "documents", "pages", "conversations",
             "embeddings", "doclab"]
 
 
@@ -158,7 +158,10 @@ def _validation(table: str) -> Query:
     return query
 
 
-for _table in ("doclab", "doclab_labels", "lineitem"):
+for _table in ("hollow", "single", "vacant"):
+    register(f"validate_summary_{_table}", oracle.validation(_table))(_validation(_table))
+
+for _table in ("doclab", "doclab_labels", "lineitem", "flagged"):
     register(f"validate_summary_{_table}", oracle.validation(_table))(_validation(_table))
     register(f"missing_cells_{_table}", oracle.table_counts(_table))(
         lambda spark, folder, table=_table: plain(table_counts(load(spark, folder, table)))
@@ -259,19 +262,60 @@ for _table, _target in (("orders", "o_totalprice"), ("lineitem", "l_extendedpric
     )
 
 
+# The values in the JSON texts, whole, with one more that is no number.
+VALUES_SQL = r"SELECT regexp_extract(props, ':\s*([^,}]*)', 1) AS s FROM events UNION ALL SELECT event_type FROM events"
+
+
 @register(
     "coerce_numeric",
-    """SELECT count(*) AS row_count, count(*) - count(x) AS invalid_numeric_count, count(x) AS numeric_count,
-    count(DISTINCT s) AS unique_count, false AS is_constant_number
-    FROM (SELECT substr(props, 7, 2) AS s, TRY_CAST(substr(props, 7, 2) AS DOUBLE) AS x FROM events)""",
+    f"""SELECT count(*) AS row_count, count(*) - count(x) AS invalid_numeric_count, count(x) AS numeric_count,
+    count(DISTINCT s) AS unique_count, count(DISTINCT x) = 1 AS is_constant_number
+    FROM (SELECT s, TRY_CAST(s AS DOUBLE) AS x FROM ({VALUES_SQL}))""",
 )
 def coerce_numeric(spark: SparkSession, folder: str) -> DataFrame:
-    text = load(spark, folder, "events").select(F.substring("props", 7, 2).alias("s"))
+    events = load(spark, folder, "events")
+    text = events.select(F.regexp_extract("props", r":\s*([^,}]*)", 1).alias("s"))
+    text = text.union(events.select("event_type"))
     return target_summary(text, "s", "regression").select(
         "row_count", "invalid_numeric_count", "numeric_count", "unique_count", "is_constant_number"
     )
 
 
+@register(
+    "numeric_issues",
+    f"""SELECT CASE WHEN count(x) < count(s) THEN 'non_numeric_regression_target' END AS code, 'critical' AS severity
+    FROM (SELECT s, TRY_CAST(s AS DOUBLE) AS x FROM ({VALUES_SQL}))""",
+)
+def numeric_issues(spark: SparkSession, folder: str) -> DataFrame:
+    events = load(spark, folder, "events")
+    text = events.select(F.regexp_extract("props", r":\s*([^,}]*)", 1).alias("s"))
+    text = text.union(events.select("event_type"))
+    return target_issues(target_summary(text, "s", "regression")).select("code", "severity")
+
+
+@register(
+    "task_statuses",
+    "SELECT 'customer' AS input, CASE WHEN count(*) >= 0 THEN 'not_found' END AS status, false AS named FROM customer "
+    "UNION ALL SELECT 'two names', CASE WHEN count(*) >= 0 THEN 'ambiguous' END, false FROM labels "
+    "UNION ALL SELECT 'all missing', CASE WHEN count(nothing) = 0 THEN 'ambiguous' ELSE 'ok' END, true "
+    "FROM (SELECT CAST(NULL AS DOUBLE) AS nothing FROM events)",
+)
+def task_statuses(spark: SparkSession, folder: str) -> DataFrame:
+    """No target-like column, two of them, one without any value."""
+    two = load(spark, folder, "labels").withColumnsRenamed({"quality": "target", "toxic": "label"})
+    found = [
+        ("customer", infer_task(load(spark, folder, "customer"))),
+        ("two names", infer_task(two)),
+        ("all missing", infer_task(load(spark, folder, "flagged"), ["nothing"])),
+    ]
+    return union(
+        [
+            table.select(F.lit(name).alias("input"), "status", F.col("candidate_target").isNotNull().alias("named"))
+            for name, table in found
+        ]
+    )
+
+
 # --- recommendation -----------------------------------------------------------------------
 
 PLANNED = [
@@ -664,15 +708,15 @@ def train_forest_beats_mean(spark: SparkSession, folder: str) -> DataFrame:
     return sizes.crossJoin(r2)
 
 
-@register("model_sink", "SELECT count(*) AS predicted_rows FROM part")
+@register("model_sink", oracle.ridge_predictions("part", "p_partkey", "p_size", "p_retailprice"))
 def model_sink(spark: SparkSession, folder: str) -> DataFrame:
     """Train, save, load, predict the whole table."""
-    features = FeatureColumns(["p_size"], ["p_brand", "p_type"], [])
     candidate = linear_candidate("regression", "baseline", False)
+    features = FeatureColumns(["p_size"], [], [])
     training = _train(spark, folder, "part", "p_retailprice", features, candidate, ["p_partkey"])
     paths, _ = save_models(training, scratch_folder(spark))
     predicted = PipelineModel.load(paths[0]).transform(load(spark, folder, "part"))
-    return predicted.agg(F.count("prediction").alias("predicted_rows"))
+    return predicted.select("p_partkey", F.round("prediction", 4).alias("predicted"))
 
 
 # --- sources, sinks, runs ------------------------------------------------------------------

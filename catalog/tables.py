@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Column names and Spark types of the given tables.
 COLUMNS = {
@@ -36,13 +36,31 @@ COLUMNS["banded"] = (
     "l_quantity double, l_extendedprice double, band string, size string"
 )
 
+# Events with a boolean, a constant and an empty column.
+COLUMNS["flagged"] = "event_id bigint, event_type string, is_large boolean, fixed string, nothing double"
+# Tables that validation rejects: only missing cells, a single row, no row.
+COLUMNS["hollow"] = "a int, b string"
+COLUMNS["single"] = "n bigint, m string"
+COLUMNS["vacant"] = COLUMNS["nation"]
+
+# Derived tables: the SQL, which Spark and DuckDB both understand.
 SOURCES = {
     "doclab": "SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)",
+    "doclab_labels": "SELECT l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)",
     "banded": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, "
-    "'b' || CAST(CAST(floor(l_quantity / 10) AS INT) AS VARCHAR) AS band, "
+    "concat('b', CAST(CAST(floor(l_quantity / 10) AS INT) AS VARCHAR(9))) AS band, "
     "CASE WHEN l_quantity + 20 * l_discount > 30 THEN 'high' ELSE 'low' END AS size FROM lineitem",
-    "doclab_labels": "SELECT l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)",
+    "flagged": "SELECT event_id, event_type, value > 50 AS is_large, 'x' AS fixed, "
+    "CAST(NULL AS DOUBLE) AS nothing FROM events",
+    "hollow": "SELECT CAST(NULL AS INT) AS a, CAST(NULL AS VARCHAR(9)) AS b FROM nation",
+    "single": "SELECT count(*) AS n, max(n_name) AS m FROM nation",
+    "vacant": "SELECT * FROM nation WHERE n_nationkey < 0",
 }
+# The given tables that each of them reads.
+INPUTS = {
+    "doclab": ("documents", "labels"), "doclab_labels": ("documents", "labels"), "banded": ("lineitem",),
+    "flagged": ("events",), "hollow": ("nation",), "single": ("nation",), "vacant": ("nation",),
+}
 
 
 def columns(table: str) -> list[tuple[str, str]]:
@@ -54,13 +72,10 @@ def source_sql(table: str) -> str:
 
 
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    if table == "banded":
-        band = F.concat(F.lit("b"), F.floor(F.col("l_quantity") / 10).cast("int").cast("string"))
-        size = F.when(F.col("l_quantity") + 20 * F.col("l_discount") > 30, "high").otherwise("low")
-        lines = load(spark, folder, "lineitem").withColumns({"band": band, "size": size})
-        return lines.select(*[name for name, _ in columns(table)])
     if table in SOURCES:
-        documents, labels = (load(spark, folder, name) for name in ("documents", "labels"))
-        joined = documents.join(labels, "doc_id", "left")
-        return joined if table == "doclab" else joined.select("quality", "toxic")
+        given = {name: load(spark, folder, name) for name in INPUTS[table]}
+        sql = SOURCES[table]
+        for name in given:
+            sql = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {{{name}}}", sql)
+        return spark.sql(sql, **given)
     return spark.read.parquet(os.path.join(folder, f"{table}.parquet"))
