@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import time
+import weakref
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridscope.config import AnalysisConfig
 from gridscope.functions.columns import distinct_messages
-from gridscope.functions.tables import local_table, pin
+from gridscope.functions.tables import local_table, pin, remove_folder, scratch_folder
 from gridscope.operators.profile import column_lists, profile_columns
 from gridscope.operators.quality import quality_issues, quality_summary
 from gridscope.operators.recommend import Recommendation, dataset_facts, recommend_models
@@ -23,7 +25,14 @@ from gridscope.operators.target import (
 )
 from gridscope.operators.task import infer_task
 from gridscope.operators.validate import table_counts, validate_table
-from gridscope.sources.reader import LoadError, preview_rows, read_table, source_facts
+from gridscope.sources.reader import (
+    SEPARATORS,
+    LoadError,
+    format_of,
+    preview_rows,
+    read_table,
+    source_facts,
+)
 from gridscope.sources.sink import write_results
 
 
@@ -43,6 +52,8 @@ class Analysis:
     # Seconds since the epoch.
     started: float | None = None
     ended: float | None = None
+    # Removes what the run keeps in the shared folder; nothing to do for a DataFrame.
+    close: Callable[[], None] = field(default=lambda: None, repr=False)
     _rows: dict[str, Row] = field(default_factory=dict, repr=False)
     _state: tuple | None = field(default=None, repr=False)
 
@@ -174,6 +185,9 @@ def analyze_table(
 ) -> Analysis:
     """Validate, profile, check quality, find and profile the target, recommend.
 
+    A text file is parsed once: its typed rows are kept as Parquet in the shared folder,
+    which every stage and a later training read, until the analysis is closed or gone.
+
     Small results are computed once and kept as literal tables; the class
     distribution, which grows with the data, stays a query.
     """
@@ -184,6 +198,11 @@ def analyze_table(
     analysis = Analysis(run_id, source, "completed", config, started=time.time())
     try:
         analysis.data = read_table(spark, table) if isinstance(table, str) else table
+        if isinstance(table, str) and format_of(table) in SEPARATORS:
+            folder = scratch_folder(spark)
+            analysis.close = weakref.finalize(analysis, remove_folder, spark, folder)
+            analysis.data.write.parquet(folder)
+            analysis.data = spark.read.schema(analysis.data.schema).parquet(folder)
         _run_stages(analysis)
     except LoadError as error:
         analysis.status, analysis.errors = "load_failed", [str(error)]

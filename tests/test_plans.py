@@ -26,7 +26,7 @@ def test_ready(spark, frame):
 
 def test_categorical_boosting(spark, frame):
     rows = [("xy"[i % 2], "pq"[i // 3], f"c{i}", i % 2) for i in range(6)]
-    df = frame("city string, merchant_category string, customer_id string, target int", *rows)
+    df = frame("town string, trade string, member_id string, target int", *rows)
     run = analyze_table(spark, df, AnalysisConfig(allow_optional_models=True))
     chosen = run.recommendation.candidates[0]
     assert chosen.model_name == "CategoricalBoostingClassifier"
@@ -86,9 +86,9 @@ def test_blocked(spark, frame):
 
 @pytest.fixture(scope="module")
 def trained(spark, tmp_path_factory):
-    path = str(tmp_path_factory.mktemp("data") / "people.csv")
+    path = str(tmp_path_factory.mktemp("data") / "staff.csv")
     with open(path, "w") as out:
-        out.write("age,income,tenure_months,target\n")
+        out.write("height,salary,months,target\n")
         for i in range(20):
             out.write(f"{22 + i},{2000 + 150 * i},{3 * i + i % 4},{int(i >= 10)}\n")
     run = analyze_table(spark, path, run_id="r7")
