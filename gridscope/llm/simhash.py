@@ -29,23 +29,39 @@ PIVOTS = 8
 CELL = MOST_BITS + 1
 
 
-def fingerprint(words: list[str], width: int = 3) -> int:
-    """The fingerprint of a text from its words, repeats included; zero without words."""
+def _remixed(hashes: np.ndarray, number: int) -> np.ndarray:
+    """Other hashes of the same shingles; number 0 leaves them as they are."""
+    if not number:
+        return hashes
+    x = hashes ^ np.uint64(number * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def fingerprint(words: list[str], width: int = 3, prints: int = 1) -> list[int]:
+    """The fingerprints of a text from its words, repeats included; zeros without words.
+
+    The first one takes the shingles' hashes as they are, the others mix them further.
+    """
     if not words:
-        return 0
+        return [0] * prints
     joined = " ".join(words).encode()
-    if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, SEED)
     at = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     starts, ends = [0, *(at + 1).tolist()], [*at.tolist(), len(joined)]
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :])]
-    counts = np.zeros(BITS, np.int64)
+    if len(words) <= width:
+        hashes = [digest(joined, SEED)]
+    else:
+        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :])]
+    counts = np.zeros((prints, BITS), np.int64)
     for k in range(0, len(hashes), 65_536):
         some = np.array(hashes[k : k + 65_536], dtype="<u8")
-        counts += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        for number in range(prints):
+            own = _remixed(some, number)
+            counts[number] += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = (2 * counts > len(hashes)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0].tolist()
 
 
 def row_key() -> Column:
@@ -53,23 +69,23 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, row_key and fingerprint (long, the same 64 bits) of each row.
+def fingerprints(docs: DataFrame, width: int = 3, prints: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, row_key and prints (array of long, the same 64 bits) of each row.
 
     The text is read whole; null texts have no words; A-Z count as a-z.
     """
-    kinds = {"doc_id": pa.int64(), "row_key": pa.int64(), "fingerprint": pa.int64()}
+    kinds = {"doc_id": pa.int64(), "row_key": pa.int64(), "prints": pa.list_(pa.int64())}
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
 
         find = re.compile(WORD).findall
         for some in pieces(batches):
-            found = np.array([fingerprint(find(text), width) for *_, text in some], np.uint64)
-            yield records(kinds, [[r[0] for r in some], [r[1] for r in some], found.view(np.int64)])
+            found = np.array([fingerprint(find(text), width, prints) for *_, text in some], np.uint64)
+            yield records(kinds, [[r[0] for r in some], [r[1] for r in some], list(found.view(np.int64))])
 
     rows = texts_of(docs, id_column, text_column).select("doc_id", row_key().alias("row_key"), lower_ascii(F.col("text")).alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, row_key long, fingerprint long")
+    return rows.mapInArrow(sign, "doc_id long, row_key long, prints array<long>")
 
 
 def pivots(count: int = PIVOTS) -> list[int]:
@@ -84,27 +100,32 @@ def _fields(fields: int) -> list[tuple[int, int]]:
 
 
 def linked_pairs(prints: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints (column fingerprint) at most_bits or fewer.
+    """Pairs (number, a, b) of distinct fingerprints at most_bits or fewer.
 
-    Every pair is found, maybe more than once. Shuffled: 10 rows per fingerprint on one side
-    and 20 on the other; no bucket is listed pair by pair before the distances are compared,
-    and the join's skewed keys may be split.
+    prints: distinct (number, fingerprint); only fingerprints of the same number are
+    compared. Every pair is found, maybe more than once. Shuffled: 10 rows per fingerprint
+    on one side and 20 on the other, each with its pivot distances in one long; no bucket is
+    listed pair by pair before the distances are compared, and the join's skewed keys may
+    be split.
     """
     value = F.col("fingerprint")
-    table = [F.bit_count(value.bitwiseXOR(F.lit(p))).cast("tinyint").alias(f"p{k}") for k, p in enumerate(pivots())]
+    distances = [F.bit_count(value.bitwiseXOR(F.lit(p))).cast("long") for p in pivots()]
+    table = distances[0]
+    for k, distance in enumerate(distances[1:], 1):
+        table = table.bitwiseOR(F.shiftleft(distance, 8 * k))
+    twos = list(combinations(_fields(most_bits + 2), 2))
     keys = []
-    for k, two in enumerate(combinations(_fields(most_bits + 2), 2)):
+    for k, two in enumerate(twos):
         mask = sum(((1 << width) - 1) << first for first, width in two)
         mask = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.struct(F.lit(k).cast("tinyint").alias("pair"), value.bitwiseAND(F.lit(mask)).alias("bits")))
-    met = prints.select(value, *table).select("*", F.explode(F.array(*keys)).alias("key"))
-    met = met.withColumn("cell", F.floor(F.col("p0") / (most_bits + 1)).cast("tinyint"))
-    names = ["pair", "bits", "cell", "fingerprint", *(f"p{k}" for k in range(PIVOTS))]
-    right = met.select("key.pair", "key.bits", *names[2:])
-    near = F.explode(F.array(F.col("cell"), (F.col("cell") + 1).cast("tinyint"))).alias("near")
-    left = met.select("key.pair", "key.bits", near, *names[2:])
+        keys.append(F.struct((F.col("number") * len(twos) + k).cast("int").alias("pair"), value.bitwiseAND(F.lit(mask)).alias("bits")))
+    met = prints.select("number", value, table.alias("table")).select("*", F.explode(F.array(*keys)).alias("key"))
+    met = met.withColumn("cell", F.floor(F.col("table").bitwiseAND(255) / (most_bits + 1)).cast("int"))
+    right = met.select("key.pair", "key.bits", "cell", "fingerprint", "table")
+    near = F.explode(F.array(F.col("cell"), F.col("cell") + 1)).alias("near")
+    left = met.select("number", "key.pair", "key.bits", near, "cell", "fingerprint", "table")
     a, b = left.alias("a"), right.alias("b")
-    apart = [F.abs(F.col(f"a.p{k}") - F.col(f"b.p{k}")) for k in range(PIVOTS)]
+    entry = lambda side, k: F.shiftright(f"{side}.table", 8 * k).bitwiseAND(255)
     joined = a.join(
         b,
         (F.col("a.pair") == F.col("b.pair"))
@@ -112,10 +133,10 @@ def linked_pairs(prints: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
         & (F.col("a.near") == F.col("b.cell"))
         # Within a cell each pair once; across cells the lower one looks up.
         & ((F.col("a.cell") != F.col("b.cell")) | (F.col("a.fingerprint") < F.col("b.fingerprint")))
-        & (F.greatest(*apart) <= most_bits)
+        & (F.greatest(*(F.abs(entry("a", k) - entry("b", k)) for k in range(PIVOTS))) <= most_bits)
         & (F.bit_count(F.col("a.fingerprint").bitwiseXOR(F.col("b.fingerprint"))) <= most_bits),
     )
-    return joined.select(F.col("a.fingerprint").alias("a"), F.col("b.fingerprint").alias("b"))
+    return joined.select("number", F.col("a.fingerprint").alias("a"), F.col("b.fingerprint").alias("b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -151,29 +172,45 @@ def near_duplicates(docs: DataFrame, width: int = 3, most_bits: int = MOST_BITS)
     reachable; where a class has only null ids, it is null. Without near classes it is the
     class's own smallest doc_id.
     """
-    rows = stored(fingerprints(docs, width))
+    rows = stored(fingerprints(docs, width).select("doc_id", "row_key", F.col("prints")[0].alias("fingerprint")))
     classes = stored(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")))
-    roots = components(linked_pairs(classes, most_bits))
+    roots = components(linked_pairs(classes.select(F.lit(0).alias("number"), "fingerprint"), most_bits))
     # Components are of fingerprints; the smallest doc_id of each then names it.
-    member = roots.select(F.col("node").alias("fingerprint"), "root").union(roots.select(F.col("root").alias("fingerprint"), "root")).distinct()
-    named = member.join(classes, "fingerprint")
+    named = with_roots(roots).join(classes, F.col("node") == F.col("fingerprint"))
     best = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     far = named.join(best, "root").select("fingerprint", "component_id")
     final = classes.join(far, "fingerprint", "left").select("fingerprint", F.coalesce("component_id", "first_id").alias("component_id"))
     return rows.join(final, "fingerprint", "left").select("doc_id", "row_key", "fingerprint", "component_id")
 
 
-def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each component, unchanged: the one whose doc_id names it.
+def with_roots(found: DataFrame) -> DataFrame:
+    """The nodes of components, their roots included."""
+    return found.union(found.select(F.col("root").alias("node"), "root")).distinct()
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 3, most_bits: int = MOST_BITS, prints: int = 4) -> DataFrame:
+    """One document of each component, unchanged: the one with the smallest doc_id.
 
-    Of several rows with that id one stays. Rows with null ids are components by fingerprint
-    where they have no other.
+    Documents are linked if any of several fingerprints is at most_bits or fewer from the
+    other's of the same number: one of 64 bits often misses texts with four of five shingles
+    in common, further ones with other hashes find most of those. Rows with equal prints are
+    one class, linked as one. Null ids come last; of equal rows one stays.
     """
-    found = near_duplicates(docs)
-    # The name of a component without ids is its fingerprint.
-    name = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("of"))
-    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(name.alias("name")).agg(F.min("row_key").alias("_row"))
-    stays = stays.select(F.col("name.component_id").alias("_id"), "_row")
+    rows = stored(fingerprints(docs, width, prints))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
+    classes = stored(rows.groupBy("prints").agg(F.min(first).alias("first"), F.min("row_key").alias("node")))
+    each = classes.select("node", F.posexplode("prints").alias("number", "fingerprint"))
+    # Classes that share one print but not all are linked to the smallest of them.
+    alike = stored(each.groupBy("number", "fingerprint").agg(F.min("node").alias("low")))
+    shared = each.join(alike, ["number", "fingerprint"]).filter("node != low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    near = linked_pairs(alike.select("number", "fingerprint"), most_bits)
+    for side in ("a", "b"):
+        named = alike.select("number", F.col("fingerprint").alias(side), F.col("low").alias(f"low_{side}"))
+        near = near.join(named, ["number", side])
+    links = shared.union(near.select(F.col("low_a").alias("a"), F.col("low_b").alias("b")))
+    member = with_roots(components(links))
+    found = classes.join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    stays = found.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.row_key").alias("_row"))
     marked = docs.withColumn("_row", row_key())
     same = (marked["_row"] == stays["_row"]) & marked["doc_id"].eqNullSafe(stays["_id"])
     # Equal rows share their key; the text is dealt by it once for both steps.

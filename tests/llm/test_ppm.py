@@ -106,4 +106,4 @@ def test_probabilities_of_a_context_sum_to_one():
         train[np.searchsorted(every, names[own])] = counts[own]
         p = 10 ** string_probabilities(every, train, pairs)
         assert p[np.searchsorted(every, asked)].sum() == pytest.approx(1, abs=1e-9)
-    assert P.word_key("a") != P.word_key("b")
+    assert P.word_key(b"a") != P.word_key(b"b")
