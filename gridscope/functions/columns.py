@@ -39,12 +39,6 @@ def positional(df: DataFrame) -> DataFrame:
     )
 
 
-def without_nan(df: DataFrame) -> DataFrame:
-    return df.select(
-        *[missing_to_null(F.col(quoted(f.name)), f.dataType).alias(f.name) for f in df.schema]
-    )
-
-
 def atomic(column: Column, data_type: T.DataType) -> Column:
     """A comparable form: nested values become JSON text, binary becomes hex."""
     if isinstance(data_type, T.MapType):
@@ -93,6 +87,16 @@ def grouping_key(column: Column, data_type: T.DataType) -> Column:
     return F.when(F.octet_length(text) <= LONGEST_PLAIN_KEY, text).otherwise(digest)
 
 
+def row_digest(keys: list[Column]) -> Column:
+    """32 bytes that are equal exactly when all grouping keys are equal, null included.
+
+    Each key goes in with its length, so neighbouring keys can't run into each other.
+    """
+    texts = [key.cast("string") for key in keys]
+    parts = [F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("n")) for t in texts]
+    return F.unhex(F.sha2(F.concat(*parts), 256))
+
+
 def key_text_length(key: Column) -> Column:
     """Number of characters of the string that a string grouping key stands for."""
     stored = F.substring(key, DIGEST_LENGTH + 1, 20).try_cast("bigint")

@@ -47,6 +47,7 @@ def value_counts(df: DataFrame) -> DataFrame:
         )
         groups = (
             keys.unpivot([], [str(p) for p in positions], "position", "value")
+            .withColumn("position", F.col("position").cast("int"))
             .groupBy("position", "value")
             .agg(F.count(F.lit(1)).alias("n"))
         )
@@ -61,7 +62,7 @@ def value_counts(df: DataFrame) -> DataFrame:
         )
     if not branches:
         return local_table(df.sparkSession, [], EMPTY_STATS)
-    return reduce(DataFrame.unionByName, branches).withColumn("position", F.col("position").cast("int"))
+    return reduce(DataFrame.unionByName, branches)
 
 
 def estimated_value_counts(df: DataFrame, error: float) -> DataFrame:

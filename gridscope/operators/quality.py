@@ -4,25 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridscope.config import AnalysisConfig
-from gridscope.functions.columns import grouping_key, positional, ratio
+from gridscope.functions.columns import grouping_key, positional, ratio, row_digest
 from gridscope.operators.profile import names_where, profile_columns
 from gridscope.operators.validate import table_counts
 
 NO_NAMES = "array<string>"
+PLAIN_COLUMNS = 4
+FRACTIONS = (T.FloatType, T.DoubleType)
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: how many rows repeat another one.
 
-    Null equals null. Long strings are shuffled as digests, and copies are merged
-    on the map side, so a group with a third of all rows costs one row per task.
+    Null equals null. Rows of more than four columns are shuffled as 32-byte digests,
+    others as their keys, in which long strings are digests. Copies are merged on the map
+    side, so a group with a third of all rows costs one row per task.
     """
     frame = positional(df)
-    keys = frame.select(
-        *[grouping_key(F.col(f.name), f.dataType).alias(f.name) for f in frame.schema]
-    )
+    keys = [grouping_key(F.col(f.name), f.dataType).alias(f.name) for f in frame.schema]
+    if len(keys) > PLAIN_COLUMNS:
+        # Adding zero makes both zeros one, as grouping does.
+        same = [k + 0.0 if isinstance(f.dataType, FRACTIONS) else k for k, f in zip(keys, frame.schema)]
+        keys = [row_digest(same).alias("digest")]
+    keys = frame.select(*keys)
     groups = keys.groupBy(*keys.columns).agg(F.count(F.lit(1)).alias("n"))
     repeats = F.sum(F.col("n") - 1)
     if not df.columns:

@@ -13,6 +13,7 @@ from gridscope.operators.features import FeatureColumns, fit_preprocessing, plan
 from gridscope.operators.metrics import roc_auc
 from gridscope.operators.models import TrainingFacts, build_estimator, train_candidates
 from gridscope.operators.profile import profile_columns
+from gridscope.operators.quality import duplicate_rows
 from gridscope.operators.recommend import Recommendation, boosting_candidate, linear_candidate
 from gridscope.operators.split import split_train_test
 from gridscope.sources.reader import LoadError, read_table
@@ -121,3 +122,10 @@ def test_boosting_may_stop_early(spark, frame):
     training = train_candidates(rows, FeatureColumns(["a"], [], []), "y", wanted, ["a"], overrides={"maxIter": 40}, early_stopping=0.01)
     assert training.status == "completed", training.errors
     assert training.models[0].stages[-2].getNumTrees < 40
+
+
+def test_wide_duplicates(spark, frame):
+    rows = [(1, 0.0, "a", None, "bc"), (1, -0.0, "a", None, "bc"), (1, 0.0, "ab", None, "c"), (1, 0.0, "a", "n", "bc"), (None, None, None, None, None), (None, None, None, None, None)]
+    df = frame("a int, b double, c string, d string, e string", *rows)
+    assert duplicate_rows(df).first()["duplicate_row_count"] == 2
+    assert duplicate_rows(df.drop("e")).first()["duplicate_row_count"] == 2
