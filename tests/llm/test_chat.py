@@ -2,12 +2,13 @@
 
 import hashlib
 
+import duckdb
 from pyspark.sql import functions as F
 
+from gridscope.llm import oracle
 from gridscope.llm.chat import conversation_digest, escaped, prefix_target_examples, unescaped
 from gridscope.llm.queries import op2_prefix_targets
 
-
 ODD = ["", "plain", "</turn>", "<turn>", r"<\turn", r"<\\/turn>\n", "\\", "<", "<<turn", "</turn>\n<turn>user\nx", "é𝄞\n\n", r"\### Assistant: </turn> ok"]
 
 
@@ -64,3 +65,12 @@ def test_the_plan_is_native_and_shuffles_once(spark):
     plan = op2_prefix_targets(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_the_query_equals_its_sql(spark):
+    connection = duckdb.connect()
+    connection.execute("CREATE VIEW conversations AS SELECT * FROM '/root/testdata/sf0.001/conversations.parquet'")
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    want = connection.execute(f"SELECT {', '.join(names)} FROM ({oracle.PREFIX_TARGETS})").fetchall()
+    got = op2_prefix_targets(spark, "/root/testdata/sf0.001").select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(got) > 5
