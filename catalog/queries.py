@@ -555,19 +555,19 @@ def run_status_query(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- models ---------------------------------------------------------------------------------
 
-# Trees are kept small here; a caller who sets nothing gets the full numbers.
-SMALL = {"numTrees": 10, "maxDepth": 5, "maxIter": 10}
-
+# Learners get the parameters of their rules. The labelled rows they see are bounded, and
+# boosting stops when a tenth of them gains less than a hundredth by one more round.
+LEARNING = {"max_train_rows": 1_000, "early_stopping": 0.01}
 
 def _train(
     spark: SparkSession, folder: str, table: str, target: str, features: FeatureColumns,
-    candidate: Candidate, key: list[str], overrides: dict | None = None,
+    candidate: Candidate, key: list[str], overrides: dict | None = None, **learning: object,
 ) -> Training:
     data = select_features(
         load(spark, folder, table), features, target, candidate.task_type, keep=key
     )
     wanted = Recommendation("ready", candidate.task_type, candidate.model_name, "high", [candidate])
-    return train_candidates(data, features, target, wanted, key, overrides=overrides)
+    return train_candidates(data, features, target, wanted, key, overrides=overrides, **learning)
 
 
 def _scores(training: Training) -> DataFrame:
@@ -614,7 +614,7 @@ def train_logistic(spark: SparkSession, folder: str) -> DataFrame:
 def train_forest(spark: SparkSession, folder: str) -> DataFrame:
     candidate = forest_candidate("classification", "recommended", True, "")
     return _scores(
-        _train(spark, folder, "lineitem", "l_returnflag", LINE_FEATURES, candidate, LINE_KEY, SMALL)
+        _train(spark, folder, "lineitem", "l_returnflag", LINE_FEATURES, candidate, LINE_KEY, **LEARNING)
     )
 
 
@@ -623,7 +623,7 @@ def train_forest_regression(spark: SparkSession, folder: str) -> DataFrame:
     candidate = forest_candidate("regression", "recommended", False, "")
     features = FeatureColumns(["p_size"], ["p_brand", "p_type"], [])
     return _scores(
-        _train(spark, folder, "part", "p_retailprice", features, candidate, ["p_partkey"], SMALL)
+        _train(spark, folder, "part", "p_retailprice", features, candidate, ["p_partkey"], **LEARNING)
     )
 
 
@@ -632,7 +632,7 @@ def train_gbt(spark: SparkSession, folder: str) -> DataFrame:
     candidate = boosting_candidate("classification", "recommended", "")
     features = FeatureColumns(["l_quantity", "l_extendedprice", "l_discount"], ["l_returnflag"], [])
     return _scores(
-        _train(spark, folder, "lineitem", "l_linestatus", features, candidate, LINE_KEY, SMALL)
+        _train(spark, folder, "lineitem", "l_linestatus", features, candidate, LINE_KEY, **LEARNING)
     )
 
 
@@ -641,7 +641,7 @@ def train_gbt_regression(spark: SparkSession, folder: str) -> DataFrame:
     candidate = boosting_candidate("regression", "recommended", "")
     features = FeatureColumns(["o_custkey"], ["o_orderstatus", "o_orderpriority"], [])
     return _scores(
-        _train(spark, folder, "orders", "o_totalprice", features, candidate, ["o_orderkey"], SMALL)
+        _train(spark, folder, "orders", "o_totalprice", features, candidate, ["o_orderkey"], **LEARNING)
     )
 
 
@@ -650,7 +650,7 @@ def train_categorical_boosting(spark: SparkSession, folder: str) -> DataFrame:
     candidate = categorical_candidate("classification", "recommended", 3)
     features = FeatureColumns(["o_totalprice"], ["o_orderpriority"], [])
     return _scores(
-        _train(spark, folder, "orders", "o_orderstatus", features, candidate, ["o_orderkey"], SMALL)
+        _train(spark, folder, "orders", "o_orderstatus", features, candidate, ["o_orderkey"], **LEARNING)
     )
 
 
@@ -868,8 +868,10 @@ def report(spark: SparkSession, folder: str) -> DataFrame:
 @register("training_run", None)
 def training_run(spark: SparkSession, folder: str) -> DataFrame:
     """Analyse, train all recommended candidates, save, read the experiments back."""
-    run = analyze_table(spark, load(spark, folder, "part"), target="p_retailprice", run_id="one")
-    trained = train_table(run, key=["p_partkey"], overrides=SMALL)
+    run = analyze_table(
+        spark, load(spark, folder, "part"), AnalysisConfig(**LEARNING), "p_retailprice", "one"
+    )
+    trained = train_table(run, key=["p_partkey"])
     if trained.errors:
         raise RuntimeError("; ".join(trained.errors))
     base = scratch_folder(spark)
@@ -895,7 +897,8 @@ FROM n, (VALUES (0, 'RandomForestRegressor', 'recommended'), (1, 'Ridge', 'basel
 def training_run_outcome(spark: SparkSession, folder: str) -> DataFrame:
     """Analyse, train all recommended candidates, save; experiments and run facts read back."""
     run = analyze_table(spark, load(spark, folder, "part"), target="p_retailprice", run_id="one")
-    trained = train_table(run, key=["p_partkey"], overrides=SMALL)
+    # Names, statuses and sizes don't depend on the number of trees.
+    trained = train_table(run, key=["p_partkey"], overrides=FEW)
     base = scratch_folder(spark)
     save_training(spark, trained, base)
     facts = spark.read.parquet(f"{base}/training").select(
