@@ -8,13 +8,12 @@ that the longer one offered are excluded; below the empty context all bytes left
 
 The probability of a byte depends on its six-byte string only, so one grouped job computes
 it for every string of the corpus, and a document's score is a sum over its strings. Strings
-and words with at least one 2,000,000th of all occurrences, at most 2,000,000 of each, are
+and words with at least one 4,000,000th of all occurrences, at most 4,000,000 of each, are
 sent to every task; the others are looked up by a join, in which none is frequent.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -25,53 +24,66 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridscope.llm.common import WORD, fold_of, lower_ascii, pieces, records, stored
+from gridscope.llm.common import PIECE_CHARS, fold_of, lower_ascii, pieces, records, stored
 
 ORDER = 5
 HELD_OUT_FOLD = 1
 #: Entries with at least total / FREQUENT occurrences are broadcast: at most FREQUENT of them.
-FREQUENT = 2_000_000
+FREQUENT = 4_000_000
 #: Characters that are counted together before rows leave a task.
-COUNTED_CHARS = 8_000_000
+COUNTED_CHARS = 2_500_000
 WORDS, STRINGS, DOCUMENT = 1, 2, 0
-END_WORD = " "
+END_WORD = b" "
 
 
-def word_key(word: str) -> int:
+def word_key(word: bytes) -> int:
     """A word's name in the tables: 64 bits of its hash, as a signed number."""
-    value = xxhash.xxh64_intdigest(word.encode())
+    value = xxhash.xxh64_intdigest(word)
     return value - (1 << 64) if value >> 63 else value
 
 
-def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], list[list[str]]]:
-    """Owner and code of each token (the end included), the distinct tokens, and the words."""
-    find = re.compile(WORD).findall
-    split = [[*find(t), END_WORD] for t in texts]
+def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes], list[list[bytes]]]:
+    """Owner and code of each token (the end included), the distinct tokens, and the tokens.
+
+    Splitting bytes goes by the six characters that part words, no others.
+    """
+    split = [[*t.encode().split(), END_WORD] for t in texts]
     flat = list(chain.from_iterable(split))
-    names: dict[str, int] = {}
-    codes = np.fromiter(map(names.setdefault, flat, range(len(flat))), np.int64, len(flat))
-    distinct, codes = np.array(list(names.values()), np.int64), codes
-    codes = np.searchsorted(distinct, codes)
-    return np.repeat(np.arange(len(texts)), [len(s) for s in split]), codes, list(names), split
+    first: dict[bytes, int] = {}
+    at = np.fromiter(map(first.setdefault, flat, range(len(flat))), np.int64, len(flat))
+    number = np.empty(len(flat), np.int64)
+    number[np.fromiter(first.values(), np.int64, len(first))] = np.arange(len(first))
+    return np.repeat(np.arange(len(texts)), [len(s) for s in split]), number[at], list(first), split
 
 
-def _strings(split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+def _strings(split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Owner and six-byte string (as a number) of each byte of the texts, and of their ends.
 
     A text is its words with single spaces; five zero bytes stand before it, one after it.
     """
-    joined = [" ".join(s[:-1]).encode() for s in split]
+    joined = [b" ".join(s[:-1]) for s in split]
     sizes = np.array([len(j) + 1 for j in joined], np.int64)
     data = np.frombuffer(b"\0" * ORDER + (b"\0" * (ORDER + 1)).join(joined) + b"\0", np.uint8).astype(np.int64)
     codes = data[: len(data) - ORDER].copy()
     for k in range(1, ORDER + 1):
-        codes = (codes << 8) | data[k : len(data) - ORDER + k]
+        codes <<= 8
+        codes |= data[k : len(data) - ORDER + k]
     # codes[i] predicts byte i + ORDER; each text is ORDER + 1 + its length apart.
     ends = np.cumsum(sizes + ORDER) - ORDER
     where = np.arange(int(sizes.sum())) + np.repeat(ends - sizes - (np.cumsum(sizes) - sizes), sizes)
     return np.repeat(np.arange(len(split)), sizes), codes[where]
 
 
+def _portions(split: list[list[bytes]], limit: int = PIECE_CHARS) -> Iterator[slice]:
+    """Slices of the texts with about limit bytes each, for what needs memory per byte."""
+    first, size = 0, 0
+    for k, words in enumerate(split):
+        size += sum(map(len, words)) + len(words)
+        if size >= limit or k == len(split) - 1:
+            yield slice(first, k + 1)
+            first, size = k + 1, 0
+
+
 def corpus_counts(docs: DataFrame) -> DataFrame:
     """(kind, key, train, total): occurrences of words and six-byte strings.
 
@@ -87,10 +99,16 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
             used = np.flatnonzero(seen)
             keys = [word_key(names[i]) for i in used.tolist()]
             yield records(kinds, [np.full(len(used), WORDS, np.int8), keys, seen[used], seen[used]])
-            owner, strings = _strings(split)
-            codes, names = pd.factorize(strings)
-            train_n = np.bincount(codes[train[owner]], minlength=len(names))
-            yield records(kinds, [np.full(len(names), STRINGS, np.int8), names, train_n, np.bincount(codes, minlength=len(names))])
+            # Only the tokens are needed from here on.
+            del owner, codes, names, used, keys, seen
+            found = []
+            for part in _portions(split):
+                owner, strings = _strings(split[part])
+                codes, names = pd.factorize(strings)
+                found.append((names, np.bincount(codes[train[part][owner]], minlength=len(names)), np.bincount(codes, minlength=len(names))))
+            names, train_n, all_n = map(np.concatenate, zip(*found))
+            codes, names = pd.factorize(names)
+            yield records(kinds, [np.full(len(names), STRINGS, np.int8), names, np.bincount(codes, train_n).astype(np.int64), np.bincount(codes, all_n).astype(np.int64)])
 
     rows = docs.select("train", "text").mapInArrow(count, "kind byte, key long, train long, total long")
     return rows.groupBy("kind", "key").agg(F.sum("train").alias("train"), F.sum("total").alias("total"))
