@@ -41,7 +41,7 @@ from gridscope.operators.metrics import (
     run_status,
 )
 from gridscope.operators.recommend import Candidate, Recommendation, as_text
-from gridscope.operators.split import SplitError, SplitPlan, plan_split, split_train_test
+from gridscope.operators.split import SplitError, SplitPlan, numbered_copies, plan_split, split_train_test
 
 # The largest depth Spark's trees accept, the bins and leaf size of
 # the boosted trees, and the share of training rows that tells them when to stop.
@@ -51,7 +51,7 @@ BOOSTING_LEAF = 20
 STOPPING_SHARE = 10
 
 # Columns added for training; the table may well have a `weight` or `label` of its own.
-LABEL, WEIGHT, SPLIT, STOPPING = "__label", "__weight", "__split", "__stopping"
+LABEL, WEIGHT, SPLIT, STOPPING, COPY = "__label", "__weight", "__split", "__stopping", "__copy"
 
 
 class ModelError(ValueError):
@@ -271,8 +271,8 @@ def train_candidates(
     `df` holds the feature columns and a target without missing values. A candidate
     that is unavailable is skipped and one that raises is recorded as failed; the
     others still run. `overrides` changes parameters of all candidates. The learners see
-    about `max_train_rows` training rows if that is given, chosen by hash; scores are of
-    all rows. With `early_stopping` boosting ends when a hash-chosen tenth of the training
+    about `max_train_rows` training rows if that is given, chosen by a hash of the whole
+    row, key included, and of its number among equal rows; scores are of all rows. With `early_stopping` boosting ends when a hash-chosen tenth of the training
     rows gains less than that by a further round.
     """
     spark, task_type = df.sparkSession, recommendation.task_type
@@ -290,11 +290,13 @@ def train_candidates(
     except SplitError as error:
         return Training("failed", nothing, errors=[f"no split: {error}"])
 
+    if max_train_rows is not None or early_stopping is not None:
+        rows = numbered_copies(rows, COPY)
     rows, labels = _with_label(rows, target, task_type)
     with kept(rows) as rows:
         records, models = _run(
-            rows, features, candidates, task_type, labels, overrides or {}, plan, seed,
-            max_train_rows, early_stopping,
+            rows, [c for c in rows.columns if c not in (LABEL, WEIGHT)], features, candidates,
+            task_type, labels, overrides or {}, plan, seed, max_train_rows, early_stopping,
         )
 
     experiments = experiment_table(spark, records)
@@ -336,13 +338,13 @@ def _with_label(
 
 
 def _run(
-    rows, features, candidates, task_type, labels, overrides, plan, seed, max_train_rows,
+    rows, hashed, features, candidates, task_type, labels, overrides, plan, seed, max_train_rows,
     early_stopping,
 ):
     train = rows.where(F.col(SPLIT) == "train")
     if train.count() != plan.train_count:
         raise ModelError("the training rows are not those of the split")
-    pick = F.pmod(F.xxhash64(F.lit(seed), *[F.col(quoted(c)) for c in features.all]), F.lit(1_000_000_007))
+    pick = F.pmod(F.xxhash64(F.lit(seed), *[F.col(quoted(c)) for c in hashed]), F.lit(1_000_000_007))
     learned = F.lit(True)
     if max_train_rows is not None and max_train_rows < plan.train_count:
         learned = pick < int(1_000_000_007 * max_train_rows / plan.train_count)

@@ -233,6 +233,20 @@ def _divided_copies(copies: DataFrame, columns: list[Column], column: str) -> Da
     )
 
 
+def numbered_copies(df: DataFrame, column: str) -> DataFrame:
+    """The rows with a column that numbers equal ones from 1, whatever the partitions.
+
+    Equal rows are counted and made again in pieces of limited size, as at the cut.
+    """
+    counted = df.groupBy(*[F.col(quoted(name)) for name in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
+    pieces = counted.withColumn(
+        "__piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / COPIES_PER_PIECE)))
+    ).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    first = F.col("__piece") * COPIES_PER_PIECE
+    numbers = F.sequence(first + 1, F.least(F.col("__n"), first + COPIES_PER_PIECE))
+    return pieces.select(*[F.col(quoted(name)) for name in df.columns], F.explode(numbers).alias(column))
+
+
 # Up to this many classes their edges and cuts, a short row each, are broadcast.
 BROADCAST_CLASSES = 100_000
 
