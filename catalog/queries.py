@@ -557,7 +557,7 @@ def run_status_query(spark: SparkSession, folder: str) -> DataFrame:
 
 # Learners get the parameters of their rules. The labelled rows they see are bounded, and
 # boosting stops when a tenth of them gains less than a hundredth by one more round.
-LEARNING = {"max_train_rows": 1_000, "early_stopping": 0.01}
+LEARNING = {"max_train_rows": 10_000, "early_stopping": 0.01}
 
 def _train(
     spark: SparkSession, folder: str, table: str, target: str, features: FeatureColumns,

@@ -272,7 +272,8 @@ def train_candidates(
     that is unavailable is skipped and one that raises is recorded as failed; the
     others still run. `overrides` changes parameters of all candidates. The learners see
     about `max_train_rows` training rows if that is given, chosen by a hash of the whole
-    row, key included, and of its number among equal rows; scores are of all rows. With `early_stopping` boosting ends when a hash-chosen tenth of the training
+    row, key included, and of its number among equal rows; imputation, scaling and
+    categories are of all training rows, and scores of all rows. With `early_stopping` boosting ends when a hash-chosen tenth of the training
     rows gains less than that by a further round.
     """
     spark, task_type = df.sparkSession, recommendation.task_type
@@ -349,8 +350,9 @@ def _run(
     if max_train_rows is not None and max_train_rows < plan.train_count:
         learned = pick < int(1_000_000_007 * max_train_rows / plan.train_count)
     rows = rows.withColumn(STOPPING, pick % STOPPING_SHARE == 0).withColumn("__learned", learned)
-    train = rows.where((F.col(SPLIT) == "train") & F.col("__learned"))
-    numbers = train.agg(
+    # Medians, scaling and categories are of all training rows; only the learner's are bounded.
+    train = rows.where(F.col(SPLIT) == "train")
+    numbers = train.where("__learned").agg(
         F.count(F.lit(1)).alias("rows"), F.stddev_samp(LABEL).alias("deviation")
     ).first()
     prepared: dict[bool, Preprocessing] = {}

@@ -29,3 +29,12 @@ def test_dominant_feature_row(frame, monkeypatch, key):
     (count, one, stopping), again = seen
     assert 320 <= count <= 480 and 0.7 * count <= one <= 0.9 * count and 0.04 * count <= stopping <= 0.18 * count
     assert again == seen[0]
+
+
+def test_rare_categories_are_known(frame):
+    # One row in 500 has a category of its own, and the learner sees one in ten.
+    rows = frame("k long, c string, y double", *[(k, f"rare{k}" if k % 500 == 0 else "ab"[k % 2], float(k % 2)) for k in range(5000)])
+    training = models.train_candidates(rows, FeatureColumns([], ["c"], []), "y", WANTED, ["k"], max_train_rows=400)
+    assert training.errors == []
+    whole = models.train_candidates(rows, FeatureColumns([], ["c"], []), "y", WANTED, ["k"])
+    assert training.models[0].stages[-1].numFeatures == whole.models[0].stages[-1].numFeatures > 8
