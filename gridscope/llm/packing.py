@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridscope.llm.common import pieces, records, texts_of
+from gridscope.llm.common import pieces, records, stored, texts_of
 from gridscope.llm.tokens import tokenizer_file, worker_encoder
 
 CAPACITY = 2048
@@ -129,4 +129,6 @@ def pack_sequences(
 
 def packed(docs: DataFrame) -> DataFrame:
     """All texts of a table cut and packed with the production settings."""
-    return pack_sequences(token_pieces(docs), docs.count())
+    # Lengths only; a long text has many pieces, so these are counted and not the documents.
+    parts = stored(token_pieces(docs))
+    return pack_sequences(parts, parts.count())
