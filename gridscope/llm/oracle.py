@@ -23,3 +23,29 @@ SELECT conv_id, count(*) AS n_turns,
     CAST(sum(upto) FILTER (role = 'assistant' OR place = turns) AS BIGINT) AS formatted_chars
 FROM placed GROUP BY conv_id
 """
+
+# Lines end after a line feed; a hex group is read as a number.
+INFILLING = r"""
+WITH drawn AS (
+    SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hex FROM documents
+), cut AS (
+    SELECT doc_id, text, CASE WHEN text = '' THEN [] ELSE regexp_extract_all(text, '[^\n]*\n|[^\n]+') END AS units,
+        text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') AS plain,
+        [CAST('0x' || substr(hex, 8 * k + 1, 8) AS BIGINT) for k in range(4)] AS h
+    FROM drawn
+), placed AS (
+    SELECT *, len(units) AS n, least(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS a,
+        greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS b
+    FROM cut
+), parts AS (
+    SELECT doc_id, text, n, CASE WHEN plain OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+        array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix
+    FROM placed
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form != 'plain' THEN length(prefix) END AS prefix_chars,
+    CASE WHEN form != 'plain' THEN length(middle) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM parts
+"""

@@ -9,6 +9,7 @@ from gridscope.llm import oracle
 from gridscope.llm.chat import conversation_digest, prefix_target_examples
 from gridscope.llm.common import fold_of, load
 from gridscope.llm.direct_codes import token_file_digest
+from gridscope.llm.infilling import infilling_examples, with_restored
 from gridscope.llm.mixing import mix
 from gridscope.llm.outliers import outlier_verdicts
 from gridscope.llm.packing import packed
@@ -84,6 +85,13 @@ def op10_vector_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(load(spark, folder, "documents"))
 
 
+def op13_infilling(spark: SparkSession, folder: str) -> DataFrame:
+    """Fill-in-middle examples of all documents, and the texts rebuilt from them."""
+    found = with_restored(infilling_examples(load(spark, folder, "documents")))
+    digests = (F.sha2(F.col(c), 256).alias(f"{c}_sha256") for c in ("output", "restored"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 REGISTRY = {
     "op1_robust_outliers": (op1_robust_outliers, None),
     "op2_prefix_targets": (op2_prefix_targets, oracle.PREFIX_TARGETS),
@@ -95,4 +103,5 @@ REGISTRY = {
     "op8_ppm": (op8_ppm, None),
     "op9_sainte_lague": (op9_sainte_lague, None),
     "op10_vector_packing": (op10_vector_packing, None),
+    "op13_infilling": (op13_infilling, oracle.INFILLING),
 }
