@@ -9,6 +9,7 @@ from gridscope.llm import oracle
 from gridscope.llm.chat import conversation_digest, prefix_target_examples
 from gridscope.llm.common import fold_of, load
 from gridscope.llm.direct_codes import token_file_digest
+from gridscope.llm.importance import importance_draw
 from gridscope.llm.infilling import infilling_examples, with_restored
 from gridscope.llm.mixing import mix
 from gridscope.llm.outliers import outlier_verdicts
@@ -85,6 +86,12 @@ def op10_vector_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(load(spark, folder, "documents"))
 
 
+def op12_importance(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents weighed towards the benchmark, and the drawn ones ranked."""
+    found = importance_draw(load(spark, folder, "documents"), load(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
 def op13_infilling(spark: SparkSession, folder: str) -> DataFrame:
     """Fill-in-middle examples of all documents, and the texts rebuilt from them."""
     found = with_restored(infilling_examples(load(spark, folder, "documents")))
@@ -103,5 +110,6 @@ REGISTRY = {
     "op8_ppm": (op8_ppm, None),
     "op9_sainte_lague": (op9_sainte_lague, None),
     "op10_vector_packing": (op10_vector_packing, None),
+    "op12_importance": (op12_importance, oracle.IMPORTANCE),
     "op13_infilling": (op13_infilling, oracle.INFILLING),
 }
