@@ -11,6 +11,7 @@ from gridscope.llm.common import fold_of, load
 from gridscope.llm.direct_codes import token_file_digest
 from gridscope.llm.importance import importance_draw
 from gridscope.llm.infilling import infilling_examples, with_restored
+from gridscope.llm.licences import licence_digest, licence_spans
 from gridscope.llm.mixing import mix
 from gridscope.llm.outliers import outlier_verdicts
 from gridscope.llm.packing import packed
@@ -86,6 +87,11 @@ def op10_vector_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(load(spark, folder, "documents"))
 
 
+def op11_licences(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence phrases and template spans of every document."""
+    return licence_digest(licence_spans(load(spark, folder, "documents")))
+
+
 def op12_importance(spark: SparkSession, folder: str) -> DataFrame:
     """All documents weighed towards the benchmark, and the drawn ones ranked."""
     found = importance_draw(load(spark, folder, "documents"), load(spark, folder, "benchmark"))
@@ -110,6 +116,7 @@ REGISTRY = {
     "op8_ppm": (op8_ppm, None),
     "op9_sainte_lague": (op9_sainte_lague, None),
     "op10_vector_packing": (op10_vector_packing, None),
+    "op11_licences": (op11_licences, None),
     "op12_importance": (op12_importance, oracle.IMPORTANCE),
     "op13_infilling": (op13_infilling, oracle.INFILLING),
 }
