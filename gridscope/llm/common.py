@@ -51,6 +51,23 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def row_keys(docs: DataFrame) -> list[Column]:
+    """Two hashes of all columns, 128 bits, equal for equal rows; maps count by their JSON text."""
+    values = [
+        F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+        for f in docs.schema
+    ]
+    # An array and a number in front keep null columns from standing for one another.
+    nulls = F.array(*(v.isNull() for v in values))
+    return [F.xxhash64(F.lit(seed), nulls, *values) for seed in (1, 2)]
+
+
+def wrapped(docs: DataFrame) -> DataFrame:
+    """Columns row (all columns of docs), key_1 and key_2: no name of docs can clash with a further one."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.select(row.alias("row"), *(k.alias(f"key_{n}") for n, k in enumerate(row_keys(docs), 1)))
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

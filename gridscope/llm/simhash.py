@@ -5,10 +5,6 @@ distances to any third fingerprint. Each distinct fingerprint gets its distances
 pivots once. Pairs meet where two of five bit fields agree (three changed bits leave two of
 five fields whole, so none is lost) and the first pivot distances lie in neighbouring cells;
 the other pivot distances discard most of them, and a bit count verifies the rest.
-
-Fingerprints that near can't find texts with four of five shingles in common: those differ
-in about 10 of 64 bits. For them, texts meet by least hashes of their five-word shingles,
-and the exact overlap of the shingles verifies each pair that links.
 """
 
 from __future__ import annotations
@@ -29,10 +25,6 @@ BITS = 64
 #: Widths of the bit fields that pairs meet by: distance + 2 fields.
 MOST_BITS = 3
 PIVOTS = 8
-#: Words of a shingle and the least Jaccard overlap of texts that are near duplicates.
-OVERLAP_WORDS, LEAST_OVERLAP = 5, 0.8
-#: Texts meet if all least hashes of a band agree: at an overlap of 0.8 all but 4 in 10,000 pairs do.
-BANDS, BAND_HASHES = 20, 5
 #: Width of a cell of first pivot distances; partners lie in the same or a neighbouring one.
 CELL = MOST_BITS + 1
 
@@ -194,147 +186,3 @@ def near_duplicates(docs: DataFrame, width: int = 3, most_bits: int = MOST_BITS)
 def with_roots(found: DataFrame) -> DataFrame:
     """The nodes of components, their roots included."""
     return found.union(found.select(F.col("root").alias("node"), "root")).distinct()
-
-
-def without_near_duplicates(docs: DataFrame, width: int = 3, most_bits: int = MOST_BITS, prints: int = 4) -> DataFrame:
-    """One document of each component, unchanged: the one with the smallest doc_id.
-
-    Documents are linked if any of several fingerprints is at most_bits or fewer from the
-    other's of the same number: one of 64 bits often misses texts with four of five shingles
-    in common, further ones with other hashes find most of those. Rows with equal prints are
-    one class, linked as one. Null ids come last; of equal rows one stays.
-    """
-    rows = stored(fingerprints(docs, width, prints))
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
-    classes = stored(rows.groupBy("prints").agg(F.min(first).alias("first"), F.min("row_key").alias("node")))
-    each = classes.select("node", F.posexplode("prints").alias("number", "fingerprint"))
-    # Classes that share one print but not all are linked to the smallest of them.
-    alike = stored(each.groupBy("number", "fingerprint").agg(F.min("node").alias("low")))
-    shared = each.join(alike, ["number", "fingerprint"]).filter("node != low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    near = linked_pairs(alike.select("number", "fingerprint"), most_bits)
-    for side in ("a", "b"):
-        named = alike.select("number", F.col("fingerprint").alias(side), F.col("low").alias(f"low_{side}"))
-        near = near.join(named, ["number", side])
-    links = shared.union(near.select(F.col("low_a").alias("a"), F.col("low_b").alias("b")))
-    member = with_roots(components(links))
-    found = classes.join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    stays = found.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.row_key").alias("_row"))
-    return _only(docs, stays)
-
-
-def shingles(words: list[str], width: int = OVERLAP_WORDS) -> set[bytes]:
-    """The distinct runs of width words; a shorter text is one run."""
-    if not words:
-        return set()
-    joined = " ".join(words).encode()
-    at = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-    starts, ends = [0, *(at + 1).tolist()], [*at.tolist(), len(joined)]
-    return {joined[a:b] for a, b in zip(starts, ends[width - 1 :])} or {joined}
-
-
-def overlap(a: set[bytes], b: set[bytes]) -> float:
-    """Jaccard overlap; texts without words are equal."""
-    both = len(a & b)
-    return both / (len(a) + len(b) - both) if a or b else 1.0
-
-
-def least_hashes(found: set[bytes]) -> list[int]:
-    """One hash per band of the least hashes of the shingles, other for other bands."""
-    draw = np.random.default_rng(SEED)
-    factors, more = draw.integers(0, 1 << 63, (2, BANDS * BAND_HASHES, 1), np.uint64)
-    factors = factors * np.uint64(2) + np.uint64(1)
-    least = np.full(BANDS * BAND_HASHES, (1 << 64) - 1, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(x, SEED) for x in found), np.uint64, len(found))
-    for k in range(0, len(hashes), 2048):
-        some = hashes[k : k + 2048] * factors + more
-        np.minimum(least, some.min(axis=1), out=least)
-    return [digest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, BAND_HASHES))]
-
-
-def banded(docs: DataFrame) -> DataFrame:
-    """row_key, doc_id, node (a hash of the words) and bands (array of long) of each row."""
-    kinds = {"doc_id": pa.int64(), "row_key": pa.int64(), "node": pa.int64(), "bands": pa.list_(pa.int64())}
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
-        find = re.compile(WORD).findall
-        for some in pieces(batches):
-            words = [find(text) for *_, text in some]
-            nodes = np.array([xxhash.xxh64_intdigest(" ".join(w).encode(), SEED) for w in words], np.uint64)
-            bands = np.array([least_hashes(shingles(w)) for w in words], np.uint64)
-            yield records(kinds, [[r[0] for r in some], [r[1] for r in some], nodes.view(np.int64), list(bands.view(np.int64))])
-
-    rows = texts_of(docs).select("doc_id", row_key().alias("row_key"), lower_ascii(F.col("text")).alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, row_key long, node long, bands array<long>")
-
-
-def overlapping(pairs: DataFrame, texts: DataFrame, least: float = LEAST_OVERLAP) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts (node, text) overlap by least or more."""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
-        find = re.compile(WORD).findall
-        for some in pieces(batches):
-            near = [overlap(shingles(find(first)), shingles(find(second))) >= least for _, _, first, second in some]
-            yield records({"a": pa.int64(), "b": pa.int64()}, [[r[k] for r, n in zip(some, near) if n] for k in (0, 1)])
-
-    for side in ("a", "b"):
-        pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side)
-    pairs = pairs.select("a", "b", F.coalesce("text_a", F.lit("")), F.coalesce("text_b", F.lit("")))
-    return pairs.mapInArrow(check, "a long, b long")
-
-
-def similar_links(met: DataFrame, texts: DataFrame, least: float = LEAST_OVERLAP) -> DataFrame:
-    """Links (a, b) that join all nodes meeting in a bucket (key, node) at least or more.
-
-    First every node is compared with the smallest of each of its buckets, so a group of near
-    copies costs rows by its size, not by pairs. Then buckets whose nodes are still apart have
-    all their pairs across components compared.
-    """
-    low = met.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = stored(met.join(low, "key").select("key", "node", "low"))
-    to_low = stored(met.filter("node != low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())
-    links = stored(overlapping(to_low, texts, least))
-    member = with_roots(components(links))
-    rooted = stored(met.join(member, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
-    roots = rooted.select("key", "root").distinct()
-    apart = roots.alias("x").join(roots.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")))
-    apart = apart.select("x.key", F.col("x.root").alias("root_a"), F.col("y.root").alias("root_b"))
-    for side in ("a", "b"):
-        apart = apart.join(rooted.select("key", F.col("root").alias(f"root_{side}"), F.col("node").alias(side)), ["key", f"root_{side}"])
-    apart = apart.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    return links.union(overlapping(apart.join(to_low, ["a", "b"], "left_anti"), texts, least))
-
-
-def without_similar(docs: DataFrame, least: float = LEAST_OVERLAP) -> DataFrame:
-    """One document of each component of similar texts, unchanged: the one with the smallest doc_id.
-
-    Texts are similar if their distinct five-word shingles have a Jaccard overlap of least or
-    more. Rows with the same words are one class. Null ids come last; of equal rows one stays.
-    """
-    rows = stored(banded(docs))
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
-    classes = stored(rows.groupBy("node").agg(F.min(first).alias("first"), F.first("bands").alias("bands")))
-    # A band's hash is seeded with its number, so bands meet only their like.
-    met = classes.select("node", F.explode("bands").alias("key"))
-    shared = met.groupBy("key").count().filter("count > 1").select("key")
-    wanted = met.join(shared, "key").select("node").distinct()
-    own = classes.join(wanted, "node").select("node", F.col("first.row_key").alias("row_key"))
-    texts = docs.select(row_key().alias("row_key"), lower_ascii(F.col("text")).alias("text")).join(own, "row_key")
-    # Equal rows have one text.
-    texts = stored(texts.select("node", "text").dropDuplicates(["node"]))
-    member = with_roots(components(similar_links(met, texts, least)))
-    found = classes.join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    stays = found.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.row_key").alias("_row"))
-    return _only(docs, stays)
-
-
-def _only(docs: DataFrame, stays: DataFrame) -> DataFrame:
-    """The rows of docs named by (_id, _row), one of equal ones."""
-    marked = docs.withColumn("_row", row_key())
-    same = (marked["_row"] == stays["_row"]) & marked["doc_id"].eqNullSafe(stays["_id"])
-    # Equal rows share their key; the text is dealt by it once for both steps.
-    return marked.join(stays, same, "left_semi").dropDuplicates(["_row"]).select(*docs.columns)

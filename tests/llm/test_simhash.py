@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gridscope.llm.simhash import components, fingerprint, fingerprints, linked_pairs, near_duplicates, pivots, without_near_duplicates
+from gridscope.llm.simhash import components, fingerprint, fingerprints, linked_pairs, near_duplicates, pivots
 
 
 def plain_fingerprint(text, width=3):
@@ -89,27 +89,3 @@ def test_shingles_follow_the_hash_of_spark(spark, frame):
     docs = frame("doc_id long, text string", (1, "alpha beta Gamma"))
     (row,) = fingerprints(docs).collect()
     assert row["prints"][0] == docs.select(F.xxhash64(F.lit("alpha beta gamma")).alias("h")).first()["h"]
-
-
-def test_more_prints_find_more(spark, frame):
-    draw = random.Random(11)
-    words = [f"w{draw.randrange(400)}" for _ in range(4000)]
-    rows, near = [], 30
-    for k in range(near):
-        own = words[100 * k : 100 * k + 100]
-        other = list(own)
-        other[50] = "changed"
-        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(other))]
-    docs = frame("doc_id long, text string", *rows)
-    left = [{r["doc_id"] for r in without_near_duplicates(docs, prints=n).collect()} for n in (1, 4)]
-    assert left[1] <= left[0] and len(left[1]) < len(left[0])
-    assert {2 * k for k in range(near)} <= left[1]
-    # The kept rows are the smallest of components over all prints, by plain loops.
-    prints = {d: fingerprint(t.split(), 3, 4) for d, t in rows}
-    label = {d: d for d in prints}
-    for _ in range(4):
-        for a in prints:
-            for b in prints:
-                if any((x ^ y).bit_count() <= 3 for x, y in zip(prints[a], prints[b])):
-                    label[a] = label[b] = min(label[a], label[b])
-    assert left[1] == set(label.values())
