@@ -68,6 +68,14 @@ def wrapped(docs: DataFrame) -> DataFrame:
     return docs.select(row.alias("row"), *(k.alias(f"key_{n}") for n, k in enumerate(row_keys(docs), 1)))
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """The name, with underscores behind it until no column of docs has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -1,10 +1,11 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and word beginnings that, among the labelled examples, make toxicity at
-least as likely as not. An inverted index holds the examples' normalised TF-IDF weights;
-each posting list also has the largest weight in each block of examples, so a block whose
-bound can't reach the k nearest found so far is never scored. The nearest examples vote
-with weights that fall with their distance, and are the evidence for the score.
+Terms are all words of the labelled examples, and word beginnings that go with toxicity. A
+term weighs its TF-IDF, times how far beyond chance it goes with toxic examples; terms that
+don't keep a small share, so every example and every term is in the index. Each posting list
+also has the largest weight in each block of examples, so a block whose bound can't reach
+the k nearest found so far is never scored. The nearest examples vote with weights that fall
+with their distance, and are the evidence for the score.
 """
 
 from __future__ import annotations
@@ -13,193 +14,270 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridscope.llm.common import fold_of, pieces, records, texts_of
-
-#: Labelled rows that the examples are taken from, the smallest hashes of their ids: the bound
-#: of everything that is held in one place.
-MOST_EXAMPLES = 20_000
-#: Terms of the index, the strongest ones.
-MOST_TERMS = 8192
-#: Lengths of word beginnings that are terms besides whole words.
-BEGINNINGS = (4, 5, 6, 7)
-#: A term's least number of examples, and how far beyond chance (in standard deviations) it
-#: has to go with toxicity.
-LEAST_EXAMPLES, LEAST_DEVIATIONS = 3, 5.0
+from gridscope.llm.common import fold_of, free_name, pieces, records, stored, texts_of, wrapped
+
+#: Labelled rows that are examples, the smallest hashes of their ids: the bound of everything
+#: that is held in one place.
+MOST_EXAMPLES = 10_000
+#: Lengths of word beginnings that are terms if they go with toxicity.
+BEGINNINGS = (3, 4, 5, 6, 7)
+#: What a term weighs that goes with toxicity no more than chance among all terms would have it.
+LEAST_WEIGHT = 0.1
 NEIGHBOURS = 15
 BLOCK = 64
+#: Blocks that are scored before the bounds are looked at again; four times as many each time.
+FIRST_BLOCKS = 4
+#: Cosines are equal up to rounding.
+EQUAL = 1e-9
 #: Votes of the base rate, and what is added to a distance before it is inverted.
 BASE_VOTES, SOFTENING = 1.0, 0.1
 HELD_OUT_FOLD = 0
+#: Words that a task remembers.
+MOST_WORDS = 500_000
 _FIND = re.compile(r"\w+").findall
 
 
-def word_terms(word: str) -> list[str]:
-    """The word itself and its beginnings, marked with a star."""
-    return [word, *(f"{word[:n]}*" for n in BEGINNINGS if len(word) >= n)]
-
+def beginnings(word: str) -> list[str]:
+    """Beginnings of a word, marked with a star."""
+    return [f"{word[:n]}*" for n in BEGINNINGS if len(word) >= n]
 
-class TermCounter:
-    """Counts the chosen terms in texts; each distinct word is looked up once."""
 
-    def __init__(self, terms: list[str], most_words: int = 300_000):
-        self.number = {t: k for k, t in enumerate(terms)}
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.most_words = most_words
+def hashed(terms: list[str]) -> np.ndarray:
+    """Terms are told apart by 64 bits of hash."""
+    return np.fromiter((xxhash.xxh64_intdigest(t.encode()) for t in terms), np.uint64, len(terms))
 
-    def _look(self, word: str) -> tuple[int, ...]:
-        number = self.number
-        found = tuple(number[t] for t in word_terms(word) if t in number)
-        if len(self.known) < self.most_words:
-            self.known[word] = found
-        return found
 
-    def __call__(self, text: str | None) -> dict[int, int]:
-        """The number of times each term (by its number) occurs, ascending by term."""
-        words = _FIND((text or "").lower())
-        known, look = self.known, self._look
-        hits = Counter(chain.from_iterable(filter(None, [known[w] if w in known else look(w) for w in words])))
-        return dict(sorted(hits.items()))
+class TermCounter:
+    """Counts the known terms in texts. hashes: ascending; term i has the i-th of them."""
 
+    def __init__(self, hashes: np.ndarray, begun: dict[str, int], most_words: int = MOST_WORDS):
+        self.hashes, self.begun, self.most_words = hashes, begun, most_words
+        self.known: dict[str, tuple[int, ...]] = {}
 
-def weights(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Terms and normalised TF-IDF weights of a text: (1 + log tf) * idf, of length one."""
+    def _look(self, words: list[str]) -> None:
+        own = hashed(words)
+        at = np.minimum(np.searchsorted(self.hashes, own), max(0, len(self.hashes) - 1))
+        found = self.hashes[at] == own if len(self.hashes) else np.zeros(len(words), bool)
+        begun = self.begun
+        for word, term, is_term in zip(words, at.tolist(), found.tolist()):
+            more = tuple(begun[b] for b in beginnings(word) if b in begun) if begun else ()
+            self.known[word] = (term, *more) if is_term else more
+
+    def __call__(self, texts: list[str | None]) -> list[dict[int, int]]:
+        """Per text the number of times each term occurs, ascending by term."""
+        counts = [Counter(_FIND((t or "").lower())) for t in texts]
+        unseen = list(set().union(*counts) - self.known.keys()) if counts else []
+        # Remembered words may be dropped for new ones: then all are looked up again.
+        if len(self.known) + len(unseen) > self.most_words:
+            self.known, unseen = {}, list(set().union(*counts))
+        self._look(unseen)
+        out = []
+        for words in counts:
+            hits: dict[int, int] = {}
+            for word, n in words.items():
+                for term in self.known[word]:
+                    hits[term] = hits.get(term, 0) + n
+            out.append(dict(sorted(hits.items())))
+        return out
+
+
+def weights(counts: dict[int, int], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms and values of a text: (1 + log tf) * weight, of length one."""
     terms = np.fromiter(counts.keys(), np.int64, len(counts))
-    values = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * idf[terms]
+    values = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * weight[terms]
     return terms, values / math.sqrt(float(values @ values)) if len(values) else values
 
 
+def _spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begins[0], begins[0] + 1, ... sizes[0] times, then the same for the next."""
+    return np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
 class BlockMaxIndex:
     """Posting lists by term with the largest weight of each block of examples."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
-        self.size = len(vectors)
-        self.blocks = -(-self.size // BLOCK)
-        owner = np.repeat(np.arange(self.size), [len(t) for t, _ in vectors]) if vectors else np.empty(0, np.int64)
-        term = np.concatenate([t for t, _ in vectors]) if vectors else np.empty(0, np.int64)
-        weight = np.concatenate([w for _, w in vectors]) if vectors else np.empty(0)
+    def __init__(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, examples: int, terms: int):
+        """Postings (example, term, weight) in any order."""
+        self.size = examples
+        self.blocks = -(-examples // BLOCK)
         order = np.lexsort((owner, term))
-        self.owner, self.weight = owner[order], weight[order]
-        self.first = np.searchsorted(term[order], np.arange(terms + 1))
+        term = term[order]
+        self.owner, self.weight = owner[order].astype(np.int32), weight[order]
         # Per term: its blocks, where each begins among its postings, and its largest weight.
         block = self.owner // BLOCK
-        begins = np.flatnonzero(np.r_[True, (np.diff(block) != 0) | (np.diff(term[order]) != 0)]) if len(block) else np.empty(0, np.int64)
-        self.begin = np.append(begins, len(block))
-        self.block = block[begins]
+        begins = np.flatnonzero(np.r_[True, (np.diff(block) != 0) | (np.diff(term) != 0)]) if len(block) else np.empty(0, np.int64)
+        self.begin = np.append(begins, len(block)).astype(np.int32)
+        self.block = block[begins].astype(np.int32)
         self.most = np.maximum.reduceat(self.weight, begins) if len(begins) else np.empty(0)
-        self.first_block = np.searchsorted(begins, self.first)
+        self.first_block = np.searchsorted(begins, np.searchsorted(term, np.arange(terms + 1))).astype(np.int32)
         self.scored_blocks = 0
 
-    def nearest(self, terms: np.ndarray, values: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The k examples of largest cosine above zero, (cosine, example), ties by example."""
-        bound = np.zeros(self.blocks)
-        spans: dict[int, list[tuple[float, int, int]]] = {}
-        for t, v in zip(terms.tolist(), values.tolist()):
-            a, b = self.first_block[t], self.first_block[t + 1]
-            bound[self.block[a:b]] += v * self.most[a:b]
-            for j in range(a, b):
-                spans.setdefault(int(self.block[j]), []).append((v, int(self.begin[j]), int(self.begin[j + 1])))
-        best: list[tuple[float, int]] = []
-        for at in np.argsort(-bound, kind="stable").tolist():
-            # A little room for rounding: a bound may be summed in another order.
-            if bound[at] == 0 or len(best) == k and bound[at] * (1 + 1e-12) < -best[-1][0]:
-                break
-            self.scored_blocks += 1
-            score = np.zeros(BLOCK)
-            for v, a, b in spans[at]:
-                score[self.owner[a:b] - at * BLOCK] += v * self.weight[a:b]
+    def nearest(self, terms: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Examples and cosines of the k largest cosines above zero and all that equal the last; best first."""
+        begins = self.first_block[terms]
+        sizes = self.first_block[terms + 1] - begins
+        at, value = _spread(begins, sizes), np.repeat(values, sizes)
+        block = self.block[at]
+        bound = np.bincount(block, value * self.most[at], self.blocks)
+        line = np.argsort(-bound, kind="stable")
+        line = line[bound[line] > 0]
+        owners, cosines = [np.empty(0, np.int64)], [np.empty(0)]
+        least, done, step = 0.0, 0, FIRST_BLOCKS
+        while done < len(line) and bound[line[done]] >= least - EQUAL:
+            wanted = np.zeros(self.blocks, bool)
+            wanted[line[done : done + step]] = True
+            on = np.flatnonzero(wanted[block])
+            first = self.begin[at[on]]
+            many = self.begin[at[on] + 1] - first
+            posting = _spread(first, many)
+            # An example's terms are added up in their order, however its block was reached.
+            score = np.bincount(self.owner[posting], self.weight[posting] * np.repeat(value[on], many), self.size)
             found = np.flatnonzero(score)
-            best = sorted([*best, *((-score[i], at * BLOCK + i) for i in found.tolist())])[:k]
-        return [(-s, i) for s, i in best]
+            owners.append(found)
+            cosines.append(score[found])
+            done += len(line[done : done + step])
+            step *= 4
+            all_ = np.concatenate(cosines)
+            least = float(np.partition(all_, -k)[-k]) if len(all_) >= k else 0.0
+        self.scored_blocks += done
+        owner, cosine = np.concatenate(owners), np.concatenate(cosines)
+        near = np.flatnonzero(cosine >= least - EQUAL)
+        near = near[np.lexsort((owner[near], -cosine[near]))]
+        return owner[near], cosine[near]
+
+
+def association(clean: np.ndarray, toxic: np.ndarray, cleans: int, toxics: int) -> np.ndarray:
+    """How many standard deviations beyond chance each term goes with toxic examples.
+
+    clean, toxic: the examples of either kind that have the term. What the largest of so many
+    chance deviations would be counts as chance.
+    """
+    if not len(clean) or not cleans or not toxics:
+        return np.zeros(len(clean))
+    share = (clean + toxic) / (cleans + toxics)
+    deviation = np.sqrt(share * (1 - share) * (1 / cleans + 1 / toxics) + 1e-12)
+    return np.maximum(0, (toxic / toxics - clean / cleans) / deviation - math.sqrt(2 * math.log(max(2, len(clean)))))
 
 
 class ToxicityModel:
-    """Terms, their weights, and the labelled examples under the index."""
-
-    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]]):
-        self.terms, self.idf = terms, idf
-        examples = sorted(examples, key=lambda e: e[:2])
-        with_terms = [e for e in examples if e[2]]
-        self.ids, self.toxic = [e[0] for e in with_terms], [e[1] for e in with_terms]
-        self.index = BlockMaxIndex([weights(e[2], idf) for e in with_terms], len(terms))
-        without = [e[1] for e in examples if not e[2]]
-        # The shares of toxic examples with and without terms, and one half among two more.
-        self.base_with = (sum(self.toxic) + 0.5) / (len(with_terms) + 2)
-        self.base_without = (sum(without) + 0.5) / (len(without) + 2)
+    """Terms, their weights, and the labelled examples under the index.
+
+    Example i has the id ids[i], the label toxic[i], and sizes[i] of the terms and counts.
+    """
+
+    def __init__(
+        self, hashes: np.ndarray, begun: dict[str, int], weight: np.ndarray,
+        ids: np.ndarray, toxic: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray,
+    ):
+        self.hashes, self.begun, self.weight = hashes, begun, weight
+        owner = np.repeat(np.arange(len(ids)), sizes)
+        value = (1 + np.log(counts)) * weight[terms]
+        value /= np.sqrt(np.bincount(owner, value * value, len(ids)))[owner]
+        # Examples with the same heaviest term stand together, so blocks have telling bounds.
+        heaviest = np.full(len(ids), -1, np.int64)
+        by_value = np.argsort(value, kind="stable")
+        heaviest[owner[by_value]] = terms[by_value]
+        order = np.argsort(heaviest, kind="stable")
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        self.ids, self.toxic = ids[order], toxic[order]
+        self.index = BlockMaxIndex(place[owner], terms, value, len(ids), len(weight))
+        # The share of toxic examples, and one half among two more.
+        self.base = (int(self.toxic.sum()) + 0.5) / (len(ids) + 2)
 
     def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
-        """The score and the nearest examples (cosine, number)."""
-        near = self.index.nearest(*weights(counts, self.idf), NEIGHBOURS) if counts else []
-        if not near:
-            return self.base_without, near
-        votes = [1 / (1 - min(c, 1.0) + SOFTENING) for c, _ in near]
-        toxic = sum(v for v, (_, i) in zip(votes, near) if self.toxic[i])
-        return (toxic + BASE_VOTES * self.base_with) / (sum(votes) + BASE_VOTES), near
+        """The score, and the nearest examples (cosine, number), NEIGHBOURS of them.
 
+        All examples as near as the last of them vote.
+        """
+        if not counts:
+            return self.base, []
+        near, cosines = self.index.nearest(*weights(counts, self.weight), NEIGHBOURS)
+        votes = 1 / (1 - np.minimum(cosines, 1.0) + SOFTENING)
+        toxic = float(votes[self.toxic[near] > 0].sum())
+        score = (toxic + BASE_VOTES * self.base) / (float(votes.sum()) + BASE_VOTES)
+        return score, list(zip(cosines[:NEIGHBOURS].tolist(), near[:NEIGHBOURS].tolist()))
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, most_examples: int = MOST_EXAMPLES, id_column: str = "doc_id", text_column: str = "text") -> ToxicityModel:
-    """Learn from labelled rows outside the held-out fold, and document counts of all texts.
+
+def labelled_examples(docs: DataFrame, labels: DataFrame, most_examples: int, id_column: str, text_column: str) -> DataFrame:
+    """(doc_id, toxic, text) of at most most_examples labelled rows outside the held-out fold, one per id.
 
     labels: (doc_id, toxic); null labels and ids are left out, several labels of an id count
-    as their maximum. Only at most most_examples examples reach the driver, as term counts.
+    as their maximum. Of several texts of an id the smallest is taken.
     """
-    rows = texts_of(docs, id_column, text_column)
     given = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(fold_of(F.col("doc_id")) != HELD_OUT_FOLD)
     given = given.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_examples)
     # At most most_examples rows of two numbers.
-    examples = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    found = texts_of(docs, id_column, text_column).join(F.broadcast(chosen), "doc_id")
+    return stored(found.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min(F.coalesce("text", F.lit(""))).alias("text")))
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, most_examples: int = MOST_EXAMPLES, id_column: str = "doc_id", text_column: str = "text") -> ToxicityModel:
+    """Learn from labelled examples, and count in how many of all texts their terms occur.
+
+    Only the examples' terms and counts reach the driver.
+    """
+    spark = docs.sparkSession
+    examples = labelled_examples(docs, labels, most_examples, id_column, text_column)
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in pieces(batches):
             found: tuple[Counter, Counter] = (Counter(), Counter())
             for _, toxic, text in some:
-                found[toxic > 0].update({t for w in set(_FIND(text.lower())) for t in word_terms(w)})
+                words = set(_FIND(text.lower()))
+                found[toxic > 0].update(words | {b for w in words for b in beginnings(w)})
             terms = list(found[0].keys() | found[1].keys())
             yield records({"term": pa.string(), "clean": pa.int64(), "toxic": pa.int64()}, [terms, [found[0][t] for t in terms], [found[1][t] for t in terms]])
 
     sizes = {r["t"]: r["n"] for r in examples.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    clean, toxic = sizes.get(False, 0), sizes.get(True, 0)
-    terms: list[str] = []
-    if clean and toxic:
-        share = (F.col("clean") + F.col("toxic")) / (clean + toxic)
-        deviation = F.sqrt(share * (1 - share) * (1 / clean + 1 / toxic) + 1e-12)
-        counted = examples.mapInArrow(occurrences, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        strength = ((F.col("toxic") / toxic - F.col("clean") / clean) / deviation).alias("strength")
-        strong = counted.filter((F.col("toxic") >= LEAST_EXAMPLES) & (F.col("toxic") >= F.col("clean"))).select("term", strength)
-        terms = [r["term"] for r in strong.filter(F.col("strength") >= LEAST_DEVIATIONS).orderBy(F.desc("strength"), "term").limit(MOST_TERMS).collect()]
+    counted = examples.mapInArrow(occurrences, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    strength = association(*(counted.column(c).to_numpy() for c in ("clean", "toxic")), sizes.get(False, 0), sizes.get(True, 0))
+    chosen = [(t, s) for t, s in zip(counted.column("term").to_pylist(), strength.tolist()) if s > 0 or not t.endswith("*")]
+    hashes, first = np.unique(hashed([t for t, _ in chosen]), return_index=True)
+    chosen = [chosen[i] for i in first]
+    begun = {t: k for k, (t, _) in enumerate(chosen) if t.endswith("*")}
+    known = spark.sparkContext.broadcast((hashes, begun))
 
     def containing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, found, texts = TermCounter(terms), Counter(), 0
+        counter, found, texts = TermCounter(*known.value), np.zeros(len(known.value[0]), np.int64), 0
         for some in pieces(batches):
             texts += len(some)
-            for (text,) in some:
-                found.update(counter(text).keys())
+            for counts in counter([text for (text,) in some]):
+                found[list(counts)] += 1
+        on = np.flatnonzero(found)
         # The number of texts goes under term -1.
-        found[-1] = texts
-        yield records({"term": pa.int32(), "n": pa.int64()}, [list(found), list(found.values())])
+        yield records({"term": pa.int32(), "n": pa.int64()}, [[-1, *on.tolist()], [texts, *found[on].tolist()]])
 
-    holding = rows.select("text").mapInArrow(containing, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    counts = {r["term"]: r["n"] for r in holding.collect()}
-    total = counts.get(-1, 0)
-    idf = np.array([1 + math.log((1 + total) / (1 + counts.get(k, 0))) for k in range(len(terms))])
+    rows = texts_of(docs, id_column, text_column)
+    holding = rows.select("text").mapInArrow(containing, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = (holding.column(c).to_numpy() for c in ("term", "n"))
+    in_texts = np.zeros(len(hashes))
+    in_texts[term[term >= 0]] = n[term >= 0]
+    idf = 1 + np.log((1 + n[term < 0].sum()) / (1 + in_texts))
+    weight = idf * (LEAST_WEIGHT + np.array([s for _, s in chosen]))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TermCounter(terms)
+        counter = TermCounter(*known.value)
         kinds = {"doc_id": pa.int64(), "toxic": pa.int32(), "terms": pa.list_(pa.int32()), "counts": pa.list_(pa.int64())}
         for some in pieces(batches):
-            own = [counter(text) for *_, text in some]
+            own = counter([text for *_, text in some])
             yield records(kinds, [[r[0] for r in some], [r[1] for r in some], [list(c) for c in own], [list(c.values()) for c in own]])
 
-    found = examples.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, counts array<long>").collect()
-    return ToxicityModel(terms, idf, [(r["doc_id"], int(r["toxic"] > 0), dict(zip(r["terms"], r["counts"]))) for r in found])
+    found = examples.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, counts array<long>").toArrow().combine_chunks().sort_by("doc_id")
+    lists = [found.column(c).combine_chunks() for c in ("terms", "counts")]
+    flat = [np.asarray(x.flatten() if len(x) else []) for x in lists]
+    sizes = np.asarray(lists[0].value_lengths() if len(found) else [])
+    ids, toxic = (found.column(c).to_numpy() for c in ("doc_id", "toxic"))
+    return ToxicityModel(hashes, begun, weight, ids, (toxic > 0).astype(np.int64), sizes.astype(np.int64), flat[0].astype(np.int64), flat[1].astype(np.float64))
 
 
 def toxicity_score(spark: SparkSession, model: ToxicityModel, text: Column) -> Column:
@@ -212,21 +290,36 @@ def toxicity_score(spark: SparkSession, model: ToxicityModel, text: Column) -> C
     @F.pandas_udf("score double, evidence array<struct<doc_id: long, cosine: double, toxic: int>>")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = shared.value
-        counter = TermCounter(own.terms)
+        counter = TermCounter(own.hashes, own.begun)
         for texts in parts:
-            found = [own.score(counter(t)) for t in texts]
-            evidence = [[{"doc_id": own.ids[i], "cosine": c, "toxic": own.toxic[i]} for c, i in near] for _, near in found]
+            found = []
+            for at in range(0, len(texts), 256):
+                found += map(own.score, counter(texts.iloc[at : at + 256].tolist()))
+            evidence = [[{"doc_id": int(own.ids[i]), "cosine": c, "toxic": int(own.toxic[i])} for c, i in near] for _, near in found]
             yield pd.DataFrame({"score": [s for s, _ in found], "evidence": evidence})
 
     return score(text)
 
 
-def toxic_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The columns of docs and a struct `toxicity` (score, evidence)."""
+def toxic_documents(docs: DataFrame, labels: DataFrame, column: str = "toxicity") -> DataFrame:
+    """The columns of docs and a struct (score, evidence), named `column`, or with further
+    underscores behind it where docs has that name.
+
+    Null and empty texts, and texts that share no term with an example, get the base rate and
+    no evidence. Repeated rows count as often as they come in the terms' counts, and get equal
+    scores; an example is one row per id. Examples as near as the last of the nearest vote
+    too, so no order of ids decides. Without labels, or of one kind only, every term weighs
+    its TF-IDF; an empty table gives an empty one. A text of any length is read whole.
+    """
     model = fit_toxicity(docs, labels)
-    return docs.withColumn("toxicity", toxicity_score(docs.sparkSession, model, F.col("text")))
+    return docs.withColumn(free_name(docs, column), toxicity_score(docs.sparkSession, model, F.col("text")))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents with a score below one half, unchanged."""
-    return toxic_documents(docs, labels).filter(F.col("toxicity.score") < 0.5).select(*docs.columns)
+    """The documents with a score below one half, unchanged, whatever names their columns have.
+
+    Scores are those of toxic_documents, odd rows included; no row is merged with an equal one.
+    """
+    model = fit_toxicity(docs, labels)
+    scored = wrapped(docs).select("row", toxicity_score(docs.sparkSession, model, F.col("row.text")).alias("toxicity"))
+    return scored.filter(F.col("toxicity.score") < 0.5).select("row.*")
