@@ -66,14 +66,16 @@ def source_targets(sizes: Sequence[int], weights: Sequence[int] = WEIGHTS, most_
     """
     share = [weights[k % len(weights)] for k in range(len(sizes))]
     most = [most_passes * s for s in sizes]
-    free, targets = set(range(len(sizes))), [Fraction(0)] * len(sizes)
-    while free:
-        rest = sum(sizes) - sum(t for k, t in enumerate(targets) if k not in free)
-        unit = Fraction(rest) / sum(share[k] for k in free)
-        above = {k for k in free if share[k] * unit > most[k]}
-        for k in above or free:
-            targets[k] = Fraction(most[k]) if above else share[k] * unit
-        free -= above or free
+    rest, weight, targets = sum(sizes), sum(share), [Fraction(0)] * len(sizes)
+    # The ones that reach their limit first; each that is cut raises what a weight of one gets.
+    order = sorted(range(len(sizes)), key=lambda k: Fraction(most[k], share[k]))
+    for at, k in enumerate(order):
+        if share[k] * Fraction(rest, weight) <= most[k]:
+            for j in order[at:]:
+                targets[j] = share[j] * Fraction(rest, weight)
+            break
+        targets[k] = Fraction(most[k])
+        rest, weight = rest - most[k], weight - share[k]
     return [float(t) for t in targets]
 
 
@@ -94,7 +96,8 @@ def mix(
     segments are the taken stretches of the document as (first, last) word numbers, last
     excluded, whole passes first; taken is their total. Null texts have no words; a null
     source is a source, the last; rows with equal id and text lie side by side in a shard.
-    Only ids and sizes are shuffled, and the columns in keep. The driver sees one row per
+    An empty table gives an empty one; texts of any length are counted whole. The names in
+    keep must not be those of the result. Only ids and sizes are shuffled, and the columns in keep. The driver sees one row per
     source; shard quotas are computed per source from one row per shard.
     """
     spark = docs.sparkSession
@@ -159,14 +162,19 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The mix as documents with the same columns: one row per segment.
 
     A whole pass gives the row unchanged; a stretch gives its words with the white space
-    between them, and n_chars, if there is such a column, counts the new text.
+    between them, and n_chars, if there is such a column, counts the new text. Whatever other
+    names docs has, their values come back as they were. Rows without words, null texts
+    among them, have no segments and go; repeated rows are taken like others; an empty table
+    gives an empty one.
     """
-    names = docs.columns
-    rows = mix(docs, keep=names, **settings).select(*names, "size", F.explode("segments").alias("part"))
-    words = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    whole_row = docs.select("doc_id", "text", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = mix(whole_row, keep=["row"], **settings).select("row", "size", F.explode("segments").alias("part"))
+    text = F.col("row.text")
+    words = F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
     some = F.array_join(F.slice(words, (F.col("part.first") + 1).cast("int"), (F.col("part.last") - F.col("part.first")).cast("int")), "")
     whole = (F.col("part.first") == 0) & (F.col("part.last") == F.col("size"))
-    rows = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(some))
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*names)
+    rows = rows.select("row", whole.alias("whole"), F.when(~whole, some).alias("some"))
+    row = F.col("row").withField("text", F.coalesce("some", text))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.when(F.col("whole"), F.col("row.n_chars")).otherwise(F.char_length("some")).cast(docs.schema["n_chars"].dataType))
+    return rows.select(row.alias("row")).select("row.*")

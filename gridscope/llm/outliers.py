@@ -202,7 +202,7 @@ def robust_estimates(rows: DataFrame, small: bool) -> DataFrame:
 
 
 def outlier_verdicts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", source_column: str = "source") -> DataFrame:
-    """Per row: doc_id, row_key, the base statistics, base_failed, distance and kept.
+    """Per row: doc_id, row_key, the base statistics, base_failed, kept and distance.
 
     Rows that fail the base rules have no distance and don't enter the estimates. A language
     and source with fewer than LEAST_DOCUMENTS such rows is pooled with the other small ones
@@ -238,14 +238,19 @@ def outlier_verdicts(docs: DataFrame, id_column: str = "doc_id", text_column: st
     judged = _with_distance(vectors, estimates.drop("start", "log_det"), small, "left")
     far = F.coalesce(F.col("distance") > chi_square_value(REJECTED_BEYOND, _P), F.lit(False))
     out = ["doc_id", "row_key", *_COUNTS]
-    judged = judged.select(*out, F.lit(False).alias("base_failed"), "distance", (~far).alias("kept"))
-    failed = rows.filter("base_failed").select(*out, "base_failed", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
+    judged = judged.select(*out, F.lit(False).alias("base_failed"), (~far).alias("kept"), "distance")
+    failed = rows.filter("base_failed").select(*out, "base_failed", F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))
     return judged.unionByName(failed)
 
 
 def without_outliers(docs: DataFrame) -> DataFrame:
-    """The documents (doc_id, text, lang, source and others) that are kept, unchanged."""
-    verdicts = outlier_verdicts(docs).filter("NOT kept").select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).distinct()
-    marked = docs.withColumn("_row", F.xxhash64("doc_id", "text", "lang", "source"))
-    same = (F.col("_row") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-    return marked.join(verdicts, same, "left_anti").select(*docs.columns)
+    """The documents (doc_id, text, lang, source and others) that are kept, unchanged.
+
+    Whatever other names docs has, their values come back as they were; equal rows stay or go
+    together. Odd rows are those of outlier_verdicts.
+    """
+    key = F.xxhash64("doc_id", "text", "lang", "source").alias("key")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key)
+    rejected = outlier_verdicts(docs).filter("NOT kept").select(F.col("doc_id").alias("id"), F.col("row_key").alias("key")).distinct()
+    same = (rows["key"] == rejected["key"]) & F.col("row.doc_id").cast("long").eqNullSafe(rejected["id"])
+    return rows.join(rejected, same, "left_anti").select("row.*")
