@@ -632,7 +632,7 @@ def train_gbt(spark: SparkSession, folder: str) -> DataFrame:
     candidate = boosting_candidate("classification", "recommended", "")
     features = FeatureColumns(["l_quantity", "l_extendedprice", "l_discount"], ["l_returnflag"], [])
     return _scores(
-        _train(spark, folder, "lineitem", "l_linestatus", features, candidate, LINE_KEY, **LEARNING)
+        _train(spark, folder, "lineitem", "l_linestatus", features, candidate, LINE_KEY)
     )
 
 
@@ -641,7 +641,7 @@ def train_gbt_regression(spark: SparkSession, folder: str) -> DataFrame:
     candidate = boosting_candidate("regression", "recommended", "")
     features = FeatureColumns(["o_custkey"], ["o_orderstatus", "o_orderpriority"], [])
     return _scores(
-        _train(spark, folder, "orders", "o_totalprice", features, candidate, ["o_orderkey"], **LEARNING)
+        _train(spark, folder, "orders", "o_totalprice", features, candidate, ["o_orderkey"])
     )
 
 
@@ -677,7 +677,7 @@ register("train_forest_majority", MAJORITY)(
     _majority(forest_candidate("classification", "recommended", False, ""), FEW)
 )
 register("train_gbt_majority", MAJORITY)(
-    _majority(boosting_candidate("classification", "recommended", ""), FEW)
+    _majority(boosting_candidate("classification", "recommended", ""), {})
 )
 register("train_categorical_majority", MAJORITY)(
     _majority(categorical_candidate("classification", "recommended", 2), FEW)
@@ -687,7 +687,8 @@ register("train_categorical_majority", MAJORITY)(
 @register("train_gbt_group_means", oracle.group_means("banded", LINE_KEY_SQL, "band", "l_extendedprice"))
 def train_gbt_group_means(spark: SparkSession, folder: str) -> DataFrame:
     candidate = boosting_candidate("regression", "recommended", "")
-    overrides = {"stepSize": 1.0, "maxIter": 2, "maxDepth": 5}
+    # Whole steps on all rows, so the sums of the steps are the means.
+    overrides = {"learning_rate": 1.0, "early_stopping": False}
     return _scores(
         _train(spark, folder, "banded", "l_extendedprice", BAND, candidate, LINE_KEY, overrides)
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (
@@ -222,6 +222,8 @@ class Preprocessing:
 
     stages: list
     max_categories: int
+    # Slots of the vector that are indexed categories, with their number of values; unseen is one.
+    slots: dict[int, int] = field(default_factory=dict)
 
     def model(self) -> PipelineModel:
         return PipelineModel(self.stages)
@@ -257,12 +259,14 @@ def fit_preprocessing(
             expressions.append(f"{filled} as __num_{i}")
             inputs.append(f"__num_{i}")
 
-    discrete, most = features.discrete, 0
+    discrete, most, slots = features.discrete, 0, {}
     if discrete:
         facts = {r["column_name"]: r for r in modes(train, discrete).collect()}
         labels = category_labels(train, discrete)
         # Only indexed categories are values of a feature; one-hot slots have two.
-        most = 0 if one_hot else max(len(values) for values in labels)
+        if not one_hot:
+            most = max(len(values) for values in labels)
+            slots = {len(inputs) + i: len(values) + 1 for i, values in enumerate(labels)}
         for i, name in enumerate(discrete):
             common = facts[name]["value"] if name in facts else ""
             literal = common.replace("\\", "\\\\").replace("'", "\\'")
@@ -291,7 +295,7 @@ def fit_preprocessing(
         )
         stages.append(encoder.fit(indexed))
     stages.append(VectorAssembler(inputCols=inputs, outputCol=FEATURES, handleInvalid="error"))
-    return Preprocessing(stages, most)
+    return Preprocessing(stages, most, slots)
 
 
 def class_weights(counts: dict[object, int]) -> dict[object, float]:

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from gridscope.functions.columns import distinct_messages, json_text, quoted
 from gridscope.functions.tables import kept, local_table
+from gridscope.operators.boosting import HistogramBoosting, Settings
 from gridscope.operators.features import (
     FEATURES,
     FeatureColumns,
@@ -67,6 +68,7 @@ class TrainingFacts:
     label_deviation: float
     max_categories: int
     early_stopping: float | None = None
+    slots: dict[int, int] = field(default_factory=dict)
 
 
 def _ridge(params: dict, facts: TrainingFacts) -> Estimator:
@@ -114,14 +116,29 @@ def _boosting(kind: type) -> Callable[[dict, TrainingFacts], Estimator]:
     return build
 
 
+def _histograms(params: dict, facts: TrainingFacts) -> HistogramBoosting:
+    # A split of one category against all others is a split of its one-hot column.
+    settings = Settings(
+        facts.classes,
+        rounds=int(params.get("maxIter", params.get("max_iter", 100))),
+        rate=float(params.get("stepSize", params.get("learning_rate", 0.1))),
+        leaves=int(params.get("max_leaf_nodes") or 31),
+        depth=params.get("maxDepth", params.get("max_depth")),
+        l2=float(params.get("l2_regularization", 0.0)),
+        least_rows=int(params.get("min_samples_leaf", BOOSTING_LEAF)),
+    )
+    watched = None if params.get("early_stopping") is False else STOPPING
+    return HistogramBoosting(settings, FEATURES, LABEL, watched, facts.slots, facts.early_stopping)
+
+
 # Candidate name -> (estimator, whether its categories are one-hot encoded).
 ESTIMATORS: dict[str, tuple[Callable[[dict, TrainingFacts], Estimator], bool]] = {
     "LogisticRegression": (_logistic, True),
     "Ridge": (_ridge, True),
     "RandomForestClassifier": (_forest_classifier, True),
     "RandomForestRegressor": (_forest_regressor, True),
-    "HistGradientBoostingClassifier": (_boosting(GBTClassifier), True),
-    "HistGradientBoostingRegressor": (_boosting(GBTRegressor), True),
+    "HistGradientBoostingClassifier": (_histograms, False),
+    "HistGradientBoostingRegressor": (_histograms, False),
     "CategoricalBoostingClassifier": (_boosting(GBTClassifier), False),
     "CategoricalBoostingRegressor": (_boosting(GBTRegressor), False),
 }
@@ -139,12 +156,14 @@ RENAMED = {
 }
 
 
-def build_estimator(candidate: Candidate, facts: TrainingFacts) -> Estimator:
-    """The Spark ML estimator of a candidate; parameters it does not have are dropped."""
+def build_estimator(candidate: Candidate, facts: TrainingFacts) -> Estimator | HistogramBoosting:
+    """The estimator of a candidate; parameters that one of Spark ML does not have are dropped."""
     if candidate.model_name not in ESTIMATORS:
         raise ModelError(f"no such model: {candidate.model_name}")
     factory, _ = ESTIMATORS[candidate.model_name]
     estimator = factory(candidate.params, facts)
+    if isinstance(estimator, HistogramBoosting):
+        return estimator
     for name, value in candidate.params.items():
         if name == "max_leaf_nodes" and estimator.hasParam("maxDepth"):
             name, value = "maxDepth", max(1, math.ceil(math.log2(value)))
@@ -398,6 +417,7 @@ def _fit_one(candidate, rows, preprocessing, numbers, task_type, labels, early_s
         numbers["deviation"] or 0.0,
         preprocessing.max_categories,
         early_stopping,
+        preprocessing.slots,
     )
     estimator = build_estimator(candidate, facts)
     fitted = estimator.fit(vectors.where((F.col(SPLIT) == "train") & F.col("__learned")))
