@@ -650,7 +650,7 @@ def train_categorical_boosting(spark: SparkSession, folder: str) -> DataFrame:
     candidate = categorical_candidate("classification", "recommended", 3)
     features = FeatureColumns(["o_totalprice"], ["o_orderpriority"], [])
     return _scores(
-        _train(spark, folder, "orders", "o_orderstatus", features, candidate, ["o_orderkey"], **LEARNING)
+        _train(spark, folder, "orders", "o_orderstatus", features, candidate, ["o_orderkey"])
     )
 
 
@@ -680,7 +680,7 @@ register("train_gbt_majority", MAJORITY)(
     _majority(boosting_candidate("classification", "recommended", ""), {})
 )
 register("train_categorical_majority", MAJORITY)(
-    _majority(categorical_candidate("classification", "recommended", 2), FEW)
+    _majority(categorical_candidate("classification", "recommended", 2), {})
 )
 
 

@@ -224,6 +224,9 @@ class Preprocessing:
     max_categories: int
     # Slots of the vector that are indexed categories, with their number of values; unseen is one.
     slots: dict[int, int] = field(default_factory=dict)
+    # Without an encoder: the columns that the stages add, numbers and texts of categories.
+    numbers: list[str] = field(default_factory=list)
+    categories: list[str] = field(default_factory=list)
 
     def model(self) -> PipelineModel:
         return PipelineModel(self.stages)
@@ -238,9 +241,11 @@ def fit_preprocessing(
     features: FeatureColumns,
     scale_numeric: bool = True,
     one_hot: bool = True,
+    encoded: bool = True,
 ) -> Preprocessing:
     """Learn imputation, scaling and encoding from the training rows.
 
+    Not encoded, categories stay texts for a later stage to learn from, and no vector is made.
     All stages are Spark ML stages, so a model built on them can be saved and
     loaded. Unseen categories and, after fitting, missing ones need no special
     care: the former become all-zero slots, the latter the most frequent value.
@@ -262,9 +267,9 @@ def fit_preprocessing(
     discrete, most, slots = features.discrete, 0, {}
     if discrete:
         facts = {r["column_name"]: r for r in modes(train, discrete).collect()}
-        labels = category_labels(train, discrete)
+        labels = category_labels(train, discrete) if encoded else [[] for _ in discrete]
         # Only indexed categories are values of a feature; one-hot slots have two.
-        if not one_hot:
+        if encoded and not one_hot:
             most = max(len(values) for values in labels)
             slots = {len(inputs) + i: len(values) + 1 for i, values in enumerate(labels)}
         for i, name in enumerate(discrete):
@@ -273,6 +278,8 @@ def fit_preprocessing(
             # The encoder names its slots after the values and takes no empty name.
             filled = f"coalesce(cast({quoted(name)} as string), '{literal}')"
             expressions.append(f"concat('=', {filled}) as __cat_{i}")
+            if not encoded:
+                continue
             stages.append(
                 StringIndexerModel.from_labels(
                     ["=" + value for value in labels[i]],
@@ -286,6 +293,9 @@ def fit_preprocessing(
 
     statement = "SELECT *, " + ", ".join(expressions) + " FROM __THIS__"
     stages.insert(0, SQLTransformer(statement=statement))
+    if not encoded:
+        texts = [f"__cat_{i}" for i in range(len(discrete))]
+        return Preprocessing(stages, 0, numbers=inputs[: len(inputs) - len(texts)], categories=texts)
     if discrete and one_hot:
         # The indexer states the number of categories, so this fit reads no data.
         indexed = PipelineModel(stages).transform(train.limit(0))

@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from importlib.util import find_spec
 
 from pyspark.ml import Estimator, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    OneVsRest,
-    RandomForestClassifier,
-)
-from pyspark.ml.feature import IndexToString
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import IndexToString, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,16 +37,18 @@ from gridscope.operators.metrics import (
 )
 from gridscope.operators.recommend import Candidate, Recommendation, as_text
 from gridscope.operators.split import SplitError, SplitPlan, numbered_copies, plan_split, split_train_test
+from gridscope.operators.statistics import fit_target_statistics, order_bucket
 
-# The largest depth Spark's trees accept, the bins and leaf size of
-# the boosted trees, and the share of training rows that tells them when to stop.
+# The largest depth Spark's trees accept, the leaf size of the boosted trees,
+# the L2 term of those on target statistics, and the share of rows that tells when to stop.
 DEEPEST_TREE = 30
-BOOSTING_BINS = 255
 BOOSTING_LEAF = 20
+STATISTICS_L2 = 3.0
 STOPPING_SHARE = 10
 
 # Columns added for training; the table may well have a `weight` or `label` of its own.
 LABEL, WEIGHT, SPLIT, STOPPING, COPY = "__label", "__weight", "__split", "__stopping", "__copy"
+STEP = "__step_of_order"
 
 
 class ModelError(ValueError):
@@ -105,17 +101,6 @@ def _forest_regressor(params: dict, facts: TrainingFacts) -> Estimator:
     )
 
 
-def _boosting(kind: type) -> Callable[[dict, TrainingFacts], Estimator]:
-    def build(params: dict, facts: TrainingFacts) -> Estimator:
-        return kind(
-            maxBins=max(BOOSTING_BINS, facts.max_categories + 1),
-            minInstancesPerNode=BOOSTING_LEAF,
-            checkpointInterval=10,
-        )
-
-    return build
-
-
 def _histograms(params: dict, facts: TrainingFacts) -> HistogramBoosting:
     # A split of one category against all others is a split of its one-hot column.
     settings = Settings(
@@ -131,16 +116,35 @@ def _histograms(params: dict, facts: TrainingFacts) -> HistogramBoosting:
     return HistogramBoosting(settings, FEATURES, LABEL, watched, facts.slots, facts.early_stopping)
 
 
-# Candidate name -> (estimator, whether its categories are one-hot encoded).
-ESTIMATORS: dict[str, tuple[Callable[[dict, TrainingFacts], Estimator], bool]] = {
-    "LogisticRegression": (_logistic, True),
-    "Ridge": (_ridge, True),
-    "RandomForestClassifier": (_forest_classifier, True),
-    "RandomForestRegressor": (_forest_regressor, True),
-    "HistGradientBoostingClassifier": (_histograms, False),
-    "HistGradientBoostingRegressor": (_histograms, False),
-    "CategoricalBoostingClassifier": (_boosting(GBTClassifier), False),
-    "CategoricalBoostingRegressor": (_boosting(GBTRegressor), False),
+def _statistics(params: dict, facts: TrainingFacts) -> HistogramBoosting:
+    # Categories are target statistics, which are numbers; every round is grown unless a
+    # tolerance is given.
+    depth = int(params.get("maxDepth", params.get("depth", 6)))
+    settings = Settings(
+        facts.classes,
+        rounds=int(params.get("maxIter", params.get("iterations", 500))),
+        rate=float(params.get("stepSize", params.get("learning_rate", 0.05))),
+        leaves=2**depth,
+        depth=depth,
+        l2=float(params.get("l2_leaf_reg", STATISTICS_L2)),
+        least_rows=int(params.get("min_data_in_leaf", 1)),
+    )
+    return HistogramBoosting(settings, FEATURES, LABEL, None if facts.early_stopping is None else STOPPING, {}, facts.early_stopping)
+
+
+# What becomes of a candidate's categories.
+ONE_HOT, INDEXED, STATISTICS = "one-hot", "indexed", "statistics"
+
+# Candidate name -> (estimator, what its categories become).
+ESTIMATORS: dict[str, tuple[Callable[[dict, TrainingFacts], Estimator | HistogramBoosting], str]] = {
+    "LogisticRegression": (_logistic, ONE_HOT),
+    "Ridge": (_ridge, ONE_HOT),
+    "RandomForestClassifier": (_forest_classifier, ONE_HOT),
+    "RandomForestRegressor": (_forest_regressor, ONE_HOT),
+    "HistGradientBoostingClassifier": (_histograms, INDEXED),
+    "HistGradientBoostingRegressor": (_histograms, INDEXED),
+    "CategoricalBoostingClassifier": (_statistics, STATISTICS),
+    "CategoricalBoostingRegressor": (_statistics, STATISTICS),
 }
 
 # Candidate parameter -> Spark parameter, where they differ by name only.
@@ -165,20 +169,13 @@ def build_estimator(candidate: Candidate, facts: TrainingFacts) -> Estimator | H
     if isinstance(estimator, HistogramBoosting):
         return estimator
     for name, value in candidate.params.items():
-        if name == "max_leaf_nodes" and estimator.hasParam("maxDepth"):
-            name, value = "maxDepth", max(1, math.ceil(math.log2(value)))
         name = RENAMED.get(name, name)
         if value is None or name == "solver" or not estimator.hasParam(name):
             continue
         estimator.set(estimator.getParam(name), value)
     if candidate.params.get("class_weight") == "balanced":
         estimator.setWeightCol(WEIGHT)
-    if facts.early_stopping is not None and estimator.hasParam("validationIndicatorCol"):
-        estimator.set(estimator.validationIndicatorCol, STOPPING)
-        estimator.set(estimator.validationTol, facts.early_stopping)
     estimator.setLabelCol(LABEL).setFeaturesCol(FEATURES)
-    if isinstance(estimator, GBTClassifier) and facts.classes > 2:
-        return OneVsRest(classifier=estimator, labelCol=LABEL, featuresCol=FEATURES)
     return estimator
 
 
@@ -369,12 +366,13 @@ def _run(
     if max_train_rows is not None and max_train_rows < plan.train_count:
         learned = pick < int(1_000_000_007 * max_train_rows / plan.train_count)
     rows = rows.withColumn(STOPPING, pick % STOPPING_SHARE == 0).withColumn("__learned", learned)
+    rows = rows.withColumn(STEP, order_bucket(pick))
     # Medians, scaling and categories are of all training rows; only the learner's are bounded.
     train = rows.where(F.col(SPLIT) == "train")
     numbers = train.where("__learned").agg(
         F.count(F.lit(1)).alias("rows"), F.stddev_samp(LABEL).alias("deviation")
     ).first()
-    prepared: dict[bool, Preprocessing] = {}
+    prepared: dict[str, Preprocessing] = {}
     metric, higher = primary_metric(task_type)
     records, models = [], {}
     for seq, candidate in enumerate(candidates):
@@ -386,11 +384,13 @@ def _run(
             warnings = [f"{candidate.model_name} skipped: {candidate.requires} is not installed"]
         else:
             try:
-                one_hot = ESTIMATORS.get(candidate.model_name, (None, True))[1]
-                if one_hot not in prepared:
-                    prepared[one_hot] = fit_preprocessing(train, features, one_hot=one_hot)
+                encoding = ESTIMATORS.get(candidate.model_name, (None, ONE_HOT))[1]
+                if encoding not in prepared:
+                    prepared[encoding] = fit_preprocessing(
+                        train, features, one_hot=encoding == ONE_HOT, encoded=encoding != STATISTICS
+                    )
                 model, estimator_name, metrics = _fit_one(
-                    candidate, rows, prepared[one_hot], numbers, task_type, labels, early_stopping
+                    candidate, rows, prepared[encoding], numbers, task_type, labels, early_stopping
                 )
                 models[seq] = model
             except Exception as error:
@@ -408,9 +408,21 @@ def _run(
 
 
 def _fit_one(candidate, rows, preprocessing, numbers, task_type, labels, early_stopping):
-    vectors = preprocessing.model().transform(rows).select(
-        FEATURES, LABEL, WEIGHT, SPLIT, STOPPING, "__learned"
-    )
+    kept_columns = [LABEL, WEIGHT, SPLIT, STOPPING, "__learned"]
+    stages, found = list(preprocessing.stages), preprocessing.model().transform(rows)
+    learned = (F.col(SPLIT) == "train") & F.col("__learned")
+    if preprocessing.categories or preprocessing.numbers:
+        found = found.select(*preprocessing.numbers, *preprocessing.categories, *kept_columns, STEP)
+        inputs, trained = preprocessing.numbers, found.where(learned)
+        if preprocessing.categories:
+            statistics, trained = fit_target_statistics(trained, preprocessing.categories, LABEL, len(labels), STEP)
+            stages.append(statistics)
+            inputs, found = [*inputs, *statistics.outputCols], statistics.transform(found)
+        stages.append(VectorAssembler(inputCols=inputs, outputCol=FEATURES, handleInvalid="error"))
+        vectors, trained = (stages[-1].transform(t).select(FEATURES, *kept_columns) for t in (found, trained))
+    else:
+        vectors = found.select(FEATURES, *kept_columns)
+        trained = vectors.where(learned)
     facts = TrainingFacts(
         numbers["rows"],
         len(labels),
@@ -420,7 +432,7 @@ def _fit_one(candidate, rows, preprocessing, numbers, task_type, labels, early_s
         preprocessing.slots,
     )
     estimator = build_estimator(candidate, facts)
-    fitted = estimator.fit(vectors.where((F.col(SPLIT) == "train") & F.col("__learned")))
+    fitted = estimator.fit(trained)
 
     predicted = fitted.transform(vectors)
     columns = [SPLIT, LABEL, "prediction"]
@@ -434,7 +446,7 @@ def _fit_one(candidate, rows, preprocessing, numbers, task_type, labels, early_s
     finally:
         predicted.unpersist()
 
-    stages = [*preprocessing.stages, fitted]
+    stages.append(fitted)
     if task_type == "classification":
         stages.append(
             IndexToString(inputCol="prediction", outputCol="predicted_label", labels=labels)

@@ -11,10 +11,10 @@ from gridscope.functions.tables import kept
 from gridscope.operators import split as split_module
 from gridscope.operators.features import FeatureColumns, fit_preprocessing, plan_features
 from gridscope.operators.metrics import roc_auc
-from gridscope.operators.models import TrainingFacts, build_estimator, train_candidates
+from gridscope.operators.models import train_candidates
 from gridscope.operators.profile import profile_columns
 from gridscope.operators.quality import duplicate_rows
-from gridscope.operators.recommend import Recommendation, boosting_candidate, categorical_candidate, linear_candidate
+from gridscope.operators.recommend import Recommendation, boosting_candidate, linear_candidate
 from gridscope.operators.split import split_train_test
 from gridscope.sources.reader import LoadError, read_table
 from gridscope.sources.sink import write_results
@@ -62,12 +62,13 @@ def test_a_quote_inside_a_field_is_no_line_break(spark, folder):
     assert "multiLine=true" not in df._jdf.queryExecution().toString()
 
 
-def test_bins_follow_categories_only_where_they_are_indexed(spark, frame):
+def test_slots_only_where_categories_are_indexed(spark, frame):
     df = frame("c string, y int", *[(f"v{i}", i % 2) for i in range(400)])
-    for one_hot, bins in ((True, 255), (False, 401)):
+    for one_hot, most, slots in ((True, 0, {}), (False, 400, {0: 401})):
         prepared = fit_preprocessing(df, FeatureColumns([], ["c"], []), one_hot=one_hot)
-        facts = TrainingFacts(400, 2, 1.0, prepared.max_categories)
-        assert build_estimator(categorical_candidate("classification", "recommended", 2), facts).getMaxBins() == bins
+        assert (prepared.max_categories, prepared.slots) == (most, slots)
+    left = fit_preprocessing(df, FeatureColumns([], ["c"], []), encoded=False)
+    assert left.categories == ["__cat_0"] and len(left.stages) == 1
 
 
 def test_scores_that_are_not_numbers(spark, frame):
