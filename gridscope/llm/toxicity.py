@@ -26,7 +26,7 @@ from gridscope.llm.common import fold_of, free_name, pieces, records, stored, te
 
 #: Labelled rows that are examples, the smallest hashes of their ids: the bound of everything
 #: that is held in one place.
-MOST_EXAMPLES = 10_000
+MOST_EXAMPLES = 5_000
 #: Lengths of word beginnings that are terms if they go with toxicity.
 BEGINNINGS = (3, 4, 5, 6, 7)
 #: What a term weighs that goes with toxicity no more than chance among all terms would have it.
@@ -51,8 +51,8 @@ def beginnings(word: str) -> list[str]:
 
 
 def hashed(terms: list[str]) -> np.ndarray:
-    """Terms are told apart by 64 bits of hash."""
-    return np.fromiter((xxhash.xxh64_intdigest(t.encode()) for t in terms), np.uint64, len(terms))
+    """Terms are told apart by 64 bits of hash, the same as Spark's."""
+    return np.fromiter((xxhash.xxh64_intdigest(t.encode(), 42) for t in terms), np.uint64, len(terms))
 
 
 class TermCounter:
@@ -178,7 +178,7 @@ class ToxicityModel:
         ids: np.ndarray, toxic: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray,
     ):
         self.hashes, self.begun, self.weight = hashes, begun, weight
-        owner = np.repeat(np.arange(len(ids)), sizes)
+        owner = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
         value = (1 + np.log(counts)) * weight[terms]
         value /= np.sqrt(np.bincount(owner, value * value, len(ids)))[owner]
         # Examples with the same heaviest term stand together, so blocks have telling bounds.
@@ -186,8 +186,8 @@ class ToxicityModel:
         by_value = np.argsort(value, kind="stable")
         heaviest[owner[by_value]] = terms[by_value]
         order = np.argsort(heaviest, kind="stable")
-        place = np.empty(len(ids), np.int64)
-        place[order] = np.arange(len(ids))
+        place = np.empty(len(ids), np.int32)
+        place[order] = np.arange(len(ids), dtype=np.int32)
         self.ids, self.toxic = ids[order], toxic[order]
         self.index = BlockMaxIndex(place[owner], terms, value, len(ids), len(weight))
         # The share of toxic examples, and one half among two more.
@@ -239,12 +239,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_examples: int = MOST_E
             yield records({"term": pa.string(), "clean": pa.int64(), "toxic": pa.int64()}, [terms, [found[0][t] for t in terms], [found[1][t] for t in terms]])
 
     sizes = {r["t"]: r["n"] for r in examples.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    counted = examples.mapInArrow(occurrences, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    counted = examples.mapInArrow(occurrences, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    # Words come as hashes; only beginnings keep their text, which tells whether they are known.
+    counted = counted.select(F.xxhash64("term").alias("hash"), "clean", "toxic", F.when(F.col("term").endswith("*"), F.col("term")).alias("begun")).toArrow()
     strength = association(*(counted.column(c).to_numpy() for c in ("clean", "toxic")), sizes.get(False, 0), sizes.get(True, 0))
-    chosen = [(t, s) for t, s in zip(counted.column("term").to_pylist(), strength.tolist()) if s > 0 or not t.endswith("*")]
-    hashes, first = np.unique(hashed([t for t, _ in chosen]), return_index=True)
-    chosen = [chosen[i] for i in first]
-    begun = {t: k for k, (t, _) in enumerate(chosen) if t.endswith("*")}
+    is_word = counted.column("begun").is_null().to_numpy()
+    wanted = np.flatnonzero((strength > 0) | is_word)
+    hashes, first = np.unique(counted.column("hash").to_numpy().view(np.uint64)[wanted], return_index=True)
+    wanted = wanted[first]
+    strength = strength[wanted]
+    starred = np.flatnonzero(~is_word[wanted])
+    begun = dict(zip(counted.column("begun").take(wanted[starred]).to_pylist(), starred.tolist()))
+    del counted
     known = spark.sparkContext.broadcast((hashes, begun))
 
     def containing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +269,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_examples: int = MOST_E
     in_texts = np.zeros(len(hashes))
     in_texts[term[term >= 0]] = n[term >= 0]
     idf = 1 + np.log((1 + n[term < 0].sum()) / (1 + in_texts))
-    weight = idf * (LEAST_WEIGHT + np.array([s for _, s in chosen]))
+    weight = idf * (LEAST_WEIGHT + strength)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = TermCounter(*known.value)
@@ -277,7 +283,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_examples: int = MOST_E
     flat = [np.asarray(x.flatten() if len(x) else []) for x in lists]
     sizes = np.asarray(lists[0].value_lengths() if len(found) else [])
     ids, toxic = (found.column(c).to_numpy() for c in ("doc_id", "toxic"))
-    return ToxicityModel(hashes, begun, weight, ids, (toxic > 0).astype(np.int64), sizes.astype(np.int64), flat[0].astype(np.int64), flat[1].astype(np.float64))
+    return ToxicityModel(hashes, begun, weight, ids, (toxic > 0).astype(np.int64), sizes.astype(np.int64), flat[0].astype(np.int32), flat[1].astype(np.int32))
 
 
 def toxicity_score(spark: SparkSession, model: ToxicityModel, text: Column) -> Column:
