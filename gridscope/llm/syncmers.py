@@ -2,13 +2,13 @@
 
 A k-mer of characters is a closed syncmer if the smallest hash of its s-mers is that of its
 first or its last s-mer. The choice looks at the k-mer alone, so the same passage gives the
-same anchors wherever it stands. A fingerprint keeps the anchors with the smallest hashes
-and their positions; two fingerprints are compared by the anchors they share in the same
-order.
+same anchors wherever it stands. A fingerprint holds all anchors by position; two
+fingerprints are compared by the anchors they share in the same order.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -22,12 +22,9 @@ from gridscope.llm.common import edges, partitions, pieces, range_of, records, t
 
 #: Characters of an anchor and of its inner strings: one of 6.5 k-mers is an anchor.
 K, S = 20, 8
-#: Anchors in a fingerprint.
-KEPT = 64
 #: Windows that are hashed at once, whatever the length of a text.
 WINDOWS = 500_000
 FACTOR = 0x9E3779B97F4A7C15
-_ENTRY = np.dtype([("hash", ">u8"), ("at", ">u4")])
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -94,40 +91,52 @@ def anchors(texts: list[str], k: int = K, s: int = S) -> list[tuple[np.ndarray,
     ]
 
 
-def sketch(positions: np.ndarray, hashes: np.ndarray, kept: int = KEPT) -> np.ndarray:
-    """The anchors with the smallest hashes, each at its first position, by hash."""
-    values, first = np.unique(hashes, return_index=True)
-    out = np.empty(min(kept, len(values)), _ENTRY)
-    out["hash"], out["at"] = values[:kept], positions[first[:kept]]
-    return out
+class Fingerprint:
+    """All anchors of a text: 32 bits of their hashes and their positions, ascending."""
 
+    def __init__(self, positions: np.ndarray, hashes: np.ndarray):
+        self.positions, self.hashes = positions, (hashes & np.uint64(0xFFFFFFFF)).astype("<u4")
+        # Distinct hashes ascending, each with its first position.
+        self.distinct, first = np.unique(self.hashes, return_index=True)
+        self.first = positions[first]
 
-def sketches(texts: list[str]) -> list[np.ndarray]:
-    return [sketch(*a) for a in anchors(texts)]
+    def text(self) -> str:
+        """Four bytes of hash and one of distance to the anchor before for every anchor, in base 64.
 
+        No window of K - S + 1 places is without an anchor, so a distance fits a byte.
+        """
+        out = np.empty((len(self.hashes), 5), np.uint8)
+        out[:, :4] = self.hashes.view(np.uint8).reshape(-1, 4)
+        out[:, 4] = np.diff(self.positions, prepend=0)
+        return base64.b64encode(out.tobytes()).decode()
 
-def in_order(positions: list[int]) -> int:
+
+def fingerprints(texts: list[str]) -> list[Fingerprint]:
+    return [Fingerprint(*a) for a in anchors(texts)]
+
+
+def in_order(positions: np.ndarray) -> int:
     """The most entries that ascend from left to right."""
+    if len(positions) < 2 or (np.diff(positions) > 0).all():
+        return len(positions)
     tails: list[int] = []
-    for p in positions:
+    for p in positions.tolist():
         at = bisect_left(tails, p)
         tails[at : at + 1] = [p]
     return len(tails)
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """0 to 1: about the share of the two texts that is common and in the same order.
+def likeness(a: Fingerprint, b: Fingerprint) -> float:
+    """0 to 1: the share of the distinct anchors of both that are common and in the same order.
 
-    Among the smallest hashes of both, those that both have at ascending positions are
-    counted: with J their share, 2J / (1 + J). Two empty fingerprints are alike.
+    Twice the most common anchors whose first positions ascend in both, over the distinct
+    anchors of the one and the other. Two empty fingerprints are alike.
     """
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    x, y = dict(zip(a["hash"].tolist(), a["at"].tolist())), dict(zip(b["hash"].tolist(), b["at"].tolist()))
-    union = sorted(x.keys() | y.keys())[: max(len(a), len(b))]
-    both = sorted((x[h], y[h]) for h in union if h in x and h in y)
-    share = in_order([p for _, p in both]) / len(union)
-    return 2 * share / (1 + share)
+    total = len(a.distinct) + len(b.distinct)
+    if not total:
+        return 1.0
+    _, x, y = np.intersect1d(a.distinct, b.distinct, assume_unique=True, return_indices=True)
+    return 2 * in_order(b.first[y][np.argsort(a.first[x], kind="stable")]) / total
 
 
 def edited_text(text: str, following: str) -> str:
@@ -167,16 +176,16 @@ def edited_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column:
         held, first = None, None
 
         def result(pairs):
-            """Rows (doc_id, text, sketch) with the ones that follow them."""
+            """Rows (doc_id, text, fingerprint) with the ones that follow them."""
             edited = [edited_text(a[1], b[1]) for a, b in pairs]
             out = []
-            for (a, b), text, own in zip(pairs, edited, sketches(edited)):
+            for (a, b), text, own in zip(pairs, edited, fingerprints(edited)):
                 digest = hashlib.sha256(text.encode()).hexdigest()
-                out.append((a[0], len(a[1]), digest, a[2].tobytes().hex(), own.tobytes().hex(), likeness(a[2], own), likeness(a[2], b[2])))
+                out.append((a[0], len(a[1]), digest, a[2].text(), own.text(), likeness(a[2], own), likeness(a[2], b[2])))
             return records(kinds, list(zip(*out)))
 
         for some in pieces(batches):
-            line = [(doc_id, text, own, guest) for (guest, doc_id, text), own in zip(some, sketches([t for *_, t in some]))]
+            line = [(doc_id, text, own, guest) for (guest, doc_id, text), own in zip(some, fingerprints([t for *_, t in some]))]
             first = first or line[0]
             if held is not None:
                 line.insert(0, held)

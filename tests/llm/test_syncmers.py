@@ -1,5 +1,6 @@
 """Syncmer anchors, edited texts and likeness against plain loops."""
 
+import base64
 import hashlib
 import random
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridscope.llm import syncmers as S
-from gridscope.llm.syncmers import anchors, edited_fingerprints, in_order, likeness, sketches
+from gridscope.llm.syncmers import anchors, edited_fingerprints, fingerprints, in_order, likeness
 
 
 def plain_anchors(text, k, s):
@@ -59,20 +60,56 @@ def test_in_order():
             some = [x for i, x in enumerate(line) if mask >> i & 1]
             if all(a < b for a, b in zip(some, some[1:])):
                 best = max(best, len(some))
-        assert in_order(line) == best
+        assert in_order(np.array(line)) == best
 
 
 def test_likeness():
     draw = random.Random(3)
     text = "".join(draw.choices("abcdefghij ", k=4000))
     other = "".join(draw.choices("abcdefghij ", k=4000))
-    a, b, half, swapped, empty = sketches([text, other, text[:2000] + other[:2000], text[2000:] + text[:2000], ""])
+    a, b, half, swapped, empty = fingerprints([text, other, text[:2000] + other[:2000], text[2000:] + text[:2000], ""])
     assert likeness(a, a) == likeness(empty, empty) == 1
-    assert likeness(a, b) == likeness(a, empty) == 0
+    # Anchors that reach into the padding hold a character or two.
+    assert likeness(a, b) < 0.01 and likeness(a, empty) == 0
     assert 0.25 < likeness(a, half) < 0.75
     assert 0.3 < likeness(a, swapped) < 0.95
 
 
+def plain_likeness(a, b):
+    """Over all anchors, by dictionaries of first positions."""
+    first = [{}, {}]
+    for own, text in zip(first, (a, b)):
+        for at, h in plain_anchors(text, S.K, S.S):
+            own.setdefault(h % 2**32, at)
+    line = [first[1][h] for h, _ in sorted(first[0].items(), key=lambda e: e[1]) if h in first[1]]
+    longest = []
+    for k, p in enumerate(line):
+        longest.append(1 + max((n for n, q in zip(longest, line[:k]) if q < p), default=0))
+    return 2 * max(longest, default=0) / (len(first[0]) + len(first[1])) if any(first) else 1.0
+
+
+def test_likeness_counts_all_anchors():
+    draw = random.Random(8)
+    text = "".join(draw.choices("abcdefghij ", k=1500))
+    others = [text[:700] + "x" * 40 + text[700:], text[900:] + text[:900], text * 2, text[:750] + text[:750][::-1], "", "short"]
+    for other in others:
+        a, b = fingerprints([text, other])
+        assert likeness(a, b) == pytest.approx(plain_likeness(text, other), abs=1e-12)
+    # More anchors than a sketch of the smallest hashes would hold, and all can be read back.
+    whole = fingerprints([text])[0]
+    told = np.frombuffer(base64.b64decode(whole.text()), np.uint8).reshape(-1, 5)
+    assert len(told) == len(plain_anchors(text, S.K, S.S)) > 150
+    assert np.cumsum(told[:, 4]).tolist() == whole.positions.tolist()
+    assert told[:, :4].copy().view("<u4")[:, 0].tolist() == whole.hashes.tolist()
+
+
+def test_distances_fit_a_byte():
+    draw = random.Random(9)
+    texts = ["a" * 3000, "ab" * 2000, "".join(draw.choices("ab", k=5000)), "\n" * 50 + "x"]
+    for found in fingerprints(texts):
+        assert np.diff(found.positions, prepend=0).max() <= S.K - S.S + 1
+
+
 def expected(rows):
     rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is not None, r[1] or ""))
     out = []
@@ -80,9 +117,9 @@ def expected(rows):
         text, following = text or "", rows[(i + 1) % len(rows)][1] or ""
         half = len(text) // 2
         edited = text[: len(text) - half] + following[:half]
-        x, y, z = sketches([text, edited, following])
+        x, y, z = fingerprints([text, edited, following])
         digest = hashlib.sha256(edited.encode()).hexdigest()
-        out.append((doc_id, len(text), digest, x.tobytes().hex(), y.tobytes().hex(), likeness(x, y), likeness(x, z)))
+        out.append((doc_id, len(text), digest, x.text(), y.text(), likeness(x, y), likeness(x, z)))
     return sorted(out, key=repr)
 
 
