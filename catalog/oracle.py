@@ -442,3 +442,15 @@ def ridge_predictions(table: str, key: str, x: str, y: str) -> str:
 tr AS (SELECT avg({x}) AS mx, stddev_pop({x}) AS sx, avg({y}) AS my FROM split WHERE split = 'train'),
 w AS (SELECT sum((({x} - mx) / sx) * ({y} - my)) / (count(*) + 1.0) AS w FROM split, tr WHERE split = 'train')
 SELECT {key}, round(my + w * ({x} - mx) / sx, 4) AS predicted FROM split, tr, w"""
+
+
+def lines(section: str, sql: str, number: str | None = None, fractions: bool = False) -> str:
+    """Every cell of a result as a line of a report; ratios have six digits after the point."""
+    ratio = "(c LIKE '%ratio' OR c = 'metric_value')"
+    cells = f"COLUMNS(lambda c: NOT {ratio} AND c NOT IN ('seq', 'position'))::VARCHAR AS '\\0'"
+    if fractions:
+        cells += f", COLUMNS(lambda c: {ratio})::DECIMAL(38,6)::VARCHAR AS '\\0'"
+    return (
+        f"SELECT '{section}' AS section, CAST(item AS INT) AS item, name, value FROM "
+        f"(SELECT {number or 0} AS item, {cells} FROM ({sql})) UNPIVOT INCLUDE NULLS (value FOR name IN (COLUMNS(* EXCLUDE (item))))"
+    )

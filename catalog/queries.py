@@ -837,33 +837,33 @@ def result_sink(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{base}/column_profile").drop("run_id", "sample_values")
 
 
-REPORT_SQL = f"""{oracle.summary_cte('supplier')},
-t AS (SELECT count(*) FILTER (WHERE inferred_type = 'numeric') AS num,
-  count(*) FILTER (WHERE inferred_type = 'categorical') AS cat,
-  count(*) FILTER (WHERE inferred_type = 'boolean') AS bool,
-  count(*) FILTER (WHERE inferred_type = 'datetime') AS dates,
-  count(*) FILTER (WHERE inferred_type = 'text') AS txt FROM p)
-SELECT 'dataset overview' AS section, 2 AS seq, 'rows' AS name, CAST(row_count AS VARCHAR) AS value FROM s
-UNION ALL SELECT 'dataset overview', 3, 'columns', CAST(column_count AS VARCHAR) FROM s
-UNION ALL SELECT 'schema profile', 0, 'numeric columns', CAST(num AS VARCHAR) FROM t
-UNION ALL SELECT 'schema profile', 1, 'categorical columns', CAST(cat AS VARCHAR) FROM t
-UNION ALL SELECT 'schema profile', 2, 'boolean columns', CAST(bool AS VARCHAR) FROM t
-UNION ALL SELECT 'schema profile', 3, 'datetime columns', CAST(dates AS VARCHAR) FROM t
-UNION ALL SELECT 'schema profile', 4, 'text columns', CAST(txt AS VARCHAR) FROM t
-UNION ALL SELECT 'schema profile', 5, 'constant columns', coalesce(nullif(constant_columns, ''), 'none') FROM s
-UNION ALL SELECT 'schema profile', 6, 'high-cardinality columns', coalesce(nullif(high_cardinality_columns, ''), 'none') FROM s
-UNION ALL SELECT 'data quality', 0, 'missing cell ratio', CAST(missing_cell_ratio AS VARCHAR) FROM s
-UNION ALL SELECT 'data quality', 1, 'duplicate row ratio', CAST(duplicate_row_ratio AS VARCHAR) FROM s
-UNION ALL SELECT 'data quality', 2, 'rows with missing values', CAST(rows_with_missing_count AS VARCHAR) FROM s
-UNION ALL SELECT 'data quality', 3, 'fully missing rows', CAST(fully_missing_row_count AS VARCHAR) FROM s
-UNION ALL SELECT 'data quality', 4, 'possible id columns', coalesce(nullif(possible_id_columns, ''), 'none') FROM s"""
+#: Free texts, and sample values, which column_samples compares.
+TEXTS = ("message", "warnings", "errors", "reasons", "sample_values")
+REPORT_SQL = " UNION ALL ".join(
+    oracle.lines(section, sql, number, fractions)
+    for section, sql, number, fractions in (
+        ("analysis", "SELECT 'run' AS run_id, 'dataframe' AS source, status, verdict, status = 'completed' AS ready_for_downstream, "
+         f"false AS ready_for_planning, requires_target, ready_for_training FROM ({_run_sql('supplier', None, None)})", None, False),
+        ("table_counts", oracle.table_counts("supplier"), None, False),
+        ("source", "SELECT 'dataframe' AS file_name, '' AS file_extension, count(*) AS row_count, "
+         f"{len(columns('supplier'))} AS column_count, '{','.join(n for n, _ in columns('supplier'))}' AS column_names FROM supplier", None, False),
+        ("validation", f"SELECT * EXCLUDE (error_count, warning_count) FROM ({oracle.validation('supplier')})", None, False),
+        ("column_profile", oracle.profile("supplier"), "position", True),
+        ("column_lists", oracle.column_lists("supplier"), None, False),
+        ("quality_summary", oracle.quality_summary("supplier"), None, True),
+        ("quality_issues", oracle.quality_issues("supplier"), "seq", True),
+        ("task", "SELECT CAST(NULL AS VARCHAR) AS candidate_target, CAST(NULL AS VARCHAR) AS task_type, CASE WHEN bool_or(n IN "
+         "('target', 'label', 'y', 'class', 'outcome')) THEN 'ok' ELSE 'not_found' END AS status FROM "
+         "(SELECT unnest(list_transform(['s_suppkey', 's_name', 's_nationkey', 's_acctbal'], lambda x: lower(x))) AS n)", None, False),
+    )
+)
 
 
 @register("report_lines", REPORT_SQL)
 def report(spark: SparkSession, folder: str) -> DataFrame:
+    """All lines of a report but free texts."""
     lines = report_lines(spark, analyze_table(spark, load(spark, folder, "supplier")))
-    measured = F.col("section").isin("schema profile", "data quality") | F.col("name").isin("rows", "columns")
-    return lines.where(measured & ~F.col("name").isin("quality issues", "critical issues"))
+    return lines.where(~F.col("name").isin(*TEXTS)).drop("seq")
 
 
 @register("training_run", None)

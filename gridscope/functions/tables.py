@@ -51,7 +51,9 @@ def scratch_folder(spark: SparkSession) -> str:
 
 
 def remove_folder(spark: SparkSession, folder: str) -> None:
-    """Delete a folder in whatever file system it is."""
+    """Delete a folder in whatever file system it is; a session that was stopped deletes no more."""
+    if spark.sparkContext._jsc is None:
+        return
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

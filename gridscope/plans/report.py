@@ -1,150 +1,57 @@
-"""Report facts of an analysis: one row per line, by section."""
+"""A report of an analysis: every cell of its result tables as one line."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
 
-from gridscope.functions.tables import local_table
-from gridscope.operators.recommend import as_text
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from gridscope.functions.columns import quoted
 from gridscope.plans.analyze import Analysis
 
-LINE = "section string, seq int, name string, value string"
+#: Columns that number the rows of a result table.
+NUMBERS = ("seq", "position")
+#: Results whose rows grow with the data, or are data.
+UNBOUNDED = ("class_distribution", "preview")
+#: Facts of the run that no result follows from.
+TIMES = ("started_at", "ended_at", "duration_seconds")
 
 
 def report_lines(spark: SparkSession, analysis: Analysis) -> DataFrame:
-    """Facts in seven sections; a stage that did not run has no section.
+    """section, item, seq, name and value for every cell of every bounded result.
 
-    Built from one-row tables and from lists bounded by the number of columns.
+    The section is the result's name, with `analysis` for the run itself; the item is the
+    row's number, 0 for results of one row; seq and name are the column's. A stage that did
+    not run has no result, and so no lines. Numbers with a fraction have six digits of it,
+    lists are joined by commas, maps and structs are JSON.
     """
-    lines: list[tuple] = []
-
-    def section(title: str, facts: list[tuple[str, object]]) -> None:
-        lines.extend((title, i, name, _show(value)) for i, (name, value) in enumerate(facts))
-
-    _overview(analysis, section)
-    _validation(analysis, section)
-    lists = analysis.row("column_lists")
-    if lists is not None:
-        kinds = ("numeric", "categorical", "boolean", "datetime", "text")
-        section(
-            "schema profile",
-            [(f"{kind} columns", len(lists[f"{kind}_columns"])) for kind in kinds]
-            + [
-                ("constant columns", lists["constant_columns"]),
-                ("high-cardinality columns", lists["high_cardinality_columns"]),
-            ],
-        )
-    quality = analysis.row("quality_summary")
-    if quality is not None:
-        issues = analysis.tables["quality_issues"]
-        section(
-            "data quality",
-            [
-                ("missing cell ratio", quality["missing_cell_ratio"]),
-                ("duplicate row ratio", quality["duplicate_row_ratio"]),
-                ("rows with missing values", quality["rows_with_missing_count"]),
-                ("fully missing rows", quality["fully_missing_row_count"]),
-                ("possible id columns", quality["possible_id_columns"]),
-                ("quality issues", issues.count()),
-                ("critical issues", not quality["is_usable_for_analysis"]),
-            ],
-        )
-    task = analysis.row("task")
-    if task is not None:
-        section(
-            "task inference",
-            [
-                ("status", task["status"]),
-                ("candidate target", task["candidate_target"]),
-                ("task type", task["task_type"]),
-                *[("reason", reason) for reason in task["reasons"]],
-            ],
-        )
-    _target(analysis, section)
-    _recommendation(analysis, section)
-    for name, messages in (("warning", analysis.warnings), ("error", analysis.errors)):
-        if messages:
-            section(f"{name}s", [(name, message) for message in messages])
-    return local_table(spark, lines, LINE)
-
-
-def _show(value: object) -> str | None:
-    if isinstance(value, list):
-        return ", ".join(value) if value else "none"
-    return as_text(value)
+    results = {"analysis": analysis.summary_table(spark).drop(*TIMES), **analysis.tables}
+    return reduce(DataFrame.unionByName, [_lines(name, df) for name, df in results.items() if name not in UNBOUNDED])
 
 
-def _overview(analysis: Analysis, section) -> None:
-    source = analysis.row("source")
-    if source is None:
-        section("dataset overview", [("source", analysis.source), ("loaded", False)])
-        return
-    section(
-        "dataset overview",
-        [
-            ("source", source["file_name"]),
-            ("extension", source["file_extension"]),
-            ("rows", source["row_count"]),
-            ("columns", source["column_count"]),
-        ],
-    )
-
+def _lines(section: str, df: DataFrame) -> DataFrame:
+    number = next((F.col(c) for c in NUMBERS if c in df.columns), F.lit(0))
+    cells = [
+        F.struct(F.lit(seq).alias("seq"), F.lit(f.name).alias("name"), _text(F.col(quoted(f.name)), f.dataType).alias("value"))
+        for seq, f in enumerate(df.schema)
+        if f.name not in NUMBERS
+    ]
+    lines = df.select(number.cast("int").alias("item"), F.explode(F.array(*cells)).alias("cell"))
+    return lines.select(F.lit(section).alias("section"), "item", "cell.seq", "cell.name", "cell.value")
 
-def _validation(analysis: Analysis, section) -> None:
-    valid = analysis.row("validation")
-    if valid is None:
-        section("validation", [("completed", False)])
-        return
-    section(
-        "validation",
-        [
-            ("valid", valid["is_valid"]),
-            ("errors", len(valid["errors"])),
-            ("warnings", len(valid["warnings"])),
-            *[("error", message) for message in valid["errors"]],
-            *[("warning", message) for message in valid["warnings"]],
-        ],
-    )
 
+def _text(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return _number(value)
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+        return F.array_join(value, ",")
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.to_json(value)
+    return value.cast("string")
 
-def _target(analysis: Analysis, section) -> None:
-    target = analysis.row("target_summary")
-    if target is None:
-        return
-    issues = analysis.tables["target_issues"].orderBy("seq").collect()
-    facts = [
-        ("target column", target["target_column"]),
-        ("task type", target["task_type"]),
-        ("missing ratio", target["missing_ratio"]),
-        ("unique values", target["unique_count"]),
-        ("usable for modeling", all(i["severity"] != "critical" for i in issues)),
-    ]
-    if target["task_type"] == "classification":
-        names = (
-            "majority_class", "majority_class_ratio", "minority_class", "minority_class_ratio",
-            "class_imbalance_ratio",
-        )
-        facts += [(name.replace("_", " "), target[name]) for name in names]
-    numbers = analysis.row("numeric_summary")
-    if numbers is not None:
-        names = ("mean", "median", "minimum", "maximum", "skewness")
-        facts += [(f"target {name}", numbers[name]) for name in names]
-    section("target profile", facts + [("issue", i["message"]) for i in issues])
 
-
-def _recommendation(analysis: Analysis, section) -> None:
-    found = analysis.recommendation
-    if found is None:
-        return
-    facts: list[tuple[str, object]] = [
-        ("status", found.status),
-        ("recommended model", found.recommended_model),
-        ("confidence", found.confidence),
-    ]
-    for candidate in found.candidates:
-        if candidate.role == "recommended":
-            facts += [(f"parameter {k}", v) for k, v in candidate.params.items()]
-            facts += [("reason", text) for text in candidate.reasons]
-            facts += [("concern", text) for text in candidate.concerns]
-    facts += [("blocked by", text) for text in found.blocked_reasons]
-    section("model recommendation", facts)
+def _number(value: Column) -> Column:
+    """Six digits after the point; what has none, such as infinity, as it is."""
+    return F.coalesce(value.try_cast("decimal(38,6)").cast("string"), value.cast("string"))

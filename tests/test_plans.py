@@ -55,8 +55,11 @@ def test_load_failed(spark, folder):
         out.write("target,target,feature\n1,2,3\n")
     run = analyze_table(spark, path)
     assert run.status == "load_failed" and run.verdict == "failed" and not run.tables
-    sections = {r.section for r in report_lines(spark, run).collect()}
-    assert sections == {"dataset overview", "validation", "errors"}
+    lines = report_lines(spark, run).collect()
+    # Nothing was read, so only the run itself has lines.
+    assert {r.section for r in lines} == {"analysis"}
+    told = {r.name: r.value for r in lines}
+    assert (told["status"], told["verdict"]) == ("load_failed", "failed") and "target" in told["errors"]
     assert train_table(run).status == "not_ready"
 
 
@@ -115,12 +118,14 @@ def test_saved_results(spark, trained, folder):
 
 def test_report(spark, trained):
     lines = report_lines(spark, trained[0])
-    sections = [r.section for r in lines.select("section").distinct().collect()]
-    assert sorted(sections) == [
-        "data quality", "dataset overview", "model recommendation", "schema profile",
-        "target profile", "task inference", "validation",
-    ]
-    facts = {(r.section, r.name): r.value for r in lines.collect()}
-    assert facts["dataset overview", "rows"] == "20"
-    assert facts["target profile", "class imbalance ratio"] == "1.0"
-    assert facts["data quality", "possible id columns"] == "none"
+    run, rows = trained[0], lines.collect()
+    # Every cell of every result but the data itself, and no other.
+    results = {n: t for n, t in run.tables.items() if n not in ("preview", "class_distribution") and t.count()}
+    cells = sum(t.count() * len([c for c in t.columns if c not in ("seq", "position")]) for t in results.values())
+    assert {r.section for r in rows} == {"analysis", *results}
+    assert len([r for r in rows if r.section != "analysis"]) == cells == len({(r.section, r.item, r.name) for r in rows if r.section != "analysis"})
+    facts = {(r.section, r.item, r.name): r.value for r in rows}
+    assert facts["source", 0, "row_count"] == "20" and facts["target_summary", 0, "class_imbalance_ratio"] == "1.000000"
+    assert facts["quality_summary", 0, "possible_id_columns"] == "" and facts["analysis", 0, "verdict"] == run.verdict
+    assert facts["model_candidates", 0, "model_name"] == run.recommendation.candidates[0].model_name
+    assert [facts["column_profile", k, "column_name"] for k in range(len(run.data.columns))] == run.data.columns
