@@ -444,6 +444,41 @@ w AS (SELECT sum((({x} - mx) / sx) * ({y} - my)) / (count(*) + 1.0) AS w FROM sp
 SELECT {key}, round(my + w * ({x} - mx) / sx, 4) AS predicted FROM split, tr, w"""
 
 
+def recommendation(table: str, target: str) -> str:
+    """Status, model and confidence of a classification, and how many warnings and blocks there are."""
+    issues = f"SELECT code, severity FROM ({quality_issues(table)}) UNION ALL SELECT code, severity FROM ({class_issues(table, target)})"
+    return f"""SELECT '{table}.{target}' AS input, CASE WHEN critical > 0 THEN 'blocked' ELSE 'ready' END AS status,
+CASE WHEN critical = 0 THEN model_name END AS recommended_model,
+CASE WHEN critical > 0 THEN 'low' WHEN has_many_categorical_features THEN 'medium'
+  WHEN issues = 0 AND feature_count > 0 THEN 'high' ELSE 'medium' END AS confidence,
+CAST(issues + CAST(has_text_features AS INT) + CAST(has_many_categorical_features AS INT) AS INT) AS warning_count,
+CAST(critical AS INT) AS blocked_count, CASE WHEN critical > 0 THEN 0 ELSE 3 END AS candidate_count
+FROM (SELECT count(*) AS issues, count(*) FILTER (severity = 'critical') AS critical FROM ({issues})),
+  ({dataset_facts(table, target, 'classification')}), ({candidates(table, target, 'classification')}) WHERE seq = 0"""
+
+
+# Parameters of the candidates that don't depend on the data.
+PARAMETERS = {
+    "LogisticRegression": {"max_iter": "1000", "solver": "lbfgs", "random_state": "42"},
+    "RandomForestClassifier": {"n_estimators": "300", "max_depth": None, "min_samples_leaf": "2", "random_state": "42"},
+    "HistGradientBoostingClassifier": {
+        "max_iter": "300", "learning_rate": "0.05", "max_leaf_nodes": "31", "l2_regularization": "0.1", "random_state": "42",
+    },
+}
+
+
+def parameters(table: str, target: str) -> str:
+    """The candidates' parameters; classes have weights if they are unbalanced."""
+    rows = ", ".join(
+        f"('{model}', '{name}', {'NULL' if value is None else repr(value)})" for model, given in PARAMETERS.items() for name, value in given.items()
+    )
+    weighted = "('LogisticRegression', 'class_weight'), ('RandomForestClassifier', 'class_weight')"
+    return f"""WITH found AS ({candidates(table, target, 'classification')}), traits AS ({dataset_facts(table, target, 'classification')}),
+given AS (SELECT * FROM (VALUES {rows}) v(model_name, parameter, value)
+  UNION ALL SELECT model_name, parameter, CASE WHEN has_class_imbalance THEN 'balanced' END FROM (VALUES {weighted}) v(model_name, parameter), traits)
+SELECT '{table}.{target}' AS input, seq, role, model_name, parameter, value FROM found JOIN given USING (model_name)"""
+
+
 def lines(section: str, sql: str, number: str | None = None, fractions: bool = False) -> str:
     """Every cell of a result as a line of a report; ratios have six digits after the point."""
     ratio = "(c LIKE '%ratio' OR c = 'metric_value')"

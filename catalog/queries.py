@@ -366,6 +366,42 @@ register("model_candidates_optional", oracle.candidates("lineitem", "l_returnfla
 )
 
 
+RECOMMENDED = [("embeddings", "label"), ("doclab", "quality"), ("lineitem", "l_returnflag"), ("orders", "o_orderstatus"), ("flagged", "fixed")]
+
+
+def _recommended(spark: SparkSession, folder: str, table: str, target: str) -> Recommendation:
+    config = AnalysisConfig()
+    df, profile, summary, issues = _inputs(spark, folder, table, target, "classification")
+    return recommend_models(profile, quality_issues(quality_summary(df, config, profile), config), summary, issues, config)
+
+
+@register("recommendations", " UNION ALL ".join(f"SELECT * FROM ({oracle.recommendation(*pair)})" for pair in RECOMMENDED))
+def recommendations(spark: SparkSession, folder: str) -> DataFrame:
+    """Ready and blocked recommendations, with confidence and numbers of warnings."""
+    found = [(f"{table}.{target}", _recommended(spark, folder, table, target)) for table, target in RECOMMENDED]
+    return union(
+        [
+            plan.summary_table(spark).select(
+                F.lit(name).alias("input"), "status", "recommended_model", "confidence", F.size("warnings").alias("warning_count"),
+                F.size("blocked_reasons").alias("blocked_count"), F.lit(len(plan.candidates)).alias("candidate_count"),
+            )
+            for name, plan in found
+        ]
+    )
+
+
+@register("candidate_parameters", " UNION ALL ".join(f"SELECT * FROM ({oracle.parameters(*pair)})" for pair in RECOMMENDED[1:4]))
+def candidate_parameters(spark: SparkSession, folder: str) -> DataFrame:
+    return union(
+        [
+            _recommended(spark, folder, table, target).candidate_table(spark).select(
+                F.lit(f"{table}.{target}").alias("input"), "seq", "role", "model_name", F.explode("params").alias("parameter", "value")
+            )
+            for table, target in RECOMMENDED[1:4]
+        ]
+    )
+
+
 # --- features and split ---------------------------------------------------------------------
 
 for _table, _target in (("events", "event_type"), ("doclab", "quality"), ("lineitem", "l_returnflag")):
@@ -523,6 +559,29 @@ def gap_and_risk(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("risk", overfitting_risk(F.col("gap"), lower))
 
 
+SCORES_SQL = "WITH s AS (SELECT seq, l_linestatus, round(avg(CAST(l_returnflag = p AS INT)), 6) AS accuracy FROM (" + " UNION ALL ".join(
+    f"SELECT {seq} AS seq, l_linestatus, l_returnflag, {guess} AS p FROM lineitem"
+    for seq, guess in enumerate(("'N'", "CASE WHEN l_quantity > 25 THEN 'R' ELSE 'A' END", "CASE WHEN l_linestatus = 'F' THEN l_returnflag ELSE 'N' END"))
+) + """) GROUP BY 1, 2), e AS (SELECT seq, max(accuracy) FILTER (l_linestatus = 'F') AS train_value, max(accuracy) FILTER (l_linestatus = 'O') AS test_value FROM s GROUP BY 1),
+g AS (SELECT *, round(train_value - test_value, 6) AS gap FROM e)
+SELECT *, CASE WHEN gap IS NULL THEN 'unknown' WHEN gap <= 0 THEN 'low' WHEN gap >= 0.15 THEN 'high' WHEN gap >= 0.07 THEN 'medium' ELSE 'low' END AS risk FROM g"""
+
+
+@register("gap_and_risk_of_scores", SCORES_SQL)
+def gap_and_risk_of_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """As gap_and_risk, where more is better: one guess knows the classes of the training side."""
+    lines, flag = load(spark, folder, "lineitem"), F.col("l_returnflag")
+    guesses = [F.lit("N"), F.when(F.col("l_quantity") > 25, "R").otherwise("A"), F.when(F.col("l_linestatus") == "F", flag).otherwise("N")]
+    scored = [
+        classification_metrics(lines.select("l_linestatus", flag.alias("y"), p.alias("p")), "y", "p", ["l_linestatus"]).select(F.lit(k).alias("seq"), "l_linestatus", "accuracy")
+        for k, p in enumerate(guesses)
+    ]
+    value = lambda side: F.max(F.when(F.col("l_linestatus") == side, F.col("accuracy")))
+    found = union(scored).groupBy("seq").agg(value("F").alias("train_value"), value("O").alias("test_value"))
+    found = found.withColumn("gap", generalization_gap(F.col("train_value"), F.col("test_value"), F.lit(True)))
+    return found.withColumn("risk", overfitting_risk(F.col("gap"), F.lit(True)))
+
+
 def _outcomes(spark: SparkSession, folder: str) -> DataFrame:
     return _experiments(spark, folder).select(
         "seq",
@@ -709,6 +768,32 @@ def train_forest_beats_mean(spark: SparkSession, folder: str) -> DataFrame:
     return sizes.crossJoin(r2)
 
 
+@register(
+    "candidate_outcomes",
+    "WITH r AS (" + oracle.ridge("part", "CAST(p_partkey AS VARCHAR)", "p_size", "p_retailprice") + """)
+SELECT 0 AS seq, 'Other' AS model_name, 'skipped' AS status, CAST(NULL AS VARCHAR) AS primary_metric_name, CAST(NULL AS DOUBLE) AS primary_metric_value, 1 AS warning_count, 0 AS error_count, false AS best
+UNION ALL SELECT 1, 'Ridge', 'success', 'rmse', rmse, 0, 0, true FROM r WHERE split = 'test'
+UNION ALL SELECT 2, 'Unknown', 'failed', NULL, NULL, 0, 1, false""",
+)
+def candidate_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """A candidate whose package is missing, one that fits, one that nothing is known of."""
+    features = FeatureColumns(["p_size"], [], [])
+    data = select_features(load(spark, folder, "part"), features, "p_retailprice", "regression", keep=["p_partkey"])
+    wanted = Recommendation(
+        "ready", "regression", "Ridge", "high",
+        [
+            Candidate("Other", "recommended", "regression", {}, requires="no_such_package"),
+            linear_candidate("regression", "baseline", False),
+            Candidate("Unknown", "challenger", "regression", {}),
+        ],
+    )
+    training = train_candidates(data, features, "p_retailprice", wanted, ["p_partkey"])
+    return training.experiments.select(
+        "seq", "model_name", "status", "primary_metric_name", "primary_metric_value", F.size("warnings").alias("warning_count"),
+        F.size("errors").alias("error_count"), (F.col("seq") == training.best["seq"]).alias("best"),
+    )
+
+
 @register("model_sink", oracle.ridge_predictions("part", "p_partkey", "p_size", "p_retailprice"))
 def model_sink(spark: SparkSession, folder: str) -> DataFrame:
     """Train, save, load, predict the whole table."""
@@ -828,6 +913,26 @@ def analysis_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register(
+    "analysis_outcomes",
+    "SELECT 'one class' AS input, CASE WHEN count(*) >= 2 THEN 'completed' ELSE 'validation_failed' END AS status, "
+    "CASE WHEN count(*) < 2 THEN 'failed' WHEN count(DISTINCT fixed) = 1 THEN 'blocked' ELSE 'ready_for_training_approval' END AS verdict, "
+    "count(*) >= 2 AS ready_for_downstream, CAST(0 AS INT) AS errors, count(DISTINCT fixed) = 1 AS blocked FROM ("
+    + oracle.source_sql("flagged") + ") UNION ALL SELECT 'no rows', CASE WHEN count(*) >= 2 THEN 'completed' ELSE 'validation_failed' END, "
+    "CASE WHEN count(*) < 2 THEN 'failed' ELSE 'requires_user_input' END, count(*) >= 2, "
+    "CAST(count(*) < 2 AS INT) + CAST(count(*) = 0 AS INT) + CAST(count(event_id) = 0 AS INT), false FROM events WHERE value < -1e30",
+)
+def analysis_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs that end blocked and failed."""
+    inputs = {"one class": load(spark, folder, "flagged"), "no rows": load(spark, folder, "events").where("value < -1e30")}
+    rows = []
+    for name, df in inputs.items():
+        run = analyze_table(spark, df, target="fixed")
+        blocked = run.recommendation is not None and run.recommendation.status == "blocked"
+        rows.append((name, run.status, run.verdict, run.is_ready_for_downstream_analysis, len(run.errors), blocked))
+    return local_table(spark, rows, "input string, status string, verdict string, ready_for_downstream boolean, errors int, blocked boolean")
+
+
 @register("result_sink", oracle.profile("supplier"))
 def result_sink(spark: SparkSession, folder: str) -> DataFrame:
     """Analyse a table, write all results, read the column profile back."""
