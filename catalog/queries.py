@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from catalog import oracle
 from catalog.tables import columns, load
-from gridscope.config import AnalysisConfig
+from gridscope.config import DEFAULT_TARGET_NAMES, AnalysisConfig
 from gridscope.functions.columns import quoted
 from gridscope.functions.tables import local_table, scratch_folder
 from gridscope.operators.features import (
@@ -293,12 +293,21 @@ def numeric_issues(spark: SparkSession, folder: str) -> DataFrame:
     return target_issues(target_summary(text, "s", "regression")).select("code", "severity")
 
 
+def _status_sql(name: str, sql: str) -> str:
+    """Status by the number of columns that are named like a target."""
+    names = ", ".join(f"'{n}'" for n in DEFAULT_TARGET_NAMES)
+    return (
+        f"SELECT '{name}' AS input, CASE WHEN k = 0 THEN 'not_found' WHEN k > 1 THEN 'ambiguous' ELSE 'ok' END AS status, k = 1 AS named "
+        f"FROM (SELECT count(*) AS k FROM (DESCRIBE {sql}) WHERE lower(column_name) IN ({names}))"
+    )
+
+
 @register(
     "task_statuses",
-    "SELECT 'customer' AS input, CASE WHEN count(*) >= 0 THEN 'not_found' END AS status, false AS named FROM customer "
-    "UNION ALL SELECT 'two names', CASE WHEN count(*) >= 0 THEN 'ambiguous' END, false FROM labels "
-    "UNION ALL SELECT 'all missing', CASE WHEN count(nothing) = 0 THEN 'ambiguous' ELSE 'ok' END, true "
-    "FROM (SELECT CAST(NULL AS DOUBLE) AS nothing FROM events)",
+    _status_sql("customer", "SELECT * FROM customer")
+    + " UNION ALL " + _status_sql("two names", "SELECT quality AS target, toxic AS label FROM labels")
+    + " UNION ALL SELECT 'all missing', CASE WHEN count(nothing) = 0 THEN 'ambiguous' ELSE 'ok' END, true "
+    f"FROM ({oracle.source_sql('flagged')})",
 )
 def task_statuses(spark: SparkSession, folder: str) -> DataFrame:
     """No target-like column, two of them, one without any value."""

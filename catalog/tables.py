@@ -41,7 +41,7 @@ COLUMNS["flagged"] = "event_id bigint, event_type string, is_large boolean, fixe
 # Tables that validation rejects: only missing cells, a single row, no row.
 COLUMNS["hollow"] = "a int, b string"
 COLUMNS["single"] = "n bigint, m string"
-COLUMNS["vacant"] = COLUMNS["nation"]
+COLUMNS["vacant"] = COLUMNS["customer"]
 
 # Derived tables: the SQL, which Spark and DuckDB both understand.
 SOURCES = {
@@ -52,14 +52,14 @@ SOURCES = {
     "CASE WHEN l_quantity + 20 * l_discount > 30 THEN 'high' ELSE 'low' END AS size FROM lineitem",
     "flagged": "SELECT event_id, event_type, value > 50 AS is_large, 'x' AS fixed, "
     "CAST(NULL AS DOUBLE) AS nothing FROM events",
-    "hollow": "SELECT CAST(NULL AS INT) AS a, CAST(NULL AS VARCHAR(9)) AS b FROM nation",
-    "single": "SELECT count(*) AS n, max(n_name) AS m FROM nation",
-    "vacant": "SELECT * FROM nation WHERE n_nationkey < 0",
+    "hollow": "SELECT CAST(NULL AS INT) AS a, CAST(NULL AS VARCHAR(9)) AS b FROM events",
+    "single": "SELECT count(*) AS n, max(event_type) AS m FROM events",
+    "vacant": "SELECT * FROM customer WHERE c_acctbal < -1e30",
 }
 # The given tables that each of them reads.
 INPUTS = {
     "doclab": ("documents", "labels"), "doclab_labels": ("documents", "labels"), "banded": ("lineitem",),
-    "flagged": ("events",), "hollow": ("nation",), "single": ("nation",), "vacant": ("nation",),
+    "flagged": ("events",), "hollow": ("events",), "single": ("events",), "vacant": ("customer",),
 }
 
 
