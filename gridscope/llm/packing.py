@@ -128,7 +128,13 @@ def pack_sequences(
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """All texts of a table cut and packed with the production settings."""
+    """All texts of a table cut and packed with the production settings.
+
+    Null and empty texts are one piece, their end id alone; a text of any length is cut whole
+    into pieces. Rows with equal ids or texts are packed each for itself, in an order by id, piece
+    and checksum, so ties don't change sequences; null ids are ids. Columns but id and
+    text don't matter; an empty table gives an empty one.
+    """
     # Lengths only; a long text has many pieces, so these are counted and not the documents.
     parts = stored(token_pieces(docs))
     return pack_sequences(parts, parts.count())

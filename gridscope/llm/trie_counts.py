@@ -114,7 +114,11 @@ def _counted(texts: list[str], pattern, path: str):
 def unigram_token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: doc_id, n_chars, n_pretokens, n_distinct, n_tokens and unigram_score (natural log).
 
-    Nothing is shuffled: a task's texts share the trie of its worker. Null texts are empty.
+    Nothing is shuffled: a task's texts share the trie of its worker. Null and empty texts count
+    nothing; texts of any length are read whole; of equally likely cuts the one with
+    the fewest pieces is counted. Repeated rows give equal rows, an
+    empty table an empty one; columns but id and text don't matter. The pieces' weights follow
+    Zipf's law by rank in a public vocabulary; they are not fitted to any text.
     """
     kinds = {"doc_id": pa.int64(), "n_chars": pa.int64(), "n_pretokens": pa.int64(), "n_distinct": pa.int64(), "n_tokens": pa.int64(), "unigram_score": pa.float64()}
 
