@@ -18,7 +18,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,22 +25,20 @@ from gridscope.llm.common import fold_of, free_name, pieces, records, stored, te
 
 #: Labelled rows that are examples, the smallest hashes of their ids: the bound of everything
 #: that is held in one place.
-MOST_EXAMPLES = 5_000
+MOST_EXAMPLES = 2_000
 #: Lengths of word beginnings that are terms if they go with toxicity.
 BEGINNINGS = (3, 4, 5, 6, 7)
 #: What a term weighs that goes with toxicity no more than chance among all terms would have it.
 LEAST_WEIGHT = 0.1
 NEIGHBOURS = 15
 BLOCK = 64
-#: Blocks that are scored before the bounds are looked at again; four times as many each time.
+#: Blocks that are scored first; then all at once whose bounds reach the nearest of these.
 FIRST_BLOCKS = 4
 #: Cosines are equal up to rounding.
 EQUAL = 1e-9
 #: Votes of the base rate, and what is added to a distance before it is inverted.
 BASE_VOTES, SOFTENING = 1.0, 0.1
 HELD_OUT_FOLD = 0
-#: Words that a task remembers.
-MOST_WORDS = 500_000
 _FIND = re.compile(r"\w+").findall
 
 
@@ -50,43 +47,39 @@ def beginnings(word: str) -> list[str]:
     return [f"{word[:n]}*" for n in BEGINNINGS if len(word) >= n]
 
 
-def hashed(terms: list[str]) -> np.ndarray:
-    """Terms are told apart by 64 bits of hash, the same as Spark's."""
-    return np.fromiter((xxhash.xxh64_intdigest(t.encode(), 42) for t in terms), np.uint64, len(terms))
-
-
 class TermCounter:
-    """Counts the known terms in texts. hashes: ascending; term i has the i-th of them."""
-
-    def __init__(self, hashes: np.ndarray, begun: dict[str, int], most_words: int = MOST_WORDS):
-        self.hashes, self.begun, self.most_words = hashes, begun, most_words
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def _look(self, words: list[str]) -> None:
-        own = hashed(words)
-        at = np.minimum(np.searchsorted(self.hashes, own), max(0, len(self.hashes) - 1))
-        found = self.hashes[at] == own if len(self.hashes) else np.zeros(len(words), bool)
-        begun = self.begun
-        for word, term, is_term in zip(words, at.tolist(), found.tolist()):
-            more = tuple(begun[b] for b in beginnings(word) if b in begun) if begun else ()
-            self.known[word] = (term, *more) if is_term else more
-
-    def __call__(self, texts: list[str | None]) -> list[dict[int, int]]:
-        """Per text the number of times each term occurs, ascending by term."""
-        counts = [Counter(_FIND((t or "").lower())) for t in texts]
-        unseen = list(set().union(*counts) - self.known.keys()) if counts else []
-        # Remembered words may be dropped for new ones: then all are looked up again.
-        if len(self.known) + len(unseen) > self.most_words:
-            self.known, unseen = {}, list(set().union(*counts))
-        self._look(unseen)
-        out = []
-        for words in counts:
-            hits: dict[int, int] = {}
-            for word, n in words.items():
-                for term in self.known[word]:
-                    hits[term] = hits.get(term, 0) + n
-            out.append(dict(sorted(hits.items())))
-        return out
+    """Counts the known terms in texts: words by their number, and beginnings, marked with a star."""
+
+    def __init__(self, terms: dict[str, int]):
+        self.words = {t: k for t, k in terms.items() if not t.endswith("*")}
+        #: Per length the beginnings, without their star, and the shortest parts of all of them.
+        self.begun = [(n, {t[:-1]: k for t, k in terms.items() if t.endswith("*") and len(t) == n + 1}) for n in BEGINNINGS]
+        self.begun = [(n, table) for n, table in self.begun if table]
+        self.least = BEGINNINGS[0]
+        self.starts = {t[: self.least] for _, table in self.begun for t in table}
+
+    def _begun(self, words) -> Iterator[tuple[str, int]]:
+        """(word, term) for all beginnings of the words that are terms."""
+        starts, least = self.starts, self.least
+        for word in [w for w in words if w[:least] in starts]:
+            for n, table in self.begun:
+                if len(word) >= n and word[:n] in table:
+                    yield word, table[word[:n]]
+
+    def present(self, text: str | None) -> set[int]:
+        """The terms that occur."""
+        words = set(_FIND((text or "").lower()))
+        found = set(map(self.words.__getitem__, words & self.words.keys()))
+        found.update(term for _, term in self._begun(words))
+        return found
+
+    def __call__(self, text: str | None) -> dict[int, int]:
+        """The number of times each term occurs, ascending by term."""
+        counts, number = Counter(_FIND((text or "").lower())), self.words
+        hits = {number[w]: n for w, n in counts.items() if w in number}
+        for word, term in self._begun(counts):
+            hits[term] = hits.get(term, 0) + counts[word]
+        return dict(sorted(hits.items()))
 
 
 def weights(counts: dict[int, int], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,10 +123,10 @@ class BlockMaxIndex:
         line = np.argsort(-bound, kind="stable")
         line = line[bound[line] > 0]
         owners, cosines = [np.empty(0, np.int64)], [np.empty(0)]
-        least, done, step = 0.0, 0, FIRST_BLOCKS
+        least, done, last = 0.0, 0, FIRST_BLOCKS
         while done < len(line) and bound[line[done]] >= least - EQUAL:
             wanted = np.zeros(self.blocks, bool)
-            wanted[line[done : done + step]] = True
+            wanted[line[done:last]] = True
             on = np.flatnonzero(wanted[block])
             first = self.begin[at[on]]
             many = self.begin[at[on] + 1] - first
@@ -143,10 +136,9 @@ class BlockMaxIndex:
             found = np.flatnonzero(score)
             owners.append(found)
             cosines.append(score[found])
-            done += len(line[done : done + step])
-            step *= 4
             all_ = np.concatenate(cosines)
             least = float(np.partition(all_, -k)[-k]) if len(all_) >= k else 0.0
+            done, last = min(last, len(line)), max(last, int(np.searchsorted(-bound[line], EQUAL - least, "right")))
         self.scored_blocks += done
         owner, cosine = np.concatenate(owners), np.concatenate(cosines)
         near = np.flatnonzero(cosine >= least - EQUAL)
@@ -174,10 +166,10 @@ class ToxicityModel:
     """
 
     def __init__(
-        self, hashes: np.ndarray, begun: dict[str, int], weight: np.ndarray,
+        self, names: dict[str, int], weight: np.ndarray,
         ids: np.ndarray, toxic: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray,
     ):
-        self.hashes, self.begun, self.weight = hashes, begun, weight
+        self.names, self.weight = names, weight
         owner = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
         value = (1 + np.log(counts)) * weight[terms]
         value /= np.sqrt(np.bincount(owner, value * value, len(ids)))[owner]
@@ -240,25 +232,20 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_examples: int = MOST_E
 
     sizes = {r["t"]: r["n"] for r in examples.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()}
     counted = examples.mapInArrow(occurrences, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    # Words come as hashes; only beginnings keep their text, which tells whether they are known.
-    counted = counted.select(F.xxhash64("term").alias("hash"), "clean", "toxic", F.when(F.col("term").endswith("*"), F.col("term")).alias("begun")).toArrow()
+    counted = counted.toArrow()
     strength = association(*(counted.column(c).to_numpy() for c in ("clean", "toxic")), sizes.get(False, 0), sizes.get(True, 0))
-    is_word = counted.column("begun").is_null().to_numpy()
-    wanted = np.flatnonzero((strength > 0) | is_word)
-    hashes, first = np.unique(counted.column("hash").to_numpy().view(np.uint64)[wanted], return_index=True)
-    wanted = wanted[first]
-    strength = strength[wanted]
-    starred = np.flatnonzero(~is_word[wanted])
-    begun = dict(zip(counted.column("begun").take(wanted[starred]).to_pylist(), starred.tolist()))
-    del counted
-    known = spark.sparkContext.broadcast((hashes, begun))
+    chosen = sorted((t, s) for t, s in zip(counted.column("term").to_pylist(), strength.tolist()) if s > 0 or not t.endswith("*"))
+    names = {t: k for k, (t, _) in enumerate(chosen)}
+    strength = np.array([s for _, s in chosen])
+    del counted, chosen
+    known = spark.sparkContext.broadcast(names)
 
     def containing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, found, texts = TermCounter(*known.value), np.zeros(len(known.value[0]), np.int64), 0
+        counter, found, texts = TermCounter(known.value), np.zeros(len(known.value), np.int64), 0
         for some in pieces(batches):
             texts += len(some)
-            for counts in counter([text for (text,) in some]):
-                found[list(counts)] += 1
+            for (text,) in some:
+                found[list(counter.present(text))] += 1
         on = np.flatnonzero(found)
         # The number of texts goes under term -1.
         yield records({"term": pa.int32(), "n": pa.int64()}, [[-1, *on.tolist()], [texts, *found[on].tolist()]])
@@ -266,16 +253,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_examples: int = MOST_E
     rows = texts_of(docs, id_column, text_column)
     holding = rows.select("text").mapInArrow(containing, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     term, n = (holding.column(c).to_numpy() for c in ("term", "n"))
-    in_texts = np.zeros(len(hashes))
+    in_texts = np.zeros(len(names))
     in_texts[term[term >= 0]] = n[term >= 0]
     idf = 1 + np.log((1 + n[term < 0].sum()) / (1 + in_texts))
     weight = idf * (LEAST_WEIGHT + strength)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TermCounter(*known.value)
+        counter = TermCounter(known.value)
         kinds = {"doc_id": pa.int64(), "toxic": pa.int32(), "terms": pa.list_(pa.int32()), "counts": pa.list_(pa.int64())}
         for some in pieces(batches):
-            own = counter([text for *_, text in some])
+            own = [counter(text) for *_, text in some]
             yield records(kinds, [[r[0] for r in some], [r[1] for r in some], [list(c) for c in own], [list(c.values()) for c in own]])
 
     found = examples.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, counts array<long>").toArrow().combine_chunks().sort_by("doc_id")
@@ -283,7 +270,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_examples: int = MOST_E
     flat = [np.asarray(x.flatten() if len(x) else []) for x in lists]
     sizes = np.asarray(lists[0].value_lengths() if len(found) else [])
     ids, toxic = (found.column(c).to_numpy() for c in ("doc_id", "toxic"))
-    return ToxicityModel(hashes, begun, weight, ids, (toxic > 0).astype(np.int64), sizes.astype(np.int64), flat[0].astype(np.int32), flat[1].astype(np.int32))
+    return ToxicityModel(names, weight, ids, (toxic > 0).astype(np.int64), sizes.astype(np.int64), flat[0].astype(np.int32), flat[1].astype(np.int32))
 
 
 def toxicity_score(spark: SparkSession, model: ToxicityModel, text: Column) -> Column:
@@ -296,11 +283,9 @@ def toxicity_score(spark: SparkSession, model: ToxicityModel, text: Column) -> C
     @F.pandas_udf("score double, evidence array<struct<doc_id: long, cosine: double, toxic: int>>")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = shared.value
-        counter = TermCounter(own.hashes, own.begun)
+        counter = TermCounter(own.names)
         for texts in parts:
-            found = []
-            for at in range(0, len(texts), 256):
-                found += map(own.score, counter(texts.iloc[at : at + 256].tolist()))
+            found = [own.score(counter(t)) for t in texts]
             evidence = [[{"doc_id": int(own.ids[i]), "cosine": c, "toxic": int(own.toxic[i])} for c, i in near] for _, near in found]
             yield pd.DataFrame({"score": [s for s, _ in found], "evidence": evidence})
 
