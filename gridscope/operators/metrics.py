@@ -80,26 +80,35 @@ def roc_auc(
     holds one bound per range. Rows whose score is null or NaN are left out.
     """
     scored = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
-    ranges = math.ceil(scored.count() / rows_per_range)
     merged = scored.groupBy(*groups, score).agg(
         F.count_if(F.col(is_positive)).alias("pos"), F.count_if(~F.col(is_positive)).alias("neg")
     )
+    return _areas(merged, score, groups, _range_bounds(scored, score, rows_per_range))
+
+
+def _range_bounds(scored: DataFrame, score: str, rows_per_range: int) -> list[float] | None:
+    """Bounds between score ranges of about rows_per_range rows; None if one range will do."""
+    ranges = math.ceil(scored.count() / rows_per_range)
     if ranges <= 1:
+        return None
+    cuts = [i / ranges for i in range(1, ranges)]
+    found = scored.agg(F.percentile_approx(score, cuts, max(1000, 4 * ranges))).first()[0]
+    return [-math.inf, *sorted(set(found)), math.inf]
+
+
+def _areas(merged: DataFrame, score: str, groups: Sequence[str], bounds: list[float] | None) -> DataFrame:
+    """Areas per group from (group, score, pos, neg), one row per distinct score."""
+    if bounds is None:
         placed = merged.withColumn("range", F.lit(0.0))
     else:
-        cuts = [i / ranges for i in range(1, ranges)]
-        accuracy = max(1000, 4 * ranges)
-        found = scored.agg(F.percentile_approx(score, cuts, accuracy)).first()[0]
-        bounds = [-math.inf, *sorted(set(found)), math.inf]
         placed = Bucketizer(splits=bounds, inputCol=score, outputCol="range").transform(merged)
-
     totals = placed.groupBy(*groups, "range").agg(F.sum("neg").alias("range_neg"))
     # One row per range.
     earlier = W.partitionBy(*groups, F.lit(0)).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
         *groups, "range", F.coalesce(F.sum("range_neg").over(earlier), F.lit(0)).alias("offset")
     )
-    joined = placed.join(offsets, [*groups, "range"]) if ranges > 1 else placed.withColumn("offset", F.lit(0))
+    joined = placed.withColumn("offset", F.lit(0)) if bounds is None else _joined(placed, offsets, [*groups, "range"])
     inside = W.partitionBy(*groups, "range").orderBy(score).rowsBetween(W.unboundedPreceding, -1)
     lower = F.col("offset") + F.coalesce(F.sum("neg").over(inside), F.lit(0))
     ranked = joined.withColumn("wins", F.col("pos") * (lower + F.col("neg") / 2.0))
@@ -111,21 +120,53 @@ def roc_auc(
 
 
 def multiclass_roc_auc(
-    df: DataFrame, label: str, scores: str, classes: int, groups: Sequence[str] = ()
+    df: DataFrame, label: str, scores: str, classes: int, groups: Sequence[str] = (),
+    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Macro average of the one-against-rest areas; null if a class has no row.
 
-    `scores` is an array with one score per class, `label` the class number.
+    `scores` is an array with one score per class, `label` the class number. Only scores that
+    are not zero are listed and ranked; the zeros of a class are the rest of its rows, which
+    are counted. Rows without a label and scores that are null or NaN are left out.
     """
-    each = df.select(
-        *groups, F.col(label).alias("actual"), F.posexplode(scores).alias("cls", "score")
-    ).withColumn("is_cls", F.col("actual") == F.col("cls"))
-    per_class = roc_auc(each, "score", "is_cls", [*groups, "cls"])
+    rows = df.where(F.col(label).isNotNull())
+    known = rows.select(*groups, F.col(label).cast("int").alias("actual"), F.transform(scores, lambda s, i: F.struct(i.alias("cls"), s.cast("double").alias("score"))).alias("all"))
+    absent = lambda s: s.isNull() | F.isnan(s)
+    listed = F.filter("all", lambda e: absent(e["score"]) | (e["score"] != 0))
+    entries = known.select(*groups, "actual", F.explode(listed).alias("entry")).select(
+        *groups, (F.col("actual") == F.col("entry.cls")).alias("is_cls"), "entry.cls",
+        F.when(~absent(F.col("entry.score")), F.col("entry.score")).alias("score"),
+    )
+    merged = entries.groupBy(*groups, "cls", "score").agg(
+        F.count_if("is_cls").alias("pos"), F.count_if(~F.col("is_cls")).alias("neg")
+    )
+    # Rows per group and class, and what is left of them for a score of zero: a few numbers each.
+    by_class = known.groupBy(*groups, F.col("actual").alias("cls")).agg(F.count(F.lit(1)).alias("own"))
+    whole = known.groupBy(*groups).agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("all")).alias("width"))
+    every = whole.select(*groups, "rows", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("cls"))
+    told = merged.groupBy(*groups, "cls").agg(F.sum("pos").alias("listed_pos"), F.sum("neg").alias("listed_neg"))
+    both = [*groups, "cls"]
+    zeros = _joined(_joined(every, by_class, both), told, both)
+    own, count = F.coalesce("own", F.lit(0)), lambda c: F.coalesce(c, F.lit(0))
+    zeros = zeros.select(
+        *both, F.lit(0.0).alias("score"), (own - count("listed_pos")).alias("pos"),
+        (F.col("rows") - own - count("listed_neg")).alias("neg"),
+    ).where("pos + neg > 0")
+    present = merged.where(F.col("score").isNotNull()).select(*both, "score", "pos", "neg").unionByName(zeros)
+    bounds = _range_bounds(entries.where(F.col("score").isNotNull()), "score", rows_per_range)
+    per_class = _areas(present, "score", both, bounds)
     return per_class.groupBy(*groups).agg(
         F.round(F.when(F.count("roc_auc") == classes, F.avg("roc_auc")), 6).alias("roc_auc")
     )
 
 
+def _joined(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Left join by columns where null equals null."""
+    renamed = right.withColumnsRenamed({n: f"__{n}" for n in names})
+    same = [F.col(n).eqNullSafe(F.col(f"__{n}")) for n in names]
+    return left.join(renamed, same, "left").drop(*[f"__{n}" for n in names])
+
+
 def generalization_gap(train: Column, test: Column, higher_is_better: Column) -> Column:
     """How much worse the test score is: absolute, or relative for error measures."""
     relative = F.coalesce(F.try_divide(test - train, F.abs(train)), test - train)

@@ -219,6 +219,36 @@ def test_auc_edges(frame):
     assert multiclass_roc_auc(df.where("y < 2"), "y", "p", 3).first().roc_auc is None
 
 
+@pytest.mark.parametrize("rows_per_range", [50, 1_000_000])
+def test_multiclass_auc_with_zeros_and_gaps(frame, rows_per_range):
+    """Zeros are counted, not listed; negative, null and NaN scores, and rows without a label."""
+    draw = np.random.default_rng(6)
+    rows = []
+    for k in range(700):
+        scores = [float(draw.choice([0.0, 0.0, 0.0, -0.0, -0.2, 0.3, np.round(draw.random(), 2)])) for _ in range(4)]
+        if k % 50 == 0:
+            scores[k // 50 % 4] = None if k % 100 else float("nan")
+        rows.append(("ab"[k % 2] if k % 7 else None, None if k % 90 == 0 else int(draw.integers(0, 4)), scores))
+    df = frame("g string, y int, p array<double>", *rows)
+    found = {r.g: r.roc_auc for r in multiclass_roc_auc(df, "y", "p", 4, ["g"], rows_per_range).collect()}
+    for g in ("a", "b", None):
+        areas = []
+        for c in range(4):
+            own = [(y == c, s[c]) for h, y, s in rows if h == g and y is not None and s[c] is not None and not np.isnan(s[c])]
+            areas.append(rank_auc(np.array([y for y, _ in own]), np.array([s for _, s in own])))
+        assert found[g] == pytest.approx(np.mean(areas), abs=2e-6)
+
+
+def test_sparse_scores_move_few_rows(spark):
+    """With one score per row that is not zero, as many rows are shuffled as with two classes."""
+    n, classes = 400, 200
+    one = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda i: F.when(i == F.col("id") % classes, 0.1 + F.col("id") % 7).otherwise(0.0))
+    df = spark.range(n).select((F.col("id") % classes).cast("int").alias("y"), one.alias("p"))
+    assert multiclass_roc_auc(df, "y", "p", classes).first().roc_auc == 1.0
+    listed = F.filter("p", lambda s: s != 0)
+    assert df.select(F.explode(listed)).count() == n
+
+
 @pytest.mark.parametrize(
     "train, test, higher, gap, risk",
     [
