@@ -1,12 +1,14 @@
 """Gradient boosting by histograms, leaf by leaf.
 
-Features are binned once and kept as blocks of codes in Parquet. A round looks at the
+Features are binned once. Rows of equal codes and labels, for numbers of equal codes, are
+counted as one from then on: their derivatives add up to the same whole numbers. What is left,
+at most one row per combination of bins, is kept as blocks in Parquet. A round looks at the
 gradients of all rows only through sums per node, feature and bin: one grouped aggregate for
 all nodes that are new. The leaf with the largest gain is split next, until a tree has as
 many leaves as it may. Gradients are whole numbers after a fixed scaling, so their sums,
 and with them the trees, don't depend on partitions.
 
-A table of one block is boosted by the task that holds it, with the same steps.
+A table whose merged rows fit one block is boosted by the task that holds it, with the same steps.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import math
 import os
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field, replace
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -31,8 +34,10 @@ from gridscope.functions.tables import remove_folder, scratch_folder
 
 #: Codes in a block, and rows: sums of a block stay whole numbers in double precision.
 BLOCK_CELLS, BLOCK_ROWS = 16_000_000, 1 << 20
-#: Bits of a scaled gradient.
-GRADIENT_BITS = 32
+#: Bits of a scaled gradient, and of a sum of them over all rows: whole in double precision.
+GRADIENT_BITS, SUM_BITS = 32, 51
+#: Bin combinations whose scores a task remembers.
+KNOWN_SCORES = 200_000
 #: Rounds after which the scores of the blocks are written again.
 SCORED_ROUNDS = 16
 # Rows of a leaf, its least second derivative, bins of a number; above so many
@@ -50,9 +55,9 @@ class Scale:
     loss: float
 
     @staticmethod
-    def of(rows: int, span: float, classes: int) -> Scale:
-        """span: the largest label less the smallest. Sums over all rows stay below 2^63."""
-        bits = min(GRADIENT_BITS, 60 - math.ceil(math.log2(rows + 1)))
+    def of(rows: int, span: float, classes: int, most: int = 60) -> Scale:
+        """span: the largest label less the smallest. Sums over all rows stay below 2^`most`."""
+        bits = min(GRADIENT_BITS, most - math.ceil(math.log2(rows + 1)))
         if classes:
             return Scale(2.0**bits, 2.0**bits, 2.0 ** (bits - 6))
         power = math.ceil(math.log2(span)) if span > 0 else 0
@@ -147,27 +152,42 @@ class Bins:
 
 @dataclass
 class Block:
-    """Rows that a task holds: codes, labels, whether they only tell when to stop, and scores."""
+    """Merged rows that a task holds: codes, labels, whether they only tell when to stop, scores, and how many each stands for.
+
+    The label of a number is the sum of its rows' labels, less the base, as a whole number.
+    """
 
     codes: np.ndarray
     label: np.ndarray
     watched: np.ndarray
     scores: np.ndarray
-    # Of the round that is grown now: nodes by tree, and derivatives.
-    _at: dict[int, tuple[Tree, np.ndarray]] = field(default_factory=dict)
+    count: np.ndarray
+    # Of the round that is grown now: the rows of each node by tree, and derivatives.
+    _at: dict[int, tuple[Tree, dict[int, np.ndarray]]] = field(default_factory=dict)
     _derivatives: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
 
-    def leaves(self, k: int, tree: Tree, category: np.ndarray) -> np.ndarray:
-        """The leaf of each row in a tree that is still grown."""
+    def rows_of(self, k: int, tree: Tree, category: np.ndarray) -> dict[int, np.ndarray]:
+        """The rows of each leaf of a tree that is still grown; only those of new splits are dealt out."""
         held = self._at.get(k)
-        at = tree.nodes(self.codes, category, True, held[1] if held and held[0] is tree else None)
-        self._at[k] = tree, at
-        return at
+        rows = held[1] if held and held[0] is tree else {0: np.arange(len(self.label))}
+        self._at[k] = tree, rows
+        open_ = [node for node in rows if tree.feature[node] >= 0]
+        while open_:
+            node = open_.pop()
+            on, f = rows.pop(node), tree.feature[node]
+            value = self.codes[f][on]
+            goes = value == tree.bin[node] if category[f] else value <= tree.bin[node]
+            for child, own in ((tree.left[node], on[goes]), (tree.right[node], on[~goes])):
+                rows[child] = own
+                if tree.feature[child] >= 0:
+                    open_.append(child)
+        return rows
 
     def add_grown(self, trees: list[tuple[Tree, np.ndarray]], category: np.ndarray) -> None:
         """Add to the scores what a round's trees, as they were grown, give to each node."""
         for k, (tree, values) in enumerate(trees):
-            self.scores[k] += values[self.leaves(k, tree, category)]
+            for node, on in self.rows_of(k, tree, category).items():
+                self.scores[k][on] += values[node]
         self._at, self._derivatives = {}, {}
 
     def add(self, trees: list[list[Tree]], category: np.ndarray) -> None:
@@ -176,33 +196,41 @@ class Block:
                 self.scores[k] += np.array(tree.value)[tree.nodes(self.codes, category, True)]
         self._at, self._derivatives = {}, {}
 
+    @cached_property
+    def _any_watched(self) -> bool:
+        return bool(self.watched.any())
+
     def derivatives(self, settings: Settings, k: int, scale: Scale) -> tuple[np.ndarray, np.ndarray]:
         """First and second derivatives of the loss, as whole numbers."""
         if k in self._derivatives:
             return self._derivatives[k]
         if not settings.classes:
-            first, second = self.scores[0] - self.label, np.ones_like(self.label)
-        elif settings.outputs == 1:
+            self._derivatives[k] = self.count * np.rint(self.scores[0] * scale.first) - self.label, self.count
+            return self._derivatives[k]
+        if settings.outputs == 1:
             p = 1 / (1 + np.exp(-self.scores[0]))
             first, second = p - self.label, p * (1 - p)
         else:
             p = np.exp(self.scores - self.scores.max(axis=0))
             p = p[k] / p.sum(axis=0)
             first, second = p - (self.label == k), p * (1 - p)
-        self._derivatives[k] = np.rint(first * scale.first), np.rint(second * scale.second)
+        self._derivatives[k] = self.count * np.rint(first * scale.first), self.count * np.rint(second * scale.second)
         return self._derivatives[k]
 
     def loss(self, settings: Settings, scale: Scale) -> tuple[int, int]:
-        """Rows that are watched, and the sum of their losses as a whole number."""
-        scores, label = self.scores[:, self.watched], self.label[self.watched]
+        """Rows that are watched, and the sum of their losses as a whole number.
+
+        For numbers less what no tree can change: the squares within merged rows.
+        """
+        scores, label, count = self.scores[:, self.watched], self.label[self.watched], self.count[self.watched]
         if not settings.classes:
-            each = (scores[0] - label) ** 2 / 2
+            each = (scores[0] - label / scale.first / count) ** 2 / 2
         elif settings.outputs == 1:
             each = np.logaddexp(0, scores[0]) - label * scores[0]
         else:
             top = scores.max(axis=0)
             each = top + np.log(np.exp(scores - top).sum(axis=0)) - scores[label.astype(np.int64), np.arange(len(label))]
-        return len(label), int(np.rint(each * scale.loss).sum())
+        return int(count.sum()), int((count * np.rint(each * scale.loss)).astype(np.int64).sum())
 
     def histograms(self, settings: Settings, bins: Bins, trees: list[Tree], wanted: list[tuple[int, int]], scale: Scale) -> np.ndarray:
         """(rows, first, second) sums per wanted (tree, node) and bin of all features, flat."""
@@ -213,17 +241,20 @@ class Block:
             places = {node: i for i, (tree_, node) in enumerate(wanted) if tree_ == k}
             if not places:
                 continue
-            slot = np.full(len(tree.feature), -1, np.int64)
-            slot[list(places)] = list(places.values())
-            slot = slot[self.leaves(k, tree, bins.is_category)]
-            slot[self.watched] = -1
-            on = np.flatnonzero(slot >= 0)
-            first, second = (d[on] for d in self.derivatives(settings, k, scale))
-            for f, size in enumerate(sizes.tolist()):
-                cell = slot[on] * size + self.codes[f][on]
-                for row, weight in enumerate((None, first, second)):
-                    # Whole numbers below 2^53 add up exactly.
-                    out[row, :, starts[f] : starts[f + 1]] += np.bincount(cell, weight, len(wanted) * size).astype(np.int64).reshape(len(wanted), size)
+            rows = self.rows_of(k, tree, bins.is_category)
+            derivatives = (self.count, *self.derivatives(settings, k, scale))
+            for node, place in places.items():
+                on = rows[node]
+                if self._any_watched:
+                    on = on[~self.watched[on]]
+                # The root has all rows, so they need not be gathered.
+                whole = len(on) == len(self.label)
+                weights = derivatives if whole else [d[on] for d in derivatives]
+                for f, size in enumerate(sizes.tolist()):
+                    code = self.codes[f] if whole else self.codes[f][on]
+                    for row, weight in enumerate(weights):
+                        # Whole numbers below 2^53 add up exactly.
+                        out[row, place, starts[f] : starts[f + 1]] += np.bincount(code, weight, size).astype(np.int64)
         return out
 
 
@@ -385,11 +416,11 @@ def _boosted_block(block: Block, settings: Settings, bins: Bins, scale: Scale) -
     )
 
 
-_BLOCK = "rows long, codes binary, label binary, watched binary, scores binary"
+_BLOCK = "rows long, codes binary, label binary, watched binary, scores binary, count binary"
 
 
 def _packed(block: Block) -> dict:
-    return {"rows": len(block.label), "codes": block.codes.tobytes(), "label": block.label.tobytes(), "watched": block.watched.tobytes(), "scores": block.scores.tobytes()}
+    return {"rows": len(block.label), "codes": block.codes.tobytes(), "label": block.label.tobytes(), "watched": block.watched.tobytes(), "scores": block.scores.tobytes(), "count": block.count.tobytes()}
 
 
 def _unpacked(row: dict, bins: Bins, settings: Settings) -> Block:
@@ -397,41 +428,68 @@ def _unpacked(row: dict, bins: Bins, settings: Settings) -> Block:
     array = lambda name, dtype: np.frombuffer(row[name], dtype)
     return Block(
         array("codes", kind).reshape(len(bins.cuts), row["rows"]), array("label", np.float64), array("watched", bool),
-        array("scores", np.float64).reshape(settings.outputs, row["rows"]).copy(),
+        array("scores", np.float64).reshape(settings.outputs, row["rows"]).copy(), array("count", np.float64),
     )
 
 
-_ARROW = pa.schema([("rows", pa.int64()), *((c, pa.binary()) for c in ("codes", "label", "watched", "scores"))])
+_ARROW = pa.schema([("rows", pa.int64()), *((c, pa.binary()) for c in ("codes", "label", "watched", "scores", "count"))])
+
 
+def merged_rows(rows: DataFrame, bins: Bins, settings: Settings, scale: Scale, base: np.ndarray) -> DataFrame:
+    """Rows (features array, label, watched) as distinct (codes, label, watched) with their count.
+
+    For numbers as distinct (codes, watched), with the whole-number sum of the labels.
+    """
 
-def block_table(rows: DataFrame, bins: Bins, settings: Settings, base: np.ndarray) -> DataFrame:
-    """Rows (features array, label, watched) as blocks."""
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = np.asarray(batch.column(0).flatten(), np.float64).reshape(batch.num_rows, len(bins.cuts))
+            codes = np.ascontiguousarray(bins.codes(flat).T)
+            label = batch.column(1).to_numpy()
+            if not settings.classes:
+                label = np.rint((label - base[0]) * scale.first)
+            width = codes.dtype.itemsize * codes.shape[1]
+            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(codes), [None, pa.py_buffer(codes)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([packed, pa.array(label.astype(np.int64)), batch.column(2)], names=["codes", "label", "watched"])
+
+    found = rows.mapInArrow(coded, "codes binary, label long, watched boolean")
+    count = F.count(F.lit(1)).alias("count")
+    if settings.classes:
+        return found.groupBy("codes", "label", "watched").agg(count)
+    return found.groupBy("codes", "watched").agg(F.sum("label").alias("label"), count).select("codes", "label", "watched", "count")
+
+
+def block_table(merged: DataFrame, bins: Bins, settings: Settings, base: np.ndarray) -> DataFrame:
+    """Merged rows (codes, label, watched, count) as blocks."""
     most = min(BLOCK_ROWS, max(1, BLOCK_CELLS // max(1, len(bins.cuts))))
+    kind = bins.codes(np.empty((0, len(bins.cuts)))).dtype
+    # Scores of numbers are less the base, as their labels are.
+    start = base if settings.classes else np.zeros(1)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         count = 0
 
         def out() -> pa.RecordBatch:
-            codes, label, watched = (np.concatenate(x, axis=-1) for x in zip(*held))
-            block = Block(codes, label, watched, np.repeat(base[:, None], len(label), axis=1))
+            codes, label, watched, counts = (np.concatenate(x, axis=-1) for x in zip(*held))
+            block = Block(codes, label, watched, np.repeat(start[:, None], len(label), axis=1), counts)
             return pa.RecordBatch.from_pylist([_packed(block)], schema=_ARROW)
 
         for batch in batches:
-            values = batch.column(0)
-            flat = np.asarray(values.flatten(), np.float64).reshape(batch.num_rows, len(bins.cuts))
-            label, watched = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+            codes = np.frombuffer(b"".join(batch.column(0).to_pylist()), kind).reshape(batch.num_rows, len(bins.cuts)).T
+            label, counts = (batch.column(c).to_numpy().astype(np.float64) for c in (1, 3))
+            watched = batch.column(2).to_numpy(zero_copy_only=False)
             for at in range(0, batch.num_rows, most):
                 end = min(batch.num_rows, at + most)
                 if count + end - at > most and held:
                     yield out()
                     held, count = [], 0
-                held.append((bins.codes(flat[at:end]), label[at:end], watched[at:end]))
+                held.append((codes[:, at:end], label[at:end], watched[at:end], counts[at:end]))
                 count += end - at
         if count:
             yield out()
 
-    return rows.mapInArrow(pack, _BLOCK)
+    return merged.mapInArrow(pack, _BLOCK)
 
 
 def feature_bins(rows: DataFrame, features: int, categories: dict[int, int], most: int = BINS) -> Bins:
@@ -466,6 +524,51 @@ def _between(a: float, b: float) -> float:
     return middle if a <= middle < b else a
 
 
+class _Cells:
+    """Scores by the cells that the cuts of all trees make; each cell is scored once while it is remembered."""
+
+    def __init__(self, rounds: list[list[Tree]], category: np.ndarray):
+        cuts: list[set[float]] = [set() for _ in category]
+        for trees in rounds:
+            for tree in trees:
+                for f, cut in zip(tree.feature, tree.threshold):
+                    if f >= 0:
+                        cuts[f].add(cut)
+        self.cuts, self.category = [np.array(sorted(c)) for c in cuts], category
+        self.sizes = [len(c) + 1 for c in self.cuts]
+        self.keys, self.known = np.empty(0, np.int64), None
+
+    def cells(self, values: np.ndarray) -> np.ndarray:
+        cell = np.zeros(values.shape[1], np.int64)
+        for f, (cuts, size) in enumerate(zip(self.cuts, self.sizes)):
+            at = np.searchsorted(cuts, values[f], "left")
+            if self.category[f] and len(cuts):
+                at = np.where(cuts[np.minimum(at, len(cuts) - 1)] == values[f], at, len(cuts))
+            cell = cell * size + at
+        return cell
+
+    def scores(self, values: np.ndarray, each: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """each(values) of all columns of the values."""
+        if math.prod(self.sizes) >= 1 << 62:
+            return each(values)
+        keys, first, place = np.unique(self.cells(values), return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        new = self.keys[at] != keys if len(self.keys) else np.ones(len(keys), bool)
+        found = each(values[:, first[new]])
+        out = np.empty((len(found), len(keys)))
+        out[:, new] = found
+        if len(self.keys):
+            out[:, ~new] = self.known[:, at[~new]]
+        if len(self.keys) + len(found[0]) > KNOWN_SCORES:
+            self.keys, self.known = keys, out
+        elif new.any():
+            keys = np.concatenate([self.keys, keys[new]])
+            known = found if self.known is None else np.concatenate([self.known, found], axis=1)
+            order = np.argsort(keys)
+            self.keys, self.known = keys[order], known[:, order]
+        return out[:, place]
+
+
 class BoostedTreesModel(Model, DefaultParamsReadable, DefaultParamsWritable):
     """A fitted booster: adds prediction, and for classes probability, to rows with features."""
 
@@ -493,13 +596,18 @@ class BoostedTreesModel(Model, DefaultParamsReadable, DefaultParamsWritable):
             told = json.loads(known.value)
             category = np.array(told["categories"], bool)
             rounds = [[Tree(**t) for t in trees] for trees in told["rounds"]]
-            for rows in parts:
-                values = np.stack(rows.to_list()).T if len(rows) else np.empty((len(category), 0))
-                out = np.repeat(np.array(told["base"])[:, None], len(rows), axis=1)
+            cells = _Cells(rounds, category)
+
+            def each(values: np.ndarray) -> np.ndarray:
+                out = np.repeat(np.array(told["base"])[:, None], values.shape[1], axis=1)
                 for trees in rounds:
                     for k, tree in enumerate(trees):
                         out[k] += np.array(tree.value)[tree.nodes(values, category, False)]
-                yield pd.Series(list(out.T))
+                return out
+
+            for rows in parts:
+                values = np.stack(rows.to_list()).T if len(rows) else np.empty((len(category), 0))
+                yield pd.Series(list(cells.scores(values, each).T))
 
         classes = self.describe()["settings"]["classes"]
         names = set(dataset.columns)
@@ -564,13 +672,16 @@ class HistogramBoosting:
         else:
             rows = rows.withColumn("watched", F.lit(False))
         bins = feature_bins(rows, told["features"], self.categories)
-        scale = Scale.of(told["rows"], told["high"] - told["low"], settings.classes)
+        scale = Scale.of(told["rows"], told["high"] - told["low"], settings.classes, SUM_BITS)
         base = self._base(rows, settings, told["low"], scale)
-        blocks = told["rows"] * told["features"] <= BLOCK_CELLS and told["rows"] <= BLOCK_ROWS
         folder = scratch_folder(spark)
         try:
-            block_table(rows.coalesce(1) if blocks else rows, bins, settings, base).write.parquet(f"{folder}/0")
-            fit = self._in_one_task if blocks else self._over_blocks
+            merged_rows(rows, bins, settings, scale, base).write.parquet(f"{folder}/merged")
+            merged = spark.read.schema("codes binary, label long, watched boolean, count long").parquet(f"{folder}/merged")
+            left = merged.count()
+            one = left * told["features"] <= BLOCK_CELLS and left <= BLOCK_ROWS
+            block_table(merged.coalesce(1) if one else merged, bins, settings, base).write.parquet(f"{folder}/0")
+            fit = self._in_one_task if one else self._over_blocks
             rounds = fit(spark, folder, settings, bins, scale)
         finally:
             remove_folder(spark, folder)

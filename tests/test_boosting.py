@@ -176,3 +176,44 @@ def test_many_values_share_bins(vectors):
     assert 200 <= bins.sizes[0] <= 255
     counts = np.bincount(bins.codes(x)[0])
     assert counts.max() <= 3 * 5000 / 255
+
+
+@pytest.mark.parametrize("classes", [0, 2])
+def test_many_rows_of_few_bins_are_one_block(vectors, monkeypatch, classes):
+    x, y = table_of(3000)
+    x[:, 0], x[:, 1] = np.round(x[:, 0]), x[:, 1] % 4
+    rows = vectors(x, labels_of(y, classes))
+    fit = lambda: HistogramBoosting(Settings(classes, rounds=4, rate=0.3, leaves=6, l2=L2), "features", "label", None, {2: 5}).fit(rows)
+    whole = fit().describe()
+    # Fewer than the rows, more than the combinations of bins and labels; no pass over blocks is needed.
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 500)
+    monkeypatch.setattr(HistogramBoosting, "_over_blocks", None)
+    assert fit().describe() == whole and len(whole["rounds"]) == 4
+
+
+def test_cells_score_as_rows_do(vectors, monkeypatch):
+    x, y = table_of(3000)
+    model = HistogramBoosting(Settings(3, rounds=5, rate=0.3, l2=L2), "features", "label", None, {2: 5}).fit(vectors(x, labels_of(y, 3)))
+    x = np.r_[x, [[math.nan, 1.0, 2.0], [0.0, math.inf, 9.0], [-0.0, 3.0, 1.0]]]
+    told = model.describe()
+    rounds = [[boosting.Tree(**t) for t in trees] for trees in told["rounds"]]
+    category = np.array(told["categories"])
+    asked = []
+
+    def each(values):
+        asked.append(values.shape[1])
+        out = np.zeros((3, values.shape[1]))
+        for trees in rounds:
+            for k, tree in enumerate(trees):
+                out[k] += np.array(tree.value)[tree.nodes(values, category, False)]
+        return out
+
+    want = each(x.T)
+    for known in (200_000, 50):
+        monkeypatch.setattr(boosting, "KNOWN_SCORES", known)
+        cells = boosting._Cells(rounds, category)
+        found = [cells.scores(x[at : at + 500].T, each) for at in (0, 500, 1000, 1500, 2000, 2500, 3000, 0)]
+        assert np.array_equal(np.concatenate(found[:-1], axis=1), want) and np.array_equal(found[-1], want[:, :500])
+        if known > 50:
+            # The last rows were met before.
+            assert asked[-1] == 0
