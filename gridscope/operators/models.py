@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import ExitStack, contextmanager
 from dataclasses import dataclass, field, replace
 from importlib.util import find_spec
 
-from pyspark.ml import Estimator, PipelineModel
+from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 from gridscope.functions.columns import distinct_messages, json_text, quoted
 from gridscope.functions.tables import kept, local_table
 from gridscope.operators.boosting import HistogramBoosting, Settings
+from gridscope.operators.cells import predicted_by_cells
 from gridscope.operators.features import (
     FEATURES,
     FeatureColumns,
@@ -45,6 +47,9 @@ DEEPEST_TREE = 30
 BOOSTING_LEAF = 20
 STATISTICS_L2 = 3.0
 STOPPING_SHARE = 10
+#: Learned rows of a task of a forest. Every task sends histograms of all nodes of a level, so
+#: few tasks are less work; more rows are more tasks, and none holds more.
+FOREST_ROWS = 250_000
 
 # Columns added for training; the table may well have a `weight` or `label` of its own.
 LABEL, WEIGHT, SPLIT, STOPPING, COPY = "__label", "__weight", "__split", "__stopping", "__copy"
@@ -432,19 +437,13 @@ def _fit_one(candidate, rows, preprocessing, numbers, task_type, labels, early_s
         preprocessing.slots,
     )
     estimator = build_estimator(candidate, facts)
+    forest = isinstance(estimator, (RandomForestClassifier, RandomForestRegressor))
+    if forest:
+        trained = trained.select(FEATURES, LABEL, WEIGHT, STOPPING).repartition(max(1, -(-numbers["rows"] // FOREST_ROWS)))
     fitted = estimator.fit(trained)
 
-    predicted = fitted.transform(vectors)
-    columns = [SPLIT, LABEL, "prediction"]
-    if task_type == "classification":
-        scored = "probability" if "probability" in predicted.columns else "rawPrediction"
-        predicted = predicted.withColumn("scores", vector_to_array(scored))
-        columns.append("scores")
-    predicted = predicted.select(*columns).persist()
-    try:
+    with _predicted(fitted, vectors, task_type, forest) as predicted:
         metrics = score(predicted, task_type, len(labels))
-    finally:
-        predicted.unpersist()
 
     stages.append(fitted)
     if task_type == "classification":
@@ -454,6 +453,24 @@ def _fit_one(candidate, rows, preprocessing, numbers, task_type, labels, early_s
     return PipelineModel(stages), type(estimator).__name__, metrics
 
 
+@contextmanager
+def _predicted(fitted: Model, vectors: DataFrame, task_type: str, forest: bool) -> Iterator[DataFrame]:
+    """SPLIT, LABEL, prediction and, for classes, scores of all rows, held for several metrics."""
+    outputs = ["prediction"]
+    if task_type == "classification":
+        outputs.append("probability" if not fitted.hasParam("probabilityCol") or fitted.getProbabilityCol() else "rawPrediction")
+    with ExitStack() as held:
+        if forest:
+            predicted = held.enter_context(contextmanager(predicted_by_cells)(fitted, vectors, FEATURES, [SPLIT, LABEL], outputs))
+        else:
+            predicted = fitted.transform(vectors)
+        if task_type == "classification":
+            predicted = predicted.withColumn("scores", vector_to_array(outputs[1])).drop(outputs[1])
+        predicted = predicted.select(SPLIT, LABEL, "prediction", *(["scores"] if task_type == "classification" else [])).persist()
+        held.callback(predicted.unpersist)
+        yield predicted
+
+
 def save_models(training: Training, folder: str) -> tuple[list[str], list[str]]:
     """Save each fitted pipeline as `NN_role_model`; returns paths and warnings."""
     paths, warnings = [], []
