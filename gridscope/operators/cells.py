@@ -31,8 +31,11 @@ def forest_cuts(forest, features: int) -> list[list[float]]:
     try:
         forest.write().save(folder)
         nodes = spark.read.parquet(f"{folder}/data").select("nodeData.split.*").filter("featureIndex >= 0")
-        # Features are numbers or one-hot, so a split has one threshold.
-        found = nodes.select("featureIndex", F.col("leftCategoriesOrThreshold")[0].alias("cut")).distinct().limit(MOST_CUTS + 1).collect()
+        # A split of a number is its threshold; of a category, as which Spark takes one-hot
+        # slots, the categories that go left: each value of it is a cell of its own.
+        threshold, last = F.col("leftCategoriesOrThreshold")[0], F.col("numCategories") - 1
+        cut = F.when(F.col("numCategories") < 0, F.array(threshold)).otherwise(F.sequence(F.lit(0), last).cast("array<double>"))
+        found = nodes.select("featureIndex", F.explode(cut).alias("cut")).distinct().limit(MOST_CUTS + 1).collect()
     finally:
         remove_folder(spark, folder)
     if len(found) > MOST_CUTS:

@@ -39,3 +39,15 @@ def test_few_cells_are_predicted(spark, frame, monkeypatch):
     training = models.train_candidates(rows.repartition(7), FeatureColumns(["x"], ["c"], []), "y", wanted, ["k"])
     assert training.errors == [] and training.experiments.first()["test_metrics"]["accuracy"] == 1.0
     assert seen and max(seen) <= 20 and parts == [3]
+
+
+def test_categories_stay_apart(frame):
+    """One-hot slots are categories to Spark, whose splits name the side, not a threshold."""
+    rows = frame("k long, c string, y string", *[(k, "abcd"[k % 4], "uuvw"[k % 4]) for k in range(1200)])
+    candidate = Candidate("RandomForestClassifier", "recommended", "classification", {"n_estimators": 20, "random_state": 1})
+    wanted = Recommendation("ready", "classification", candidate.model_name, "high", [candidate])
+    training = models.train_candidates(rows, FeatureColumns([], ["c"], []), "y", wanted, ["k"])
+    found = training.experiments.first()
+    assert training.errors == [] and found["train_metrics"]["accuracy"] == found["test_metrics"]["accuracy"] == 1.0
+    cuts = cells.forest_cuts(training.models[0].stages[-2], training.models[0].stages[-2].numFeatures)
+    assert cuts and all(c in ([], [0.0, 1.0]) for c in cuts)
