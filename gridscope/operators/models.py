@@ -440,6 +440,8 @@ def _fit_one(candidate, rows, preprocessing, numbers, task_type, labels, early_s
     forest = isinstance(estimator, (RandomForestClassifier, RandomForestRegressor))
     if forest:
         trained = trained.select(FEATURES, LABEL, WEIGHT, STOPPING).repartition(max(1, -(-numbers["rows"] // FOREST_ROWS)))
+        # Rows arrive in any order, and a bootstrap sample follows their order.
+        trained = trained.sortWithinPartitions(F.xxhash64(vector_to_array(FEATURES), LABEL, WEIGHT, STOPPING))
     fitted = estimator.fit(trained)
 
     with _predicted(fitted, vectors, task_type, forest) as predicted:
