@@ -1,17 +1,20 @@
 """Near-duplicate texts: five-word shingles with a Jaccard overlap of 0.8 or more.
 
-At that overlap about 39 of 256 fingerprint bits differ, so no bit fields find the pairs.
-Texts meet by least hashes of their shingles instead. What meets is told apart by numbers
-alone, before any text moves: by SimHash fingerprints of 256 bits (pivot distance tables
-discard pairs by their largest difference, then the bits are counted) and by parities of the
-shingles, whose differing bits are never more than the shingles that only one text has. The
-exact overlap verifies what is left.
+At that overlap about 39 of 256 fingerprint bits differ, so no bit fields find the pairs. Tables
+of pivots, which are reference fingerprints, do: a text's distance to a pivot is measured by the
+votes behind its bits, so bits that are nearly even hardly count, and texts meet where the same
+pivots of a table are the ones they tell most about. What meets is told apart by numbers alone,
+before any text moves: by SimHash fingerprints of 256 bits (pivot distance tables discard pairs
+by their largest difference, then the bits are counted) and by parities of the shingles, whose
+differing bits are never more than the shingles that only one text has. The exact overlap
+verifies what is left.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +27,18 @@ from gridscope.llm.simhash import SEED, components, with_roots
 
 #: Words of a shingle and the least Jaccard overlap of texts that are near duplicates.
 WIDTH, LEAST_OVERLAP = 5, 0.8
-#: Texts meet if all least hashes of a band agree: at an overlap of 0.8 all but 4 in 10,000 pairs do.
-BANDS, BAND_HASHES = 20, 5
+#: Texts meet if in a table the same STRONGEST of its pivots are nearest or farthest: TABLES
+#: tables, at an overlap of 0.8 each finds about 1 pair in 17, other texts 1 in 22 million.
+TABLES, TABLE_PIVOTS, STRONGEST = 110, 256, 3
+#: Texts that are compared with all pivots at once.
+AT_ONCE = 32
 #: 64-bit words of a fingerprint, and bits that near duplicates may differ in: at an overlap of
 #: 0.8 it is 39 on average with a deviation of 6. Few shingles deviate more, so below MOST_FEW of
 #: both texts only parities count.
 PRINTS, MOST_BITS, MOST_FEW = 4, 66, 160
 PIVOTS = 8
+#: Bits of the first 64 that near duplicates may differ in: 10 on average with a deviation of 3.
+MOST_FIRST = 28
 #: 64-bit words of the parities.
 PARITIES = 8
 #: Texts of a bucket in one block; larger buckets are compared block by block.
@@ -53,59 +61,91 @@ def overlap(a: set[bytes], b: set[bytes]) -> float:
     return both / (len(a) + len(b) - both) if a or b else 1.0
 
 
+#: C(k, j) for j from 1.
+_CHOOSE = [np.array([math.comb(k, j) for k in range(TABLE_PIVOTS)]) for j in range(1, STRONGEST + 1)]
+
+
+def reference_fingerprints() -> np.ndarray:
+    """The pivots of all tables, one per column, as 1 and -1 for the bits of a fingerprint."""
+    bits = np.random.default_rng(SEED).integers(0, 2, (64 * PRINTS, TABLES * TABLE_PIVOTS), np.int8)
+    return (2 * bits - 1).astype(np.float32)
+
+
+def cells(votes: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Per text (row of votes, one per bit) and table: the strongest pivots, whether near or far,
+    and the table, in one number of 32 bits.
+
+    All sums are whole numbers that the floats hold exactly, so cells don't depend on the batch.
+    """
+    out = np.empty((len(votes), TABLES), np.int32)
+    for k in range(0, len(votes), AT_ONCE):
+        some = votes[k : k + AT_ONCE]
+        exact = np.float32 if np.abs(some).sum(axis=1).max() < 1 << 24 else np.float64
+        nearness = (some.astype(exact) @ pivots.astype(exact, copy=False)).reshape(len(some), TABLES, TABLE_PIVOTS)
+        strongest = np.argpartition(-np.abs(nearness), STRONGEST - 1, axis=2)[:, :, :STRONGEST]
+        strongest.sort(axis=2)
+        far = np.take_along_axis(nearness, strongest, 2) < 0
+        # Sets of pivots are numbered by binomials: number = C(first, 1) + C(second, 2) + C(third, 3).
+        number = np.zeros((len(some), TABLES), np.int64) + np.arange(TABLES) * math.comb(TABLE_PIVOTS, STRONGEST)
+        for j in range(STRONGEST):
+            number += _CHOOSE[j][strongest[:, :, j]]
+        for j in range(STRONGEST):
+            number = 2 * number + far[:, :, j]
+        out[k : k + AT_ONCE] = number - (1 << 31)
+    return out
+
+
 class Signer:
-    """Bands, fingerprint and parities of the shingles' hashes."""
+    """Votes, fingerprint and parities of the shingles' hashes."""
 
     def __init__(self) -> None:
-        draw = np.random.default_rng(SEED)
-        self.factors, self.more = draw.integers(0, 1 << 63, (2, BANDS * BAND_HASHES, 1), np.uint64)
-        self.factors = self.factors * np.uint64(2) + np.uint64(1)
-        self.mixers = draw.integers(0, 1 << 63, PRINTS, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.mixers = np.random.default_rng(SEED).integers(0, 1 << 63, PRINTS, np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def __call__(self, found: set[bytes]) -> tuple[list[int], np.ndarray, np.ndarray]:
+    def __call__(self, found: set[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         digest = xxhash.xxh64_intdigest
         hashes = np.fromiter((digest(x, SEED) for x in found), np.uint64, len(found))
-        least = np.full(BANDS * BAND_HASHES, (1 << 64) - 1, np.uint64)
         counts = np.zeros((PRINTS, 64), np.int64)
         for k in range(0, len(hashes), 2048):
             some = hashes[k : k + 2048]
-            np.minimum(least, (some * self.factors + self.more).min(axis=1), out=least)
             for number, mixer in enumerate(self.mixers):
                 mixed = (some ^ (some >> np.uint64(31))) * mixer
                 mixed ^= mixed >> np.uint64(29)
                 counts[number] += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        bands = [digest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, BAND_HASHES))]
-        prints = np.packbits(2 * counts > len(hashes), axis=1, bitorder="little").view(np.int64)[:, 0]
+        votes = 2 * counts - len(hashes)
+        prints = np.packbits(votes > 0, axis=1, bitorder="little").view(np.int64)[:, 0]
         odd = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % (64 * PARITIES), minlength=64 * PARITIES) & 1
-        return bands, prints, np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+        return votes.reshape(-1), prints, np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 _KINDS = {
     "key_1": pa.int64(), "key_2": pa.int64(), "doc_id": pa.int64(), "words_1": pa.int64(), "words_2": pa.int64(), "n": pa.int64(),
-    "bands": pa.list_(pa.int64()), "prints": pa.list_(pa.int64()), "parities": pa.list_(pa.int64()),
+    "cells": pa.list_(pa.int32()), "prints": pa.list_(pa.int64()), "parities": pa.list_(pa.int64()),
 }
 
 
 def signed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: key_1 and key_2 (hashes of the row), doc_id, words_1 and words_2 (a 128-bit hash
-    of its words), n (shingles), bands, prints and parities."""
+    of its words), n (shingles), cells, prints and parities."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, signer = re.compile(WORD).findall, Signer()
+        # The pivots go with the task: workers live on, and their memory with them.
+        find, signer, references = re.compile(WORD).findall, Signer(), reference_fingerprints()
         for some in pieces(batches):
-            out = []
+            out, votes = [], []
             for *keys, text in some:
                 words = find(text)
                 whole = np.frombuffer(xxhash.xxh3_128_digest(" ".join(words).encode()), np.int64)
                 found = shingles(words)
-                bands, prints, parities = signer(found)
-                out.append((*keys, *whole.tolist(), len(found), np.array(bands, np.uint64).view(np.int64), prints, parities))
-            yield records(_KINDS, list(zip(*out)))
+                own, prints, parities = signer(found)
+                votes.append(own)
+                out.append((*keys, *whole.tolist(), len(found), prints, parities))
+            *first, prints, parities = zip(*out)
+            yield records(_KINDS, [*first, list(cells(np.array(votes), references)), prints, parities])
 
     text = lower_ascii(F.col(f"row.`{text_column}`")).alias("text")
     rows = wrapped(docs).select("key_1", "key_2", F.col(f"row.`{id_column}`").cast("long").alias("doc_id"), text)
-    lists = ", ".join(f"{c} array<long>" for c in ("bands", "prints", "parities"))
-    return rows.mapInArrow(sign, f"key_1 long, key_2 long, doc_id long, words_1 long, words_2 long, n long, {lists}")
+    kinds = "key_1 long, key_2 long, doc_id long, words_1 long, words_2 long, n long, cells array<int>, prints array<long>, parities array<long>"
+    return rows.mapInArrow(sign, kinds)
 
 
 def pivot_table(prints: Column) -> Column:
@@ -142,6 +182,13 @@ def may_overlap(a: str, b: str, least: float) -> Column:
     )
 
 
+def may_begin(a: str, b: str, least: float) -> Column:
+    """What of may_overlap can be told from the sizes and the first 64 bits (first) of two sides."""
+    n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
+    differing = F.bit_count(F.col(f"{a}.first").bitwiseXOR(F.col(f"{b}.first")))
+    return (F.least(n_a, n_b) >= least * F.greatest(n_a, n_b) - 1e-6) & ((n_a + n_b < MOST_FEW) | (differing <= MOST_FIRST))
+
+
 def overlapping(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) of nodes whose texts (node, text) overlap by least or more."""
 
@@ -159,13 +206,13 @@ def overlapping(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 def apart_pairs(rooted: DataFrame, sketch: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
     """Distinct pairs (a, b) that share a bucket of rooted (key, node, root), have different roots
-    and may overlap.
+    and may overlap, of buckets of more than two nodes: those of two are compared already.
 
     Only buckets with two roots or more are looked at; those of more than `block` nodes are
     dealt out in pairs of blocks.
     """
     live = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
-    live = live.filter("low != high").select("key", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    live = live.filter("low != high AND size > 2").select("key", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = stored(rooted.join(live, "key").join(sketch, "node").withColumn("own", own))
     left = dealt.withColumn("other", F.explode(F.sequence("own", F.col("blocks") - 1)))
@@ -184,9 +231,12 @@ def apart_pairs(rooted: DataFrame, sketch: DataFrame, least: float, block: int =
     return met.select(F.greatest(first, second).alias("a"), F.least(first, second).alias("b")).distinct()
 
 
-def similar_links(met: DataFrame, sketch: DataFrame, texts: DataFrame, least: float = LEAST_OVERLAP) -> DataFrame:
+def similar_links(met: DataFrame, sketch: DataFrame, texts_of_nodes: Callable[[DataFrame], DataFrame], least: float = LEAST_OVERLAP) -> DataFrame:
     """Links (a, b) that join all nodes meeting in a bucket (key, node) at least or more.
 
+    texts_of_nodes gives (node, text) for a table of nodes; only texts of pairs that the
+    sketches leave are asked for.
+
     First every node is compared with the smallest of each of its buckets, so a group of near
     copies costs rows by its size, not by pairs. Nodes of a bucket that are still apart have
     their sketches compared, and the pairs that these leave are verified.
@@ -194,14 +244,25 @@ def similar_links(met: DataFrame, sketch: DataFrame, texts: DataFrame, least: fl
     low = met.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "low")
     met = stored(met.join(low, "key").select("key", "node", "low"))
     to_low = met.filter("node != low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+    # Most pairs end at two numbers, before the whole sketches are joined.
+    for side in ("a", "b"):
+        to_low = to_low.join(sketch.select(F.col("node").alias(side), F.struct("n", F.col("prints")[0].alias("first")).alias(f"at_{side}")), side)
+    to_low = stored(to_low.filter(may_begin("at_a", "at_b", least)).select("a", "b"))
     for side in ("a", "b"):
         to_low = to_low.join(sketch.select(F.col("node").alias(side), F.struct("n", "pivots", "prints", "parities").alias(f"at_{side}")), side)
     to_low = stored(to_low.filter(may_overlap("at_a", "at_b", least)).select("a", "b"))
-    links = stored(overlapping(to_low, texts, least))
+    links = stored(overlapping(to_low, texts_of_nodes(either(to_low)), least))
     member = with_roots(components(links))
     rooted = stored(met.join(member, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
-    further = apart_pairs(rooted, sketch, least).join(to_low, ["a", "b"], "left_anti")
-    return links.union(overlapping(stored(further), texts, least))
+    further = stored(apart_pairs(rooted, sketch, least).join(to_low, ["a", "b"], "left_anti"))
+    if further.isEmpty():
+        return links
+    return links.union(overlapping(further, texts_of_nodes(either(further)), least))
+
+
+def either(pairs: DataFrame) -> DataFrame:
+    """The nodes of pairs (a, b)."""
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
 
 
 def without_similar(docs: DataFrame, least: float = LEAST_OVERLAP, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -215,21 +276,24 @@ def without_similar(docs: DataFrame, least: float = LEAST_OVERLAP, id_column: st
     were; an empty table gives an empty one.
     """
     rows = stored(signed(docs, id_column, text_column))
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key_1", "key_2", "n", "bands", "prints", "parities")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key_1", "key_2", "n", "cells", "prints", "parities")
     classes = stored(rows.groupBy("words_1", "words_2").agg(F.min(first).alias("first")))
     # The classes are stored, so a class keeps its number.
     classes = classes.select(F.monotonically_increasing_id().alias("node"), "first")
-    # A band's hash is seeded with its number, so bands meet only their like.
-    met = classes.select("node", F.explode("first.bands").alias("key"))
+    # A cell's number holds its table's, so tables meet only their like.
+    met = classes.select("node", F.explode("first.cells").alias("key"))
     shared = met.groupBy("key").count().filter("count > 1").select("key")
-    wanted = met.join(shared, "key").select("node").distinct()
-    own = stored(classes.join(wanted, "node").select("node", "first.*"))
+    met = stored(met.join(shared, "key"))
+    wanted = met.select("node").distinct()
+    own = stored(classes.select("node", "first.key_1", "first.key_2", "first.n", "first.prints", "first.parities").join(wanted, "node"))
     text = lower_ascii(F.col(f"row.`{text_column}`")).alias("text")
-    texts = wrapped(docs).select("key_1", "key_2", text).join(own.select("node", "key_1", "key_2"), ["key_1", "key_2"])
-    # Equal rows have one text.
-    texts = stored(texts.select("node", "text").dropDuplicates(["node"]))
-    met = own.select("node", F.explode("bands").alias("key"))
-    member = with_roots(components(similar_links(met, stored(sketches(own)), texts, least)))
+
+    def texts_of_nodes(nodes: DataFrame) -> DataFrame:
+        texts = wrapped(docs).select("key_1", "key_2", text).join(own.select("node", "key_1", "key_2").join(nodes, "node"), ["key_1", "key_2"])
+        # Equal rows have one text.
+        return stored(texts.select("node", "text").dropDuplicates(["node"]))
+
+    member = with_roots(components(similar_links(met, stored(sketches(own)), texts_of_nodes, least)))
     found = classes.select("node", "first.no_id", "first.doc_id", "first.key_1", "first.key_2").join(member, "node", "left")
     stays = found.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("no_id", "doc_id", "key_1", "key_2")).alias("first"))
     stays = stays.select("first.key_1", "first.key_2")

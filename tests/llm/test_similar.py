@@ -3,11 +3,12 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from corpus_pipeline import simhash_dedup
 from gridscope.llm.common import stored
-from gridscope.llm.similar import apart_pairs, shingles, signed, sketches, without_similar
+from gridscope.llm.similar import Signer, apart_pairs, cells, reference_fingerprints, shingles, signed, sketches, without_similar
 
 from ..conftest import DATA
 
@@ -129,3 +130,20 @@ def test_names_and_values_come_back(spark, frame):
     # Of rows with one id and text, the same one stays whatever their order.
     assert got == sorted((tuple(r) for r in without_similar(docs.orderBy(F.desc("node"))).collect()), key=str)
     assert {r[0] for r in got} == {1, 2, None} and len(got) == 3 and set(got) <= set(rows)
+
+
+def test_near_texts_meet_at_the_same_pivots():
+    """Fingerprints' votes and pivots alone bring pairs at an overlap of 0.8 together, and few others."""
+    draw, signer = random.Random(11), Signer()
+    pairs = []
+    for k in range(1000):
+        size = (9, 36, 180, 900)[k % 4]
+        own = [b"%d" % draw.randrange(1 << 60) for _ in range(size * 10 // 9)]
+        pairs.append([signer(set(own[:size]))[0], signer(set(own[size // 9 :]))[0]])
+    pivots = reference_fingerprints()
+    first, second = (cells(np.array(side), pivots) for side in zip(*pairs))
+    assert (first == second).any(axis=1).mean() > 0.99
+    # Each pair's first text against the next pair's.
+    assert (first == np.roll(first, 1, axis=0)).any(axis=1).mean() < 0.01
+    # Of any batch the same.
+    assert (cells(np.array([pairs[7][0]]), pivots) == first[7]).all()
