@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,30 +16,56 @@ from gridscope.llm.packing import packed
 from gridscope.llm.similar import without_similar
 from gridscope.llm.toxicity import without_toxic
 
+#: Rows of a batch that Spark sends to a Python worker. Texts are long, and a batch is there
+#: several times at once: in the JVM, in the worker as it came, and as Python's own texts.
+BATCH_ROWS, BATCH_SETTING = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
+#: Words whose ids a worker remembers, some 110 MB; it keeps them when later work needs its memory.
+REMEMBERED = 400_000
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def in_small_batches(stage: Stage) -> Stage:
+    """The stage, with at most BATCH_ROWS rows in a batch from then on, as its table is written later."""
+
+    @functools.wraps(stage)
+    def limited(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+            spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return limited
+
+
+@in_small_batches
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose nearest labelled examples don't make them toxic."""
     return without_toxic(docs, load(spark, sf_dir, "labels"))
 
 
+@in_small_batches
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outliers of their language and source."""
     return without_outliers(docs)
 
 
+@in_small_batches
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of texts whose five-word shingles overlap by 0.8 or more."""
     return without_similar(docs)
 
 
+@in_small_batches
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes: whole documents, repeated ones, and stretches of a few."""
     return mixed_documents(docs)
 
 
+@in_small_batches
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their places in sequences."""
-    return packed(docs)
+    return packed(docs, REMEMBERED)
 
 
 STAGES = [
@@ -56,14 +84,19 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is Parquet in a new folder of the shared folder.
 
     A stage's result is removed once the next one is written; the last is the caller's to remove.
+    The session's size of batches is as before at the end.
     """
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs, before = load(spark, sf_dir, "documents"), None
-    for number, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{number}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-        if before is not None:
-            remove_folder(spark, before)
-        before = path
+    batch_rows = spark.conf.get(BATCH_SETTING)
+    try:
+        for number, (name, stage) in enumerate(STAGES):
+            path = f"{folder}/{number}-{name}"
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+            if before is not None:
+                remove_folder(spark, before)
+            before = path
+    finally:
+        spark.conf.set(BATCH_SETTING, batch_rows)
     return docs

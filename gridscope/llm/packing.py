@@ -74,16 +74,18 @@ def token_pieces(
     capacity: int = CAPACITY,
     id_column: str = "doc_id",
     text_column: str = "text",
+    remembered: int | None = None,
 ) -> DataFrame:
     """doc_id, piece, start, length and the crc32 of the ids of every piece of every text.
 
     Null texts are empty; each document ends with id 0; only documents beyond the capacity
-    are cut, into pieces of exactly the capacity and a rest.
+    are cut, into pieces of exactly the capacity and a rest. A Python worker remembers the ids of
+    so many words (by default those of the library's tokens module).
     """
     kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(tokenizer_file(vocabulary), keep_space=False)
+        encoder = worker_encoder(tokenizer_file(vocabulary), False, remembered)
         for some in pieces(batches):
             out = []
             for (doc_id, _), own in zip(some, encoder.encode([t for *_, t in some])):
@@ -127,7 +129,7 @@ def pack_sequences(
     return dealt.groupBy("_deal").applyInArrow(pack, schema)
 
 
-def packed(docs: DataFrame) -> DataFrame:
+def packed(docs: DataFrame, remembered: int | None = None) -> DataFrame:
     """All texts of a table cut and packed with the production settings.
 
     Null and empty texts are one piece, their end id alone; a text of any length is cut whole
@@ -136,5 +138,5 @@ def packed(docs: DataFrame) -> DataFrame:
     text don't matter; an empty table gives an empty one.
     """
     # Lengths only; a long text has many pieces, so these are counted and not the documents.
-    parts = stored(token_pieces(docs))
+    parts = stored(token_pieces(docs, remembered=remembered))
     return pack_sequences(parts, parts.count())

@@ -9,7 +9,7 @@ from itertools import chain, repeat
 
 import numpy as np
 
-#: Words that a Python worker remembers with their ids, about 200 bytes each.
+#: Words that a Python worker remembers with their ids, about 270 bytes each.
 REMEMBERED = 1_500_000
 #: A space that a part may or may not begin with.
 _UNSURE = re.compile(r" (?![!-~\w])")
@@ -23,14 +23,16 @@ class TextEncoder:
     sign follows, whatever stands before it, and merge only inside such parts. So the ids
     of a text are those of its parts, and each distinct part is encoded once. keep_space:
     whether the space belongs to the part (byte-level vocabularies) or is dropped.
+    remembered: distinct parts that are kept; it changes no id.
     """
 
-    def __init__(self, path: str, keep_space: bool):
+    def __init__(self, path: str, keep_space: bool, remembered: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.remembered = REMEMBERED if remembered is None else remembered
         self.lead = " " if keep_space else ""
         self.known: dict[str, int] = {}
         self.ids, self.starts = array("I"), array("Q", [0])
@@ -68,7 +70,7 @@ class TextEncoder:
         new = list(dict.fromkeys([flat[i] for i in missing]))
         kept = len(self.starts) - 1
         # What the memory has no room for is known for these texts only.
-        room = max(0, REMEMBERED - kept)
+        room = max(0, self.remembered - kept)
         ids, starts = self.ids, self.starts
         more = dict(zip(new, range(kept, kept + len(new))))
         for at in [*range(0, room, 4096), *range(room, len(new), 4096)]:
@@ -91,11 +93,11 @@ class TextEncoder:
         return [found[a:b] for a, b in zip([0, *cuts], cuts)]
 
 
-def worker_encoder(path: str, keep_space: bool) -> TextEncoder:
-    """The encoder of this Python worker, made once."""
-    key = (path, keep_space)
+def worker_encoder(path: str, keep_space: bool, remembered: int | None = None) -> TextEncoder:
+    """The encoder of this Python worker, made once; it stays as long as the worker."""
+    key = (path, keep_space, remembered)
     if key not in _WORKER:
-        _WORKER[key] = TextEncoder(path, keep_space)
+        _WORKER[key] = TextEncoder(path, keep_space, remembered)
     return _WORKER[key]
 
 

@@ -92,3 +92,15 @@ def test_odd_rows(spark, frame):
 def test_a_piece_over_a_capacity():
     with pytest.raises(ValueError):
         best_fit(np.array([5]), 4)
+
+
+def test_a_worker_remembers_so_many_words():
+    from gridscope.llm.tokens import TextEncoder, tokenizer_file
+
+    texts = [" ".join(f"word{k % 50} x{k}" for k in range(j, j + 90)) for j in range(40)]
+    path = tokenizer_file("word_bpe_49k.json")
+    whole, few = TextEncoder(path, False), TextEncoder(path, False, remembered=30)
+    for at in range(0, 40, 10):
+        for a, b in zip(whole.encode(texts[at : at + 10]), few.encode(texts[at : at + 10])):
+            assert a.tolist() == b.tolist()
+    assert len(few.known) == 30 < len(whole.known) and len(few.starts) == 31

@@ -80,3 +80,16 @@ def test_empty_tables(spark, table, folder):
         stage(spark, docs, DATA).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
         assert docs.count() == 0
+
+
+def test_python_workers_get_small_batches(spark, table):
+    setting = corpus_pipeline.BATCH_SETTING
+    before = spark.conf.get(setting)
+    try:
+        for given, want in (("10000", "1000"), ("0", "1000"), ("300", "300")):
+            for _, stage in STAGES[1:]:
+                spark.conf.set(setting, given)
+                stage(spark, table("documents").limit(1), DATA)
+                assert spark.conf.get(setting) == want
+    finally:
+        spark.conf.set(setting, before)
