@@ -96,8 +96,18 @@ def _range_bounds(scored: DataFrame, score: str, rows_per_range: int) -> list[fl
     return [-math.inf, *sorted(set(found)), math.inf]
 
 
-def _areas(merged: DataFrame, score: str, groups: Sequence[str], bounds: list[float] | None) -> DataFrame:
-    """Areas per group from (group, score, pos, neg), one row per distinct score."""
+#: Up to so many ranges of all groups their offsets, a short row each, are broadcast.
+BROADCAST_RANGES = 100_000
+
+
+def _areas(
+    merged: DataFrame, score: str, groups: Sequence[str], bounds: list[float] | None, most_groups: int | None = None
+) -> DataFrame:
+    """Areas per group from (group, score, pos, neg), one row per distinct score.
+
+    If there are at most most_groups groups and few ranges, the scores aren't moved to meet
+    the totals of their ranges.
+    """
     if bounds is None:
         placed = merged.withColumn("range", F.lit(0.0))
     else:
@@ -108,6 +118,8 @@ def _areas(merged: DataFrame, score: str, groups: Sequence[str], bounds: list[fl
     offsets = totals.select(
         *groups, "range", F.coalesce(F.sum("range_neg").over(earlier), F.lit(0)).alias("offset")
     )
+    if bounds is not None and most_groups is not None and most_groups * len(bounds) <= BROADCAST_RANGES:
+        offsets = F.broadcast(offsets)
     joined = placed.withColumn("offset", F.lit(0)) if bounds is None else _joined(placed, offsets, [*groups, "range"])
     inside = W.partitionBy(*groups, "range").orderBy(score).rowsBetween(W.unboundedPreceding, -1)
     lower = F.col("offset") + F.coalesce(F.sum("neg").over(inside), F.lit(0))
@@ -154,7 +166,11 @@ def multiclass_roc_auc(
     ).where("pos + neg > 0")
     present = merged.where(F.col("score").isNotNull()).select(*both, "score", "pos", "neg").unionByName(zeros)
     bounds = _range_bounds(entries.where(F.col("score").isNotNull()), "score", rows_per_range)
-    per_class = _areas(present, "score", both, bounds)
+    # Training and test rows, or whatever few groups there are, times classes.
+    most_groups = None
+    if bounds is not None:
+        most_groups = classes * (known.select(*groups).distinct().limit(BROADCAST_RANGES).count() if groups else 1)
+    per_class = _areas(present, "score", both, bounds, most_groups)
     return per_class.groupBy(*groups).agg(
         F.round(F.when(F.count("roc_auc") == classes, F.avg("roc_auc")), 6).alias("roc_auc")
     )

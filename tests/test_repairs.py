@@ -130,3 +130,14 @@ def test_wide_duplicates(spark, frame):
     df = frame("a int, b double, c string, d string, e string", *rows)
     assert duplicate_rows(df).first()["duplicate_row_count"] == 2
     assert duplicate_rows(df.drop("e")).first()["duplicate_row_count"] == 2
+
+
+def test_scores_stay_where_they_are_for_the_totals_of_ranges(spark):
+    from gridscope.operators.metrics import _areas
+
+    made = spark.range(400).selectExpr("id % 2 AS side", "id / 400 AS score", "id % 3 AS pos", "id % 5 AS neg")
+    bounds = [float("-inf"), 0.25, 0.5, 0.75, float("inf")]
+    moved, stays = (_areas(made, "score", ["side"], bounds, most) for most in (None, 2))
+    hint = lambda df: "strategy=broadcast" in df._jdf.queryExecution().analyzed().toString()
+    assert hint(stays) and not hint(moved) and not hint(_areas(made, "score", ["side"], bounds, 50_000))
+    assert sorted(moved.collect()) == sorted(stays.collect()) == sorted(_areas(made, "score", ["side"], None).collect())
