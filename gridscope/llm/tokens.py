@@ -5,12 +5,15 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator
 from itertools import chain, repeat
 
 import numpy as np
 
 #: Words that a Python worker remembers with their ids, about 270 bytes each.
 REMEMBERED = 1_500_000
+#: New parts that are encoded in one text, so the library is asked once for all of them.
+JOINED = 64
 #: A space that a part may or may not begin with.
 _UNSURE = re.compile(r" (?![!-~\w])")
 _WORKER: dict = {}
@@ -36,13 +39,41 @@ class TextEncoder:
         self.lead = " " if keep_space else ""
         self.known: dict[str, int] = {}
         self.ids, self.starts = array("I"), array("Q", [0])
+        # What tells parts of one text apart: with spaces kept, no id but a part's first begins
+        # with one; else a digit is an id by itself, so it may stand between parts without it.
+        vocabulary = self.tokenizer.get_vocab()
+        first = [k for token, k in vocabulary.items() if token[0] == "\u0120"] if keep_space else [vocabulary.get("0</w>", -1)]
+        self.marks = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.marks[[k for k in first if k >= 0]] = True
+        self.joins = re.compile(r" [!-~\w][^ ]*" if keep_space else "[^ 0]+").fullmatch if self.marks.any() else lambda part: None
 
     def parts(self, text: str) -> list[str]:
         """The parts of a text, whose ids follow one another.
 
-        They are named without the space before them; the first part of a text, which has
-        none, is named with one.
+        They are named without the space before them; the first part of a text or line, which
+        has none, is named with one.
         """
+        if "\n" not in text:
+            return self._parts(text)
+        if not self.lead:
+            # Blanks only part words: any run of them is as good as a space.
+            text = text.replace("\n", " ").strip(" ")
+            while "  " in text:
+                text = text.replace("  ", " ")
+            return self._parts(text)
+        # A line feed between two other characters than blanks is a part by itself.
+        first, *lines = text.split("\n")
+        out, own = [], first
+        for line in lines:
+            if own and line and not own[-1].isspace() and not line[0].isspace():
+                out += self._parts(own)
+                out.append(" \n")
+                own = line
+            else:
+                own += "\n" + line
+        return out + self._parts(own)
+
+    def _parts(self, text: str) -> list[str]:
         split = text.split(" ")
         if _UNSURE.search(text):
             joined = split[:1]
@@ -57,9 +88,28 @@ class TextEncoder:
         split[0] = " " + split[0]
         return split
 
-    def _ids(self, parts: list[str]):
+    def _library(self, texts: list[str]) -> Iterator[list[int]]:
+        return (e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+
+    def _joined(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """_ids of parts that stay apart when they are encoded as one text."""
+        mark, end = ("", "") if self.lead else (" 0 ", " 0")
+        texts = [mark.join(some[k : k + JOINED]) + end for k in range(0, len(some), JOINED)]
+        ids = np.fromiter(chain.from_iterable(self._library(texts)), np.uint32)
+        marks = np.flatnonzero(self.marks[ids])
+        if self.lead:
+            return ids, np.diff(marks, append=len(ids))
+        return np.delete(ids, marks), np.diff(marks, prepend=-1) - 1
+
+    def _ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """The ids of all parts in a row, how many each has, and the parts in that order."""
         some = [p[1:] if p[0] == " " else self.lead + p for p in parts]
-        return (e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))
+        alike = [bool(self.joins(p)) for p in some]
+        ids, sizes = self._joined([p for p, a in zip(some, alike) if a])
+        own = list(self._library([p for p, a in zip(some, alike) if not a]))
+        ids = np.concatenate([ids, np.fromiter(chain.from_iterable(own), np.uint32)])
+        sizes = np.concatenate([sizes, np.array([len(x) for x in own], np.int64)])
+        return ids, sizes, [p for a in (True, False) for p, b in zip(parts, alike) if a == b]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -72,16 +122,18 @@ class TextEncoder:
         # What the memory has no room for is known for these texts only.
         room = max(0, self.remembered - kept)
         ids, starts = self.ids, self.starts
-        more = dict(zip(new, range(kept, kept + len(new))))
+        more: dict[str, int] = {}
         for at in [*range(0, room, 4096), *range(room, len(new), 4096)]:
             if at >= len(new):
                 break
             if at == room:
                 ids, starts = array("I", ids), array("Q", starts)
-            for own in self._ids(new[at : min(at + 4096, room if at < room else len(new))]):
-                ids.extend(own)
-                starts.append(len(ids))
-        self.known.update(zip(new[:room], range(kept, kept + room)))
+            own, sizes, named = self._ids(new[at : min(at + 4096, room if at < room else len(new))])
+            more.update(zip(named, range(kept + at, kept + at + len(named))))
+            if at < room:
+                self.known.update(zip(named, range(kept + at, kept + at + len(named))))
+            starts.frombytes((starts[-1] + np.cumsum(sizes)).astype(np.uint64).tobytes())
+            ids.frombytes(own.tobytes())
         codes[missing] = [more[flat[i]] for i in missing]
         bounds = np.array(starts, np.int64)
         sizes = (bounds[1:] - bounds[:-1])[codes]

@@ -2,6 +2,8 @@
 
 import zlib
 
+import random
+
 import numpy as np
 import pytest
 
@@ -71,3 +73,25 @@ def test_nulls_ties_and_other_columns(spark, frame):
     got = sorted((tuple(r) for r in token_file_digest(docs).collect()), key=lambda r: r[1])
     assert got == expected(rows)
     assert token_file_digest(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("name, keep", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_new_words_are_asked_for_together(name, keep):
+    """Many new words are one text of the library, lines are parts, and odd texts keep their ids."""
+    encoder = TextEncoder(tokenizer_file(name), keep)
+    library, asked = encoder.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Counting()
+    draw = random.Random(3)
+    odd = ["".join(draw.choices("ab0 \n\n  .'sAΣé́　\t\r\x1cĠ1", k=draw.randrange(30))) for _ in range(500)]
+    plain = ["\n".join(" ".join(f"w{draw.randrange(1, 10)}x{k}y{j}." for j in range(1, 9)) for k in range(1, 9)) for _ in range(20)]
+    for texts in (odd, plain):
+        asked.clear()
+        want = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in encoder.encode(texts)] == want
+    assert len(asked) < len({w for t in plain for w in t.split()}) / 5
