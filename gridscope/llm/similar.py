@@ -37,8 +37,6 @@ AT_ONCE = 32
 #: both texts only parities count.
 PRINTS, MOST_BITS, MOST_FEW = 4, 66, 160
 PIVOTS = 8
-#: Bits of the first 64 that near duplicates may differ in: 10 on average with a deviation of 3.
-MOST_FIRST = 28
 #: 64-bit words of the parities.
 PARITIES = 8
 #: Texts of a bucket in one block; larger buckets are compared block by block.
@@ -182,13 +180,6 @@ def may_overlap(a: str, b: str, least: float) -> Column:
     )
 
 
-def may_begin(a: str, b: str, least: float) -> Column:
-    """What of may_overlap can be told from the sizes and the first 64 bits (first) of two sides."""
-    n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
-    differing = F.bit_count(F.col(f"{a}.first").bitwiseXOR(F.col(f"{b}.first")))
-    return (F.least(n_a, n_b) >= least * F.greatest(n_a, n_b) - 1e-6) & ((n_a + n_b < MOST_FEW) | (differing <= MOST_FIRST))
-
-
 def overlapping(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) of nodes whose texts (node, text) overlap by least or more."""
 
@@ -237,29 +228,38 @@ def similar_links(met: DataFrame, sketch: DataFrame, texts_of_nodes: Callable[[D
     texts_of_nodes gives (node, text) for a table of nodes; only texts of pairs that the
     sketches leave are asked for.
 
-    First every node is compared with the smallest of each of its buckets, so a group of near
-    copies costs rows by its size, not by pairs. Nodes of a bucket that are still apart have
+    Nodes are compared with the smallest of their buckets, by sketches that are in the buckets'
+    rows, so no row is made per pair that these tell apart. The texts are compared first with the
+    one that shares most buckets, then with those that this leaves in other components: a group of
+    near copies costs a pair per node, not per bucket. Nodes of a bucket that are still apart have
     their sketches compared, and the pairs that these leave are verified.
     """
-    low = met.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "low")
-    met = stored(met.join(low, "key").select("key", "node", "low"))
-    to_low = met.filter("node != low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
-    # Most pairs end at two numbers, before the whole sketches are joined.
-    for side in ("a", "b"):
-        to_low = to_low.join(sketch.select(F.col("node").alias(side), F.struct("n", F.col("prints")[0].alias("first")).alias(f"at_{side}")), side)
-    to_low = stored(to_low.filter(may_begin("at_a", "at_b", least)).select("a", "b"))
+    own = F.struct("node", "n", "pivots", "prints", "parities")
+    low = met.groupBy("key").agg(F.min("node").alias("node")).join(sketch, "node").select("key", own.alias("at_b"))
+    near = met.join(sketch, "node").select("key", own.alias("at_a")).join(low, "key").filter((F.col("at_a.node") != F.col("at_b.node")) & may_overlap("at_a", "at_b", least))
+    to_low = stored(near.groupBy(F.col("at_a.node").alias("a"), F.col("at_b.node").alias("b")).agg(F.count(F.lit(1)).alias("shared")))
+    most = to_low.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("b"))).alias("most")).select("a", (-F.col("most.b")).alias("b"))
+    links = stored(overlapping(most, texts_of_nodes(either(most)), least))
+    nodes = sketch.select("node")
+    root, others = roots_of(nodes, links), to_low.select("a", "b")
     for side in ("a", "b"):
-        to_low = to_low.join(sketch.select(F.col("node").alias(side), F.struct("n", "pivots", "prints", "parities").alias(f"at_{side}")), side)
-    to_low = stored(to_low.filter(may_overlap("at_a", "at_b", least)).select("a", "b"))
-    links = stored(overlapping(to_low, texts_of_nodes(either(to_low)), least))
-    member = with_roots(components(links))
-    rooted = stored(met.join(member, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
-    further = stored(apart_pairs(rooted, sketch, least).join(to_low, ["a", "b"], "left_anti"))
+        others = others.join(root.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side)
+    # The first pairs are linked already, or not near.
+    others = stored(others.filter("root_a != root_b").select("a", "b").join(most, ["a", "b"], "left_anti"))
+    links = stored(links.union(overlapping(others, texts_of_nodes(either(others)), least)))
+    rooted = stored(met.join(roots_of(nodes, links), "node").select("key", "node", "root"))
+    further = stored(apart_pairs(rooted, sketch, least).join(to_low.select("a", "b"), ["a", "b"], "left_anti"))
     if further.isEmpty():
         return links
     return links.union(overlapping(further, texts_of_nodes(either(further)), least))
 
 
+def roots_of(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of all nodes: the smallest node reachable over links, itself without any."""
+    member = with_roots(components(links))
+    return stored(nodes.join(member, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+
+
 def either(pairs: DataFrame) -> DataFrame:
     """The nodes of pairs (a, b)."""
     return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()

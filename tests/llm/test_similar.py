@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from corpus_pipeline import simhash_dedup
+from gridscope.llm import similar
 from gridscope.llm.common import stored
 from gridscope.llm.similar import Signer, apart_pairs, cells, reference_fingerprints, shingles, signed, sketches, without_similar
 
@@ -147,3 +148,14 @@ def test_near_texts_meet_at_the_same_pivots():
     assert (first == np.roll(first, 1, axis=0)).any(axis=1).mean() < 0.01
     # Of any batch the same.
     assert (cells(np.array([pairs[7][0]]), pivots) == first[7]).all()
+
+
+def test_a_group_of_near_copies_costs_a_pair_per_text(spark, frame, monkeypatch):
+    """Texts are compared with the one they share most buckets with, and further only where that left them apart."""
+    compared = []
+    check = similar.overlapping
+    monkeypatch.setattr(similar, "overlapping", lambda pairs, *more: compared.append(pairs.count()) or check(pairs, *more))
+    rows = group(60, 1)
+    want, _ = plain_kept(rows)
+    assert {r["doc_id"] for r in without_similar(frame("doc_id long, text string", *rows)).collect()} == want and len(want) < 5
+    assert sum(compared) <= 2 * len(rows)
