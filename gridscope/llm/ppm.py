@@ -18,20 +18,24 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridscope.llm.common import PIECE_CHARS, fold_of, lower_ascii, pieces, records, stored
+from gridscope.llm.common import PIECE_CHARS, fold_of, pieces, records, stored
 
 ORDER = 5
 HELD_OUT_FOLD = 1
 #: Entries with at least total / FREQUENT occurrences are broadcast: at most FREQUENT of them.
 FREQUENT = 4_000_000
-#: Characters that are counted together before rows leave a task.
-COUNTED_CHARS = 2_500_000
+#: Characters that are counted at once, and distinct words or strings after which rows leave a task.
+COUNTED_CHARS, MOST_COUNTED = 1_000_000, 2_000_000
+#: Characters of texts that are scored at once.
+SCORED_CHARS = 1_000_000
+#: Texts of a portion: a string's 48 bits and a text's number are one number of 63 bits.
+TEXT_BITS = 15
+MOST_TEXTS = 1 << TEXT_BITS
 WORDS, STRINGS, DOCUMENT = 1, 2, 0
 END_WORD = b" "
 
@@ -45,9 +49,9 @@ def word_key(word: bytes) -> int:
 def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes], list[list[bytes]]]:
     """Owner and code of each token (the end included), the distinct tokens, and the tokens.
 
-    Splitting bytes goes by the six characters that part words, no others.
+    Bytes are put in lower case for A-Z only, and split by the six characters that part words.
     """
-    split = [[*t.encode().split(), END_WORD] for t in texts]
+    split = [[*t.encode().lower().split(), END_WORD] for t in texts]
     flat = list(chain.from_iterable(split))
     first: dict[bytes, int] = {}
     at = np.fromiter(map(first.setdefault, flat, range(len(flat))), np.int64, len(flat))
@@ -57,58 +61,99 @@ def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes], list[
 
 
 def _strings(split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Owner and six-byte string (as a number) of each byte of the texts, and of their ends.
+    """The six-byte string (as a number) of each byte of the texts and of their ends, text by text,
+    and how many each text has.
 
     A text is its words with single spaces; five zero bytes stand before it, one after it.
     """
     joined = [b" ".join(s[:-1]) for s in split]
     sizes = np.array([len(j) + 1 for j in joined], np.int64)
-    data = np.frombuffer(b"\0" * ORDER + (b"\0" * (ORDER + 1)).join(joined) + b"\0", np.uint8).astype(np.int64)
-    codes = data[: len(data) - ORDER].copy()
+    data = np.frombuffer(b"\0" * ORDER + (b"\0" * (ORDER + 1)).join(joined) + b"\0", np.uint8)
+    codes = data[: len(data) - ORDER].astype(np.int64)
     for k in range(1, ORDER + 1):
         codes <<= 8
         codes |= data[k : len(data) - ORDER + k]
-    # codes[i] predicts byte i + ORDER; each text is ORDER + 1 + its length apart.
-    ends = np.cumsum(sizes + ORDER) - ORDER
-    where = np.arange(int(sizes.sum())) + np.repeat(ends - sizes - (np.cumsum(sizes) - sizes), sizes)
-    return np.repeat(np.arange(len(split)), sizes), codes[where]
+    # codes[i] predicts byte i + ORDER; between two texts stand ORDER that predict none.
+    spans = np.full((len(split), 2), ORDER, np.int64)
+    spans[:, 0] = sizes
+    inside = np.repeat(np.tile([True, False], len(split)), spans.reshape(-1))[: len(codes)]
+    return codes[inside], sizes
 
 
 def _portions(split: list[list[bytes]], limit: int = PIECE_CHARS) -> Iterator[slice]:
-    """Slices of the texts with about limit bytes each, for what needs memory per byte."""
+    """Slices of at most MOST_TEXTS texts with about limit bytes, for what needs memory per byte."""
     first, size = 0, 0
     for k, words in enumerate(split):
         size += sum(map(len, words)) + len(words)
-        if size >= limit or k == len(split) - 1:
+        if size >= limit or k == len(split) - 1 or k - first + 1 == MOST_TEXTS:
             yield slice(first, k + 1)
             first, size = k + 1, 0
 
 
+def _begins(ordered: np.ndarray) -> np.ndarray:
+    """Where a new value begins."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1]]))
+
+
+def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, ascending, and how often each comes; values are put in order."""
+    values.sort()
+    at = _begins(values)
+    return values[at], np.diff(at, append=len(values))
+
+
+def _added(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two tables of values and counts as one, ascending."""
+    values, counts = (np.concatenate(pair) for pair in zip(one, other))
+    # Stable sorting merges what is in order already.
+    order = np.argsort(values, kind="stable")
+    values, counts = values[order], counts[order]
+    at = _begins(values)
+    return values[at], np.add.reduceat(counts, at) if len(at) else counts
+
+
 def corpus_counts(docs: DataFrame) -> DataFrame:
     """(kind, key, train, total): occurrences of words and six-byte strings.
 
     docs: (uid, doc_id, train, text). Words are counted in training texts only.
     """
     kinds = {"kind": pa.int8(), "key": pa.int64(), "train": pa.int64(), "total": pa.int64()}
+    none = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def strings_of(found: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        """From counts of strings times two, plus one in training texts."""
+        names, at = found[0] >> 1, _begins(found[0] >> 1)
+        sums = [np.add.reduceat(n, at) if len(at) else n for n in (found[1] * (found[0] & 1), found[1])]
+        return records(kinds, [np.full(len(at), STRINGS, np.int8), names[at], *sums])
+
+    def words_of(found: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        return records(kinds, [np.full(len(found[0]), WORDS, np.int8), found[0], found[1], found[1]])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_words, all_strings = none, none
         for some in pieces(batches, COUNTED_CHARS):
             train = np.array([r[0] for r in some], bool)
             owner, codes, names, split = _words([r[-1] for r in some])
+            del some
             seen = np.bincount(codes[train[owner]], minlength=len(names))
             used = np.flatnonzero(seen)
-            keys = [word_key(names[i]) for i in used.tolist()]
-            yield records(kinds, [np.full(len(used), WORDS, np.int8), keys, seen[used], seen[used]])
+            keys = np.array([word_key(names[i]) for i in used.tolist()], np.int64)
+            all_words = _added(all_words, (keys, seen[used]))
             # Only the tokens are needed from here on.
             del owner, codes, names, used, keys, seen
-            found = []
             for part in _portions(split):
-                owner, strings = _strings(split[part])
-                codes, names = pd.factorize(strings)
-                found.append((names, np.bincount(codes[train[part][owner]], minlength=len(names)), np.bincount(codes, minlength=len(names))))
-            names, train_n, all_n = map(np.concatenate, zip(*found))
-            codes, names = pd.factorize(names)
-            yield records(kinds, [np.full(len(names), STRINGS, np.int8), names, np.bincount(codes, train_n).astype(np.int64), np.bincount(codes, all_n).astype(np.int64)])
+                strings, sizes = _strings(split[part])
+                strings <<= 1
+                strings |= np.repeat(train[part], sizes)
+                all_strings = _added(all_strings, _counted(strings))
+            if len(all_words[0]) >= MOST_COUNTED:
+                yield words_of(all_words)
+                all_words = none
+            if len(all_strings[0]) >= MOST_COUNTED:
+                yield strings_of(all_strings)
+                all_strings = none
+        yield words_of(all_words)
+        yield strings_of(all_strings)
 
     rows = docs.select("train", "text").mapInArrow(count, "kind byte, key long, train long, total long")
     return rows.groupBy("kind", "key").agg(F.sum("train").alias("train"), F.sum("total").alias("total"))
@@ -225,7 +270,7 @@ def language_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str
         F.monotonically_increasing_id().alias("uid"),
         F.col(id_column).cast("long").alias("doc_id"),
         (fold != HELD_OUT_FOLD).alias("train"),
-        lower_ascii(F.col(text_column)).alias("text"),
+        F.col(text_column).alias("text"),
     )
     counts = stored(corpus_counts(rows))
     facts = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("train").alias("n"), F.count(F.lit(1)).alias("v"), F.sum("total").alias("all")).collect()}
@@ -241,37 +286,44 @@ def language_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str
         "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(),
     }
 
-    def rare(some, owner, codes, names, known, kind):
+    def rare(uid, keys, n, kind):
         """Rows for the entries that aren't frequent, counted per text."""
-        at = np.flatnonzero(~known[codes])
-        which, n = np.unique(owner[at] * len(names) + codes[at], return_counts=True)
-        uid = np.array([r[0] for r in some], np.int64)[which // max(1, len(names))]
         none = np.zeros(len(n))
         return records(
             kinds,
-            [uid, pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.bool_()), np.full(len(n), kind, np.int8), names[which % max(1, len(names))], n, none.astype(np.int64), none, none],
+            [uid, pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.bool_()), np.full(len(n), kind, np.int8), keys, n, none.astype(np.int64), none, none],
         )
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_often, strings_often = shared.value
-        for some in pieces(batches):
+        for some in pieces(batches, SCORED_CHARS):
+            uid, doc_id, held = (list(c) for c in list(zip(*some))[:3])
+            uid, docs_n = np.array(uid, np.int64), len(some)
             owner, codes, names, split = _words([r[-1] for r in some])
+            del some
             names = np.array([word_key(w) for w in names], np.int64)
             found = _looked_up(names, words_often)
             known, gain = ~np.isnan(found), np.log10((np.nan_to_num(found) + 0.5) / scale)
             own = known[codes]
-            docs_n = len(some)
             size, met = np.bincount(owner, minlength=docs_n), np.bincount(owner[own], minlength=docs_n)
             base = np.bincount(owner[own], gain[codes[own]], minlength=docs_n)
-            yield rare(some, owner, codes, names, known, WORDS)
-            owner, strings = _strings(split)
-            codes, names = pd.factorize(strings)
-            found = _looked_up(names, strings_often)
-            known = ~np.isnan(found)
-            own = known[codes]
-            score = np.bincount(owner[own], found[codes[own]], minlength=docs_n)
-            yield rare(some, owner, codes, names, known, STRINGS)
-            uid, doc_id, held = ([r[k] for r in some] for k in range(3))
+            which, n = _counted(owner[~own] * len(names) + codes[~own])
+            yield rare(uid[which // max(1, len(names))], names[which % max(1, len(names))], n, WORDS)
+            del owner, codes, names, found, known, gain, own, which, n
+            score = np.zeros(docs_n)
+            for part in _portions(split):
+                strings, sizes = _strings(split[part])
+                strings <<= TEXT_BITS
+                strings |= np.repeat(np.arange(len(sizes)), sizes)
+                which, n = _counted(strings)
+                del strings
+                owner, names = (which & (MOST_TEXTS - 1)) + part.start, which >> TEXT_BITS
+                # Strings are in order, so each is looked up once.
+                at = _begins(names)
+                found = np.repeat(_looked_up(names[at], strings_often), np.diff(at, append=len(names)))
+                known = ~np.isnan(found)
+                score += np.bincount(owner[known], found[known] * n[known], docs_n)
+                yield rare(uid[owner[~known]], names[~known], n[~known], STRINGS)
             yield records(kinds, [uid, doc_id, held, np.full(docs_n, DOCUMENT, np.int8), uid, size, met, base, score])
 
     schema = "uid long, doc_id long, held_out boolean, kind byte, key long, n long, n_known long, base double, score double"

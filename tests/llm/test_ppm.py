@@ -107,3 +107,18 @@ def test_probabilities_of_a_context_sum_to_one():
         p = 10 ** string_probabilities(every, train, pairs)
         assert p[np.searchsorted(every, asked)].sum() == pytest.approx(1, abs=1e-9)
     assert P.word_key(b"a") != P.word_key(b"b")
+
+
+def test_strings_are_counted_in_order_and_added():
+    """Counts of several pieces are one ascending table; each text has a string per byte and one for its end."""
+    texts = ["ab ab", "", "  Éa\tB ", "ab ab"]
+    split = P._words(texts)[-1]
+    strings, sizes = P._strings(split)
+    plain = [b"\0" * 5 + " ".join(words(t)).encode() + b"\0" for t in texts]
+    want = [int.from_bytes(x[i : i + 6], "big") for x in plain for i in range(len(x) - 5)]
+    assert strings.tolist() == want and sizes.tolist() == [len(x) - 5 for x in plain]
+    half = np.array(want[:7], np.int64), np.array(want[7:], np.int64)
+    names, n = P._added(*(P._counted(x) for x in half))
+    assert dict(zip(names.tolist(), n.tolist())) == Counter(want) and names.tolist() == sorted(set(want))
+    many = [[P.END_WORD]] * (P.MOST_TEXTS + 1)
+    assert [x.stop - x.start for x in P._portions(many)] == [P.MOST_TEXTS, 1]
