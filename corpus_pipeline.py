@@ -20,6 +20,10 @@ from gridscope.llm.toxicity import without_toxic
 #: several times at once: in the JVM, in the worker as it came, and as Python's own texts.
 BATCH_ROWS, BATCH_SETTING = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
+#: A stage stores its tables, so shuffle files are of no use once a table is written. Without this
+#: they stay until the driver happens to collect its garbage.
+CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Words whose ids a worker remembers, some 110 MB; it keeps them when later work needs its memory.
 REMEMBERED = 400_000
 
@@ -27,12 +31,14 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def in_small_batches(stage: Stage) -> Stage:
-    """The stage, with at most BATCH_ROWS rows in a batch from then on, as its table is written later."""
+    """The stage, with at most BATCH_ROWS rows in a batch and shuffle files removed with the query
+    that wrote them, from then on, as its table is written later."""
 
     @functools.wraps(stage)
     def limited(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
             spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+        spark.conf.set(CLEANUP_SETTING, "true")
         return stage(spark, docs, sf_dir)
 
     return limited
@@ -84,11 +90,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is Parquet in a new folder of the shared folder.
 
     A stage's result is removed once the next one is written; the last is the caller's to remove.
-    The session's size of batches is as before at the end.
+    The session's size of batches and handling of shuffle files are as before at the end.
     """
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs, before = load(spark, sf_dir, "documents"), None
-    batch_rows = spark.conf.get(BATCH_SETTING)
+    before_run = {name: spark.conf.get(name, None) for name in (BATCH_SETTING, CLEANUP_SETTING)}
     try:
         for number, (name, stage) in enumerate(STAGES):
             path = f"{folder}/{number}-{name}"
@@ -98,5 +104,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
                 remove_folder(spark, before)
             before = path
     finally:
-        spark.conf.set(BATCH_SETTING, batch_rows)
+        for name, value in before_run.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     return docs

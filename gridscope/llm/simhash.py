@@ -139,29 +139,33 @@ def linked_pairs(prints: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     return joined.select("number", F.col("a.fingerprint").alias("a"), F.col("b.fingerprint").alias("b"))
 
 
+def are_stars(links: DataFrame) -> bool:
+    """Whether each node with links (a, b), a > b, has either one link down or only links up."""
+    end = lambda node, down, up: F.struct(F.col(node).alias("node"), F.lit(down).alias("down"), F.lit(up).alias("up"))
+    sides = links.select(F.explode(F.array(end("a", 1, 0), end("b", 0, 1))).alias("end")).groupBy("end.node").agg(F.sum("end.down").alias("down"), F.max("end.up").alias("up"))
+    return not sides.agg(F.max((F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0)))).first()[0]
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable over links (a, b), for nodes with a link.
 
     Rounds of two steps: neighbours above a node point to the smallest one near it, then the
-    node and its lower neighbours do. Grouped minima and equal joins only; a node with very
-    many links is a skewed join side, which Spark may split. Each round is stored, so the
-    lineage stays short; the number of rounds grows with the logarithm of the longest chain.
+    node and its lower neighbours do. Grouped minima and equal joins only. Each round is stored,
+    so the lineage stays short; the number of rounds grows with the logarithm of the longest
+    chain. Stars are the end, which a look at the links' ends tells without a further round.
     """
     now = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
-    before = None
-    while True:
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    while not are_stars(now):
+        up = now.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        both = now.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("link")).select("link.*")
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # At most a row per link, repeats included.
+        large = up.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Small step: each node's links go down only.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        down = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b")
-        now = stored(down.union(least.select("a", F.col("m").alias("b"))).distinct())
-        # Changes are told by a sum of row hashes and the number of rows.
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = state
+        down = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
+        now = stored(large.join(least, "a").select(down.alias("link")).select("link.*").filter("a != b").distinct())
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, most_bits: int = MOST_BITS) -> DataFrame:

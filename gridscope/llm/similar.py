@@ -222,8 +222,9 @@ def apart_pairs(rooted: DataFrame, sketch: DataFrame, least: float, block: int =
     return met.select(F.greatest(first, second).alias("a"), F.least(first, second).alias("b")).distinct()
 
 
-def similar_links(met: DataFrame, sketch: DataFrame, texts_of_nodes: Callable[[DataFrame], DataFrame], least: float = LEAST_OVERLAP) -> DataFrame:
-    """Links (a, b) that join all nodes meeting in a bucket (key, node) at least or more.
+def similar_roots(met: DataFrame, sketch: DataFrame, texts_of_nodes: Callable[[DataFrame], DataFrame], least: float = LEAST_OVERLAP) -> DataFrame:
+    """(node, root) of all nodes of sketch, over links that join all nodes meeting in a bucket
+    (key, node) at least or more: the smallest node reachable.
 
     texts_of_nodes gives (node, text) for a table of nodes; only texts of pairs that the
     sketches leave are asked for.
@@ -240,18 +241,17 @@ def similar_links(met: DataFrame, sketch: DataFrame, texts_of_nodes: Callable[[D
     to_low = stored(near.groupBy(F.col("at_a.node").alias("a"), F.col("at_b.node").alias("b")).agg(F.count(F.lit(1)).alias("shared")))
     most = to_low.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("b"))).alias("most")).select("a", (-F.col("most.b")).alias("b"))
     links = stored(overlapping(most, texts_of_nodes(either(most)), least))
-    nodes = sketch.select("node")
-    root, others = roots_of(nodes, links), to_low.select("a", "b")
+    root, others = roots_of(sketch.select("node"), links), to_low.select("a", "b")
     for side in ("a", "b"):
         others = others.join(root.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side)
     # The first pairs are linked already, or not near.
     others = stored(others.filter("root_a != root_b").select("a", "b").join(most, ["a", "b"], "left_anti"))
-    links = stored(links.union(overlapping(others, texts_of_nodes(either(others)), least)))
-    rooted = stored(met.join(roots_of(nodes, links), "node").select("key", "node", "root"))
+    root = with_links(root, stored(overlapping(others, texts_of_nodes(either(others)), least)))
+    rooted = stored(met.join(root, "node").select("key", "node", "root"))
     further = stored(apart_pairs(rooted, sketch, least).join(to_low.select("a", "b"), ["a", "b"], "left_anti"))
     if further.isEmpty():
-        return links
-    return links.union(overlapping(further, texts_of_nodes(either(further)), least))
+        return root
+    return with_links(root, stored(overlapping(further, texts_of_nodes(either(further)), least)))
 
 
 def roots_of(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -260,6 +260,17 @@ def roots_of(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return stored(nodes.join(member, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
 
 
+def with_links(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The (node, root) of all nodes when links (a, b) are added: only the roots they join are looked at again."""
+    if links.isEmpty():
+        return roots
+    for side in ("a", "b"):
+        links = links.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side)
+    joined = components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    joined = joined.select(F.col("node").alias("root"), F.col("root").alias("lower"))
+    return stored(roots.join(joined, "root", "left").select("node", F.coalesce("lower", "root").alias("root")))
+
+
 def either(pairs: DataFrame) -> DataFrame:
     """The nodes of pairs (a, b)."""
     return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
@@ -293,7 +304,7 @@ def without_similar(docs: DataFrame, least: float = LEAST_OVERLAP, id_column: st
         # Equal rows have one text.
         return stored(texts.select("node", "text").dropDuplicates(["node"]))
 
-    member = with_roots(components(similar_links(met, stored(sketches(own)), texts_of_nodes, least)))
+    member = similar_roots(met, stored(sketches(own)), texts_of_nodes, least)
     found = classes.select("node", "first.no_id", "first.doc_id", "first.key_1", "first.key_2").join(member, "node", "left")
     stays = found.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("no_id", "doc_id", "key_1", "key_2")).alias("first"))
     stays = stays.select("first.key_1", "first.key_2")

@@ -93,3 +93,17 @@ def test_python_workers_get_small_batches(spark, table):
                 assert spark.conf.get(setting) == want
     finally:
         spark.conf.set(setting, before)
+
+
+def test_shuffle_files_go_with_their_query(spark, table):
+    setting = corpus_pipeline.CLEANUP_SETTING
+    spark.conf.unset(setting)
+    try:
+        for _, stage in STAGES[1:]:
+            stage(spark, table("documents").limit(1), DATA)
+            assert spark.conf.get(setting) == "true"
+            spark.conf.unset(setting)
+        run(spark, DATA)
+        assert spark.conf.get(setting, "false") == "false"
+    finally:
+        spark.conf.unset(setting)

@@ -89,3 +89,18 @@ def test_shingles_follow_the_hash_of_spark(spark, frame):
     docs = frame("doc_id long, text string", (1, "alpha beta Gamma"))
     (row,) = fingerprints(docs).collect()
     assert row["prints"][0] == docs.select(F.xxhash64(F.lit("alpha beta gamma")).alias("h")).first()["h"]
+
+
+def test_components_of_stars_take_no_round(spark, frame, monkeypatch):
+    """A graph that is stars already is stored once; further links are only looked at by their roots."""
+    from gridscope.llm import simhash, similar
+
+    made, store = [], simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df: made.append(df) or store(df))
+    links = frame("a long, b long", *((9 + k, 1 + k % 2) for k in range(40)))
+    assert {r["node"]: r["root"] for r in components(links).collect()} == {9 + k: 1 + k % 2 for k in range(40)}
+    assert len(made) == 1
+    roots = similar.roots_of(frame("node long", *range(1, 60)), links)
+    got = {r["node"]: r["root"] for r in similar.with_links(roots, frame("a long, b long", (10, 13), (48, 50), (3, 51))).collect()}
+    assert got == {n: n for n in range(1, 60)} | {9 + k: 1 for k in range(40)} | {2: 1, 50: 1, 51: 3}
+    assert similar.with_links(roots, frame("a long, b long", (9, 10)).limit(0)) is roots
