@@ -91,7 +91,10 @@ def weights(counts: dict[int, int], weight: np.ndarray) -> tuple[np.ndarray, np.
 
 def _spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """begins[0], begins[0] + 1, ... sizes[0] times, then the same for the next."""
-    return np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+    ends = sizes.cumsum()
+    out = (begins - ends + sizes).repeat(sizes)
+    out += np.arange(len(out))
+    return out
 
 
 class BlockMaxIndex:
@@ -115,11 +118,12 @@ class BlockMaxIndex:
 
     def nearest(self, terms: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the k largest cosines above zero and all that equal the last; best first."""
-        begins = self.first_block[terms]
-        sizes = self.first_block[terms + 1] - begins
-        at, value = _spread(begins, sizes), np.repeat(values, sizes)
-        block = self.block[at]
-        bound = np.bincount(block, value * self.most[at], self.blocks)
+        # take() gives what an index in brackets does, in less time.
+        begins = self.first_block.take(terms)
+        sizes = self.first_block.take(terms + 1) - begins
+        at, value = _spread(begins, sizes), values.repeat(sizes)
+        block = self.block.take(at)
+        bound = np.bincount(block, value * self.most.take(at), self.blocks)
         line = np.argsort(-bound, kind="stable")
         line = line[bound[line] > 0]
         owners, cosines = [np.empty(0, np.int64)], [np.empty(0)]
@@ -127,13 +131,14 @@ class BlockMaxIndex:
         while done < len(line) and bound[line[done]] >= least - EQUAL:
             wanted = np.zeros(self.blocks, bool)
             wanted[line[done:last]] = True
-            on = np.flatnonzero(wanted[block])
-            first = self.begin[at[on]]
-            many = self.begin[at[on] + 1] - first
+            on = wanted.take(block).nonzero()[0]
+            entry = at.take(on)
+            first = self.begin.take(entry)
+            many = self.begin.take(entry + 1) - first
             posting = _spread(first, many)
             # An example's terms are added up in their order, however its block was reached.
-            score = np.bincount(self.owner[posting], self.weight[posting] * np.repeat(value[on], many), self.size)
-            found = np.flatnonzero(score)
+            score = np.bincount(self.owner.take(posting), self.weight.take(posting) * value.take(on).repeat(many), self.size)
+            found = score.nonzero()[0]
             owners.append(found)
             cosines.append(score[found])
             all_ = np.concatenate(cosines)

@@ -196,3 +196,23 @@ def test_bound_on_examples_holds_for_repeated_ids(spark, frame):
     labels = frame("doc_id long, toxic int", *[(k, k % 2) for k in range(40)])
     model = fit_toxicity(frame("doc_id long, text string", *rows), labels, most_examples=10)
     assert len(model.ids) == 10 == len(set(model.ids.tolist()))
+
+
+def test_nearest_adds_up_terms_in_their_order():
+    """Cosines are, bit for bit, the sums of an example's terms in ascending order."""
+    import numpy as np
+
+    from gridscope.llm.toxicity import BlockMaxIndex
+
+    draw = np.random.default_rng(3)
+    dense = draw.random((300, 40)) * (draw.random((300, 40)) < 0.3)
+    owner, term = dense.nonzero()
+    index = BlockMaxIndex(owner, term, dense[owner, term], 300, 40)
+    for _ in range(20):
+        terms = np.sort(draw.choice(40, 12, replace=False))
+        values = draw.random(12)
+        sums = np.zeros(300)
+        for t, v in zip(terms, values):
+            sums += dense[:, t] * v
+        near, cosines = index.nearest(terms, values, 15)
+        assert (cosines == sums[near]).all() and set(near[:15]) == set(np.argsort(-sums, kind="stable")[:15])
