@@ -27,6 +27,7 @@ from gridscope.operators.features import (
     class_weights,
     fit_preprocessing,
 )
+from gridscope.operators.forest import ForestSettings, HistogramForest, HistogramForestModel
 from gridscope.operators.metrics import (
     best_experiment,
     classification_metrics,
@@ -47,7 +48,10 @@ DEEPEST_TREE = 30
 BOOSTING_LEAF = 20
 STATISTICS_L2 = 3.0
 STOPPING_SHARE = 10
-#: Learned rows of a task of a forest. Every task sends histograms of all nodes of a level, so
+#: Learned rows, and leaves of all trees, up to which a forest is Spark's, which takes the cuts of
+#: more rows from 10,000 of them and holds all trees on the driver.
+SPARK_ROWS, SPARK_LEAVES = 10_000, 20_000
+#: Learned rows of a task of Spark's forest. Every task sends histograms of all nodes of a level, so
 #: few tasks are less work; more rows are more tasks, and none holds more.
 FOREST_ROWS = 250_000
 
@@ -70,6 +74,8 @@ class TrainingFacts:
     max_categories: int
     early_stopping: float | None = None
     slots: dict[int, int] = field(default_factory=dict)
+    # Per class what a training row weighs if classes are balanced.
+    weights: list[float] = field(default_factory=list)
 
 
 def _ridge(params: dict, facts: TrainingFacts) -> Estimator:
@@ -106,6 +112,20 @@ def _forest_regressor(params: dict, facts: TrainingFacts) -> Estimator:
     )
 
 
+def _own_forest(params: dict, facts: TrainingFacts) -> HistogramForest:
+    given = {RENAMED.get(name, name): value for name, value in params.items()}
+    settings = ForestSettings(
+        facts.classes,
+        trees=int(given.get("numTrees", 20)),
+        depth=given.get("maxDepth"),
+        least_rows=int(given.get("minInstancesPerNode", 1)),
+        subset="sqrt" if facts.classes else "all",
+        seed=int(given.get("seed") or 0),
+        weights=facts.weights if params.get("class_weight") == "balanced" else [],
+    )
+    return HistogramForest(settings, FEATURES, LABEL, facts.slots)
+
+
 def _histograms(params: dict, facts: TrainingFacts) -> HistogramBoosting:
     # A split of one category against all others is a split of its one-hot column.
     settings = Settings(
@@ -165,10 +185,27 @@ RENAMED = {
 }
 
 
-def build_estimator(candidate: Candidate, facts: TrainingFacts) -> Estimator | HistogramBoosting:
+# What the library's own forests know of the parameters of Spark's.
+FOREST_PARAMETERS = ("numTrees", "maxDepth", "minInstancesPerNode", "seed")
+
+
+def is_own_forest(candidate: Candidate, rows: int) -> bool:
+    """Whether a forest over so many learned rows is the library's own."""
+    if candidate.model_name not in ("RandomForestClassifier", "RandomForestRegressor"):
+        return False
+    given = {RENAMED.get(name, name): value for name, value in candidate.params.items() if value is not None}
+    if any(hasattr(RandomForestRegressor, name) and name not in FOREST_PARAMETERS for name in given):
+        return False
+    leaves = min(rows, 2 ** int(given.get("maxDepth", DEEPEST_TREE)))
+    return rows > SPARK_ROWS or leaves * int(given.get("numTrees", 20)) > SPARK_LEAVES
+
+
+def build_estimator(candidate: Candidate, facts: TrainingFacts) -> Estimator | HistogramBoosting | HistogramForest:
     """The estimator of a candidate; parameters that one of Spark ML does not have are dropped."""
     if candidate.model_name not in ESTIMATORS:
         raise ModelError(f"no such model: {candidate.model_name}")
+    if is_own_forest(candidate, facts.rows):
+        return _own_forest(candidate.params, facts)
     factory, _ = ESTIMATORS[candidate.model_name]
     estimator = factory(candidate.params, facts)
     if isinstance(estimator, HistogramBoosting):
@@ -314,11 +351,11 @@ def train_candidates(
 
     if max_train_rows is not None or early_stopping is not None:
         rows = numbered_copies(rows, COPY)
-    rows, labels = _with_label(rows, target, task_type)
+    rows, labels, weights = _with_label(rows, target, task_type)
     with kept(rows) as rows:
         records, models = _run(
             rows, [c for c in rows.columns if c not in (LABEL, WEIGHT)], features, candidates,
-            task_type, labels, overrides or {}, plan, seed, max_train_rows, early_stopping,
+            task_type, labels, weights, overrides or {}, plan, seed, max_train_rows, early_stopping,
         )
 
     experiments = experiment_table(spark, records)
@@ -336,11 +373,11 @@ def train_candidates(
 
 def _with_label(
     rows: DataFrame, target: str, task_type: str
-) -> tuple[DataFrame, list[str]]:
+) -> tuple[DataFrame, list[str], list[float]]:
     """Add class number and weight; numbers follow the sorted labels of all rows."""
     if task_type == "regression":
         columns = {LABEL: F.col(quoted(target)).cast("double"), WEIGHT: F.lit(1.0)}
-        return rows.withColumns(columns), []
+        return rows.withColumns(columns), [], []
     kind = rows.schema[target].dataType
     value = F.col(quoted(target))
     per_class = rows.groupBy(value.alias("value")).agg(
@@ -349,19 +386,20 @@ def _with_label(
     # One row per class; a classifier and its label names are on the driver anyway.
     found = per_class.orderBy("value").select("value", json_text(F.col("value"), kind).alias("text"), "n").collect()
     weights = class_weights({i: row["n"] for i, row in enumerate(found)})
+    weights = [weights.get(i, 1.0) for i in range(len(found))]
     table = local_table(
         rows.sparkSession,
-        [(row["value"], float(i), weights.get(i, 1.0)) for i, row in enumerate(found)],
+        [(row["value"], float(i), weights[i]) for i, row in enumerate(found)],
         T.StructType([T.StructField("__class", kind), T.StructField(LABEL, T.DoubleType()), T.StructField(WEIGHT, T.DoubleType())]),
     )
     # Values are joined, not their texts: 0.0 and -0.0 are one class and two texts.
     joined = rows.join(F.broadcast(table), value.eqNullSafe(F.col("__class")))
-    return joined.drop("__class"), [row["text"] for row in found]
+    return joined.drop("__class"), [row["text"] for row in found], weights
 
 
 def _run(
-    rows, hashed, features, candidates, task_type, labels, overrides, plan, seed, max_train_rows,
-    early_stopping,
+    rows, hashed, features, candidates, task_type, labels, weights, overrides, plan, seed,
+    max_train_rows, early_stopping,
 ):
     train = rows.where(F.col(SPLIT) == "train")
     if train.count() != plan.train_count:
@@ -390,12 +428,14 @@ def _run(
         else:
             try:
                 encoding = ESTIMATORS.get(candidate.model_name, (None, ONE_HOT))[1]
+                # A split of one category against all others is a split of its one-hot column.
+                encoding = INDEXED if is_own_forest(candidate, numbers["rows"]) else encoding
                 if encoding not in prepared:
                     prepared[encoding] = fit_preprocessing(
                         train, features, one_hot=encoding == ONE_HOT, encoded=encoding != STATISTICS
                     )
                 model, estimator_name, metrics = _fit_one(
-                    candidate, rows, prepared[encoding], numbers, task_type, labels, early_stopping
+                    candidate, rows, prepared[encoding], numbers, task_type, labels, weights, early_stopping
                 )
                 models[seq] = model
             except Exception as error:
@@ -412,7 +452,7 @@ def _run(
     return records, models
 
 
-def _fit_one(candidate, rows, preprocessing, numbers, task_type, labels, early_stopping):
+def _fit_one(candidate, rows, preprocessing, numbers, task_type, labels, weights, early_stopping):
     kept_columns = [LABEL, WEIGHT, SPLIT, STOPPING, "__learned"]
     stages, found = list(preprocessing.stages), preprocessing.model().transform(rows)
     learned = (F.col(SPLIT) == "train") & F.col("__learned")
@@ -435,6 +475,7 @@ def _fit_one(candidate, rows, preprocessing, numbers, task_type, labels, early_s
         preprocessing.max_categories,
         early_stopping,
         preprocessing.slots,
+        weights,
     )
     estimator = build_estimator(candidate, facts)
     forest = isinstance(estimator, (RandomForestClassifier, RandomForestRegressor))
@@ -464,6 +505,10 @@ def _predicted(fitted: Model, vectors: DataFrame, task_type: str, forest: bool)
     with ExitStack() as held:
         if forest:
             predicted = held.enter_context(contextmanager(predicted_by_cells)(fitted, vectors, FEATURES, [SPLIT, LABEL], outputs))
+        elif isinstance(fitted, HistogramForestModel):
+            coded = held.enter_context(kept(fitted.coded(vectors, [SPLIT, LABEL])))
+            cells = held.enter_context(kept(coded.select("_cell").distinct()))
+            predicted = fitted.scored(coded, held.enter_context(kept(fitted.scores(cells))))
         else:
             predicted = fitted.transform(vectors)
         if task_type == "classification":
