@@ -691,7 +691,7 @@ def train_forest_regression(spark: SparkSession, folder: str) -> DataFrame:
     candidate = forest_candidate("regression", "recommended", False, "")
     features = FeatureColumns(["p_size"], ["p_brand", "p_type"], [])
     return _scores(
-        _train(spark, folder, "part", "p_retailprice", features, candidate, ["p_partkey"], **LEARNING)
+        _train(spark, folder, "part", "p_retailprice", features, candidate, ["p_partkey"])
     )
 
 

@@ -146,3 +146,7 @@ def learned_rows(spark, monkeypatch, folder, name):
 
 def test_train_forest_learns_from_all_training_rows(spark, monkeypatch):
     assert learned_rows(spark, monkeypatch, "/root/testdata/sf0.01", "train_forest") == [48_000]
+
+
+def test_train_forest_regression_learns_from_all_training_rows(spark, monkeypatch):
+    assert learned_rows(spark, monkeypatch, "/root/testdata/sf0.1", "train_forest_regression") == [16_000]
