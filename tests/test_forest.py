@@ -129,7 +129,7 @@ def test_blocks_give_the_means_of_one(spark, frame, monkeypatch):
 
 
 def learned_rows(spark, monkeypatch, folder, name):
-    """The rows that the forest of a query would learn from."""
+    """The rows that each learner of a query would learn from, all rounds of it."""
     seen = []
 
     class Counted:
@@ -137,8 +137,11 @@ def learned_rows(spark, monkeypatch, folder, name):
             seen.append(df.count())
             raise ValueError("counted")
 
-    build = models.build_estimator
-    monkeypatch.setattr(models, "build_estimator", lambda candidate, facts: Counted() if "Forest" in candidate.model_name else build(candidate, facts))
+    def build(candidate, facts):
+        assert facts.early_stopping is None
+        return Counted()
+
+    monkeypatch.setattr(models, "build_estimator", build)
     with pytest.raises(RuntimeError, match="counted"):
         queries.REGISTRY[name][0](spark, folder).collect()
     return seen
@@ -150,3 +153,7 @@ def test_train_forest_learns_from_all_training_rows(spark, monkeypatch):
 
 def test_train_forest_regression_learns_from_all_training_rows(spark, monkeypatch):
     assert learned_rows(spark, monkeypatch, "/root/testdata/sf0.1", "train_forest_regression") == [16_000]
+
+
+def test_training_run_learns_from_all_training_rows(spark, monkeypatch):
+    assert learned_rows(spark, monkeypatch, "/root/testdata/sf0.1", "training_run") == [16_000] * 3
