@@ -157,3 +157,18 @@ def test_train_forest_regression_learns_from_all_training_rows(spark, monkeypatc
 
 def test_training_run_learns_from_all_training_rows(spark, monkeypatch):
     assert learned_rows(spark, monkeypatch, "/root/testdata/sf0.1", "training_run") == [16_000] * 3
+
+
+def test_training_run_outcome_trains_with_the_rules_parameters(spark, monkeypatch):
+    seen = []
+
+    def build(candidate, facts):
+        seen.append(candidate.params)
+        raise ValueError("seen")
+
+    monkeypatch.setattr(models, "build_estimator", build)
+    found = queries.REGISTRY["training_run_outcome"][0](spark, "/root/testdata/sf0.001").collect()
+    assert {r["status"] for r in found} == {"failed"}
+    forest, ridge, boosting = seen
+    assert forest["n_estimators"] == 300 and boosting["max_iter"] == 300
+    assert not {"numTrees", "maxDepth", "maxIter"} & {*forest, *ridge, *boosting}
